@@ -152,39 +152,39 @@ def with_halo(df: DataFrame, rows: int, block_rows: int, split: bool = True, seq
     return reduce(DataFrame.unionByName, copies, own)
 
 
-def fold_blocks(rows: DataFrame, keys: list[str], run, state: str = "state", max_rounds: int = 100_000) -> DataFrame:
+def fold_blocks(rows: DataFrame, keys: list[str], run, state: str = "state") -> DataFrame | None:
     """Start state of every (keys, block) for a fold that must run in order.
 
-    ``run(rows_with_state)`` folds each (keys, block) from the state in column ``state``
-    (null = initial) and returns (keys, block, ``state``) at the block's end. All blocks
+    ``run(rows, starts)`` folds each (keys, block) from its state in ``starts`` (None or
+    null = initial) and returns (keys, block, ``state``) at the block's end. All blocks
     run at once from a guess; a block is repeated only while its predecessor's end state
     differs from the state it was started with. The result is exact: block k is final
     after at most k+1 rounds, and states that forget the past settle much earlier.
-    Only (keys, block, state) summaries move between rounds.
+    Only (keys, block, state) summaries move between rounds. Returns (keys, block, state)
+    of the learners that own several blocks, or None when there are none.
     """
+    if not is_split(rows):
+        return None
     split_rows = rows.where(F.col("n_blocks") > 1)
-    if split_rows.select("n_blocks").isEmpty():
-        return rows.select(*keys, "block").limit(0).withColumn(state, F.lit(None))
     chain = materialise(
         split_rows.select(*keys, "block")
         .distinct()
         .withColumn("_prev", F.lag("block").over(Window.partitionBy(*keys).orderBy("block")))
     )
-    ends = materialise(run(split_rows.withColumn(state, F.lit(None))))
+    ends = materialise(run(split_rows, None))
     state_type = ends.schema[state].dataType
     starts = materialise(chain.select(*keys, "block", F.lit(None).cast(state_type).alias(state)))
-    for _ in range(max_rounds):
+    while True:
         incoming = chain.join(
             ends.select(*keys, F.col("block").alias("_prev"), F.col(state).alias("_in")), [*keys, "_prev"], "left"
         ).select(*keys, "block", "_in")
         linked = materialise(starts.join(incoming, [*keys, "block"], "left"))
         stale = linked.where(~F.col(state).eqNullSafe(F.col("_in")))
         if stale.isEmpty():
-            return starts.where(F.col(state).isNotNull())
+            return starts
         starts = linked.select(*keys, "block", F.col("_in").alias(state))
-        redo = split_rows.join(stale.select(*keys, "block", F.col("_in").alias(state)), [*keys, "block"])
-        fresh = materialise(run(redo))
+        stale = stale.select(*keys, "block", F.col("_in").alias(state))
+        fresh = materialise(run(split_rows.join(stale.drop(state), [*keys, "block"], "left_semi"), stale))
         ends = materialise(
             ends.join(fresh.select(*keys, "block"), [*keys, "block"], "left_anti").unionByName(fresh)
         )
-    raise RuntimeError("fold did not settle")

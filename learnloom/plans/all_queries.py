@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from learnloom.plans import bank_queries, log_queries  # noqa: F401
+from learnloom.plans import bank_queries, log_queries, skill_queries  # noqa: F401
 from learnloom.plans.registry import ORACLE, QUERIES  # noqa: F401

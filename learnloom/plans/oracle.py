@@ -69,7 +69,7 @@ bank AS MATERIALIZED (
 def answers(min_samples: int = K.GUESS_MIN_SAMPLES) -> str:
     return f"""{BANK},
 numbered AS (
-  SELECT user_id AS learner_id, epoch_ms(ts) AS answered_ms, event_id, event_type,
+  SELECT user_id AS learner_id, epoch_us(ts) // 1000 AS answered_ms, event_id, event_type,
     event_type IN ('click', 'view', 'purchase') AS correct,
     CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INT) AS k,
     CAST(floor(value * 100 + 0.5) AS BIGINT) AS latency_ms,

@@ -7,6 +7,7 @@ log (every event is an answer). The same mapping exists as SQL in ``plans.oracle
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -113,13 +114,36 @@ def build_answers(
 
 @dataclass
 class Tables:
-    """Materialised inputs of one data set. ``log`` holds finished missions only."""
+    """Inputs of one data set; the diagnosed answers are written on first use.
+
+    ``log`` holds finished missions only: an abandoned mission leaves no trace.
+    """
 
     spark: SparkSession
     sf_dir: str
-    block_rows: int
-    answers: DataFrame
-    split: bool
+    block_rows: int = sequence.BLOCK_ROWS
+    raw: DataFrame | None = None
+
+    @cached_property
+    def _untagged(self) -> DataFrame:
+        rows = build_answers(self.spark, self.sf_dir, self.block_rows, self.raw)
+        return materialise(rows, ["learner_id", "block"])
+
+    @cached_property
+    def split(self) -> bool:
+        return sequence.is_split(self._untagged)
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        """All answers with threshold and tag, bucketed by (learner, block)."""
+        answers = self._untagged
+        tagged = diagnostics.tag_answers(
+            diagnostics.threshold_at_answer(answers.where("finished"), self.block_rows, self.split)
+        )
+        open_missions = answers.where("not finished").withColumns(
+            {"guess_threshold_ms": F.lit(None).cast("bigint"), "error_tag": F.lit(None).cast("string")}
+        )
+        return materialise(tagged.unionByName(open_missions), ["learner_id", "block"])
 
     @property
     def bank(self) -> DataFrame:
@@ -133,37 +157,13 @@ class Tables:
         return read(self.spark, self.sf_dir, name)
 
 
-def prepare(
-    spark: SparkSession,
-    sf_dir: str,
-    block_rows: int = sequence.BLOCK_ROWS,
-    raw: DataFrame | None = None,
-    min_samples: int = K.GUESS_MIN_SAMPLES,
-) -> Tables:
-    """Write the diagnosed answer table once, bucketed by (learner, block)."""
-    use_utc(spark)
-    if block_rows % K.MISSION_SIZE:
-        raise ValueError("a block must hold whole missions")
-    answers = materialise(build_answers(spark, sf_dir, block_rows, raw), ["learner_id", "block"])
-    split = sequence.is_split(answers)
-    log = answers.where("finished")
-    tagged = diagnostics.tag_answers(
-        diagnostics.threshold_at_answer(log, block_rows=block_rows, split=split, min_samples=min_samples)
-    )
-    open_missions = answers.where("not finished").withColumns(
-        {"guess_threshold_ms": F.lit(None).cast("bigint"), "error_tag": F.lit(None).cast("string")}
-    )
-    tagged = materialise(tagged.unionByName(open_missions), ["learner_id", "block"])
-    return Tables(spark, sf_dir, block_rows, tagged, split)
-
-
 _PREPARED: dict[tuple, Tables] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """``prepare`` once per session and data set."""
+    """One ``Tables`` per session and data set."""
     use_utc(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PREPARED:
-        _PREPARED[key] = prepare(spark, sf_dir)
+        _PREPARED[key] = Tables(spark, sf_dir)
     return _PREPARED[key]
