@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from learnloom.sources import testdata
 
+PLANS: dict[str, Callable[[testdata.Tables], DataFrame]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -16,6 +17,7 @@ def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""
 
     def add(fn: Callable[[testdata.Tables], DataFrame]):
+        PLANS[name] = fn
         QUERIES[name] = lambda spark, sf_dir: fn(testdata.tables(spark, sf_dir))
         if sql is not None:
             ORACLE[name] = sql

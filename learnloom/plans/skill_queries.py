@@ -94,10 +94,6 @@ def state_sql(body: str, *extra: str) -> str:
     return with_log(body, *STATE, *extra, recursive=True)
 
 
-def outcomes(t):
-    return SK.skill_outcomes(t.log)
-
-
 def learners(t):
     return t.log.select("learner_id").distinct()
 
@@ -107,7 +103,7 @@ def learners(t):
     with_log("SELECT learner_id, mission_no, skill_id, correct, error_tag, now_ms FROM outcomes", *BASE),
 )
 def skill_outcomes(t):
-    return outcomes(t).select("learner_id", "mission_no", "skill_id", "correct", "error_tag", "now_ms")
+    return SK.skill_outcomes(t.log).select("learner_id", "mission_no", "skill_id", "correct", "error_tag", "now_ms")
 
 
 @query(
@@ -115,19 +111,19 @@ def skill_outcomes(t):
     with_log("SELECT learner_id, mission_no, skill_id, streak, seen_count, next_review_at FROM schedule", *BASE, SCHEDULE),
 )
 def review_schedule(t):
-    return SK.review_schedule(outcomes(t), t.split).select(
+    return SK.review_schedule(t.outcomes, t.split).select(
         "learner_id", "mission_no", "skill_id", "streak", "seen_count", "next_review_at"
     )
 
 
 @query("mastery_walk", with_log("SELECT * FROM mastery", *BASE, STEPS, MASTERY, recursive=True))
 def mastery_walk(t):
-    return SK.mastery_walk(outcomes(t))
+    return SK.mastery_walk(t.outcomes)
 
 
 @query("misconception_fold", with_log("SELECT * FROM misconceptions", *BASE, STEPS, FOLD, recursive=True))
 def misconception_fold(t):
-    return SK.misconception_fold(outcomes(t))
+    return SK.misconception_fold(t.outcomes)
 
 
 @query(
@@ -140,17 +136,17 @@ def misconception_fold(t):
     ),
 )
 def last_error_tags(t):
-    return SK.last_error_tags(outcomes(t))
+    return SK.last_error_tags(t.outcomes)
 
 
 @query("unresolved_index", state_sql("SELECT * FROM indexes"))
 def unresolved_index(t):
-    return SK.unresolved_index(SK.misconception_fold(outcomes(t)), learners(t))
+    return SK.unresolved_index(t.misconceptions, learners(t))
 
 
 @query("subject_mastery", state_sql("SELECT * FROM averages"))
 def subject_mastery(t):
-    return SK.subject_mastery(SK.mastery_walk(outcomes(t)), B.skill_catalogue(t.bank), learners(t))
+    return SK.subject_mastery(t.skill_states, B.skill_catalogue(t.bank), learners(t))
 
 
 @query(
@@ -162,8 +158,7 @@ def skill_dense(t):
 
 
 def dense(t):
-    states = SK.skill_states(outcomes(t), t.split)
-    return SK.densify(SK.learner_subjects(learners(t)), B.skill_catalogue(t.bank), states, NOW_MS)
+    return SK.densify(SK.learner_subjects(learners(t)), B.skill_catalogue(t.bank), t.skill_states, NOW_MS)
 
 
 @query(
@@ -182,7 +177,7 @@ def due_skills(t):
     ),
 )
 def due_reviews(t):
-    return SK.due_review_counts(SK.latest_schedule(outcomes(t), t.split), learners(t), NOW_MS)
+    return SK.due_review_counts(t.skill_states, learners(t), NOW_MS)
 
 
 @query(
@@ -190,7 +185,7 @@ def due_reviews(t):
     state_sql(f"SELECT learner_id, skill_id, tag, priority, due_at FROM misconceptions WHERE priority >= 25 AND due_at <= {NOW}"),
 )
 def due_misconceptions(t):
-    found = SK.due_misconceptions(SK.misconception_fold(outcomes(t)), NOW_MS)
+    found = SK.due_misconceptions(t.misconceptions, NOW_MS)
     return found.select("learner_id", "skill_id", "tag", "priority", "due_at")
 
 
@@ -200,7 +195,7 @@ def due_misconceptions(t):
 )
 def stale_misconceptions(t):
     """Ten days instead of sixty: the test log is thirty days long."""
-    return SK.stale_misconceptions(SK.misconception_fold(outcomes(t)), NOW_MS, 10).select(
+    return SK.stale_misconceptions(t.misconceptions, NOW_MS, 10).select(
         "learner_id", "skill_id", "tag", "last_seen_at"
     )
 
@@ -216,14 +211,13 @@ def stale_misconceptions(t):
     ),
 )
 def reviewed_skills(t):
-    return SK.reviewed_skills(outcomes(t), t.split).drop("block")
+    return SK.reviewed_skills(t.outcomes, t.split).drop("block")
 
 
 def gated_missions(t):
     """Every mission with the learner's present mastery and unresolved index."""
-    o = outcomes(t)
-    gates = SK.subject_mastery(SK.mastery_walk(o), B.skill_catalogue(t.bank), learners(t)).join(
-        SK.unresolved_index(SK.misconception_fold(o), learners(t)), ["learner_id", "subject"]
+    gates = SK.subject_mastery(t.skill_states, B.skill_catalogue(t.bank), learners(t)).join(
+        SK.unresolved_index(t.misconceptions, learners(t)), ["learner_id", "subject"]
     )
     return M.mission_score(t.log).join(gates, ["learner_id", "subject"])
 

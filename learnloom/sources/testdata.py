@@ -6,14 +6,14 @@ log (every event is an answer). The same mapping exists as SQL in ``plans.oracle
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from learnloom import constants as K
 from learnloom.functions.scalars import epoch_ms, js_round
-from learnloom.operators import diagnostics, sequence
+from learnloom.operators import diagnostics, sequence, skills
 from learnloom.session import materialise, use_utc
 
 # Six skills per subject, including every skill that a tag rule or fact parser names.
@@ -65,9 +65,9 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_answers(events: DataFrame) -> DataFrame:
     correct = F.col("event_type").isin("click", "view", "purchase")
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("learner_id"),
         epoch_ms(F.col("ts").cast("timestamp")).alias("answered_ms"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("answered_us"),
@@ -83,10 +83,10 @@ def build_answers(
     spark: SparkSession,
     sf_dir: str,
     block_rows: int = sequence.BLOCK_ROWS,
-    raw: DataFrame | None = None,
+    events: DataFrame | None = None,
 ) -> DataFrame:
     """All answers with seq, mission, block and question columns (not yet diagnosed)."""
-    raw = _raw_answers(spark, sf_dir) if raw is None else raw
+    raw = raw_answers(read(spark, sf_dir, "events") if events is None else events)
     per_subject = read(spark, sf_dir, "part").agg(F.floor(F.count("*") / 4).alias("per_subject"))
     numbered = sequence.number_rows(raw, ["learner_id"], ["answered_us", "event_id"])
     numbered = sequence.with_blocks(numbered, block_rows=block_rows)
@@ -122,11 +122,12 @@ class Tables:
     spark: SparkSession
     sf_dir: str
     block_rows: int = sequence.BLOCK_ROWS
-    raw: DataFrame | None = None
+    events: DataFrame | None = None
+    _derived: dict = field(default_factory=dict)
 
     @cached_property
     def _untagged(self) -> DataFrame:
-        rows = build_answers(self.spark, self.sf_dir, self.block_rows, self.raw)
+        rows = build_answers(self.spark, self.sf_dir, self.block_rows, self.events)
         return materialise(rows, ["learner_id", "block"])
 
     @cached_property
@@ -145,6 +146,25 @@ class Tables:
         )
         return materialise(tagged.unionByName(open_missions), ["learner_id", "block"])
 
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        """Last answer per (mission, skill), bucketed like the answers."""
+        return materialise(skills.skill_outcomes(self.log), ["learner_id", "block"])
+
+    @cached_property
+    def skill_states(self) -> DataFrame:
+        return materialise(skills.skill_states(self.outcomes, self.split))
+
+    @cached_property
+    def misconceptions(self) -> DataFrame:
+        return materialise(skills.misconception_fold(self.outcomes))
+
+    def once(self, name: str, build) -> DataFrame:
+        """A derived table, written on first use."""
+        if name not in self._derived:
+            self._derived[name] = materialise(build())
+        return self._derived[name]
+
     @property
     def bank(self) -> DataFrame:
         return bank(self.spark, self.sf_dir)
@@ -154,6 +174,8 @@ class Tables:
         return self.answers.where("finished")
 
     def table(self, name: str) -> DataFrame:
+        if name == "events" and self.events is not None:
+            return self.events
         return read(self.spark, self.sf_dir, name)
 
 
