@@ -146,6 +146,15 @@ class Tables:
         )
         return materialise(tagged.unionByName(open_missions), ["learner_id", "block"])
 
+    @staticmethod
+    def path_of(table: DataFrame) -> str:
+        """Folder of a materialised table."""
+        return table.inputFiles()[0].rsplit("/", 1)[0]
+
+    @property
+    def answer_path(self) -> str:
+        return self.path_of(self.answers)
+
     @cached_property
     def outcomes(self) -> DataFrame:
         """Last answer per (mission, skill), bucketed like the answers."""
