@@ -199,3 +199,24 @@ def recent_questions(log: DataFrame, n: int = K.RECENT_QUESTIONS) -> DataFrame:
         [F.desc("mission_no"), F.desc("neg_pos")],
         n,
     ).withColumn("pos", -F.col("neg_pos")).drop("neg_pos")
+
+
+def evaluate_sessions(sessions: DataFrame) -> DataFrame:
+    """Outcomes of nested mission sessions: arrays of questions, answers and traces are
+    zipped by position (a missing answer or trace gives a null)."""
+    rows = sessions.select(
+        *[c for c in sessions.columns if c not in ("questions", "answers", "traces")],
+        F.posexplode(F.arrays_zip("questions", "answers", "traces")).alias("pos", "_z"),
+    )
+    question = F.col("_z.questions")
+    return (
+        rows.where(question.isNotNull())
+        .select(
+            *[c for c in rows.columns if c != "_z"],
+            question["question_id"].alias("question_id"),
+            question["skill_id"].alias("skill_id"),
+            question["difficulty"].alias("difficulty"),
+            F.coalesce(F.col("_z.answers") == question["answer_index"], F.lit(False)).alias("correct"),
+            F.col("_z.traces")["error_tag"].alias("error_tag"),
+        )
+    )

@@ -93,28 +93,25 @@ def tag_serves(log: DataFrame) -> DataFrame:
     )
 
 
-def reserve_reach(log: DataFrame, threshold_errors: int = 1, within: int = 2, split: bool = True) -> DataFrame:
-    """Per mission in which a learner got a tag wrong at least ``threshold_errors`` times:
-    was a question with that tag served within the next ``within`` missions of the subject?"""
+def reserve_reach(log: DataFrame, within: int = 2, split: bool = True) -> DataFrame:
+    """Per (mission, tag) error: was a question with that tag served within the learner's
+    next ``within`` missions of the subject? The few missions ahead are probed by equi join,
+    whose key includes the mission, so a busy learner spreads over tasks."""
     keys = ["learner_id", "subject"]
-    missions = log.select(*keys, "block", "n_blocks", "mission_no").distinct()
-    numbered = _subject_mission_no(missions, split)
+    numbered = _subject_mission_no(log.select(*keys, "block", "n_blocks", "mission_no").distinct(), split)
+    mission = [*keys, "block", "mission_no"]
     wrong = (
         log.where(wrong_tagged())
-        .groupBy(*keys, "block", "mission_no", F.col("error_tag").alias("tag"))
-        .agg(F.count("*").alias("n"), F.max("answered_ms").alias("at_ms"))
-        .where(F.col("n") >= threshold_errors)
-        .drop("n")
-    )
-    served = tag_serves(log).join(numbered, [*keys, "block", "mission_no"])
-    linked = neighbour(served, [*keys, "tag"], "mission_no", {"no": F.col("subject_no")}, split=split)
-    # A wrong answer's tag may come from a rule, so it need not be on the question itself.
-    events = wrong.join(
-        linked.select(*keys, "block", "mission_no", "tag", "subject_no", "next"), [*keys, "block", "mission_no", "tag"]
-    )
-    return events.select(
-        *keys, "tag", "mission_no", "at_ms",
-        F.coalesce(F.col("next.no") - F.col("subject_no") <= within, F.lit(False)).alias("reached"),
+        .groupBy(*mission, F.col("error_tag").alias("tag"))
+        .agg(F.max("answered_ms").alias("at_ms"))
+        .join(numbered, mission)
+    )
+    served = tag_serves(log).join(numbered, mission).select(*keys, "tag", "subject_no").withColumn("_hit", F.lit(True))
+    ahead = wrong.withColumn("subject_no", F.explode(F.sequence(F.col("subject_no") + 1, F.col("subject_no") + within)))
+    return (
+        ahead.join(served, [*keys, "tag", "subject_no"], "left")
+        .groupBy(*keys, "tag", "mission_no", "at_ms")
+        .agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("reached"))
     )
 
 
