@@ -77,9 +77,8 @@ def money_items(prompt: Column) -> Column:
     return F.filter(items, lambda i: i["count"] > 0)
 
 
-def money_fact(prompt: Column, answer: Column, skill: Column) -> Column:
+def money_fact(prompt: Column, answer: Column, skill: Column, items: Column) -> Column:
     paid_amount = _number(_js_trim(answer), YEN, 1)
-    items = money_items(prompt)
     price, paid = _number(prompt, MONEY_CHANGE, 1), _number(prompt, MONEY_CHANGE, 2)
     nothing = F.lit(None).cast("double")
 
@@ -159,8 +158,7 @@ def route_options(prompt: Column) -> Column:
     )
 
 
-def route_fact(prompt: Column, answer: Column) -> Column:
-    options = route_options(prompt)
+def route_fact(answer: Column, options: Column) -> Column:
     named = F.get(F.filter(options, lambda o: route_key(o["name"]) == route_key(answer)), F.lit(0)).getField("name")
     by_distance = F.array_sort(
         F.transform(options, lambda o, i: F.struct(o.distance.alias("distance"), i.alias("at"), o["name"].alias("name")))
@@ -185,12 +183,20 @@ def with_facts(questions: DataFrame) -> DataFrame:
     clock, money = life & skill.startswith("clock_"), life & skill.startswith("money_")
     facts = {
         "clock": F.when(clock, clock_fact(answer)),
-        "money": F.when(money, money_fact(prompt, answer, skill)),
+        "money": F.when(money, money_fact(prompt, answer, skill, F.col("_items"))),
         "fraction": F.when(~clock & ~money & (skill == "fractions_basic"), fraction_fact(prompt, answer)),
-        "route": F.when(skill == "route_optimization", route_fact(prompt, answer)),
+        "route": F.when(skill == "route_optimization", route_fact(answer, F.col("_options"))),
         "odd_one_out": F.when(skill == "odd_one_out", odd_one_fact(F.col("choices"))),
     }
-    out = questions.withColumn("_answer", answer_text()).withColumns(facts).drop("_answer")
+    # Parsed lists are columns of their own, so each text is parsed once.
+    parsed = questions.withColumns(
+        {
+            "_answer": answer_text(),
+            "_items": F.when(money, money_items(prompt)),
+            "_options": F.when(skill == "route_optimization", route_options(prompt)),
+        }
+    )
+    out = parsed.withColumns(facts).drop("_answer", "_items", "_options")
     kind = F.coalesce(*[F.when(F.col(name).isNotNull(), F.lit(name)) for name in facts])
     return out.withColumn("kind", kind)
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import math
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -69,22 +71,26 @@ def target_step(target: int, accuracy: float, average: float, index: float, serv
     return min(K.MAX_DIFFICULTY, max(K.MIN_DIFFICULTY, target + strong - weak))
 
 
+_FOLD_COLUMNS = [
+    "mission_no", "skill_id", "correct", "difficulty", "error_tag", "n_skills", "accuracy", "avg_difficulty", "mode",
+]
+
+
 def _fold(state: str | None, rows: pd.DataFrame) -> tuple[str, list[tuple]]:
     """Fold one block of outcomes; returns the end state and one row per outcome."""
     now = json.loads(state) if state else {"target": 1, "skills": {}}
     target, skills, out = now["target"], now["skills"], []
-    for mission_no, mission in rows.sort_values("mission_no", kind="stable").groupby("mission_no", sort=True):
+    ordered = rows.sort_values("mission_no", kind="stable")
+    records = zip(*(ordered[c].tolist() for c in _FOLD_COLUMNS))
+    for mission_no, mission in groupby(records, key=itemgetter(0)):
         updated = {}
-        for r in mission.itertuples(index=False):
-            past = skills.get(r.skill_id, {"mastery": K.DEFAULT_MASTERY, "tags": []})
-            tag = r.error_tag if isinstance(r.error_tag, str) else None
-            updated[r.skill_id] = answer_step(past, bool(r.correct), int(r.difficulty), tag, target)
-        skills = {**skills, **updated}
-        average, index = gates(skills, int(r.n_skills))
-        after = target_step(target, r.accuracy, average, index, r.avg_difficulty, r.mode)
-        out += [
-            (mission_no, skill, updated[skill]["mastery"], target, after, average, index) for skill in updated
-        ]
+        for _, skill, correct, difficulty, tag, n_skills, accuracy, served, mode in mission:
+            past = skills.get(skill, {"mastery": K.DEFAULT_MASTERY, "tags": []})
+            updated[skill] = answer_step(past, correct, difficulty, tag if isinstance(tag, str) else None, target)
+        skills.update(updated)
+        average, index = gates(skills, n_skills)
+        after = target_step(target, accuracy, average, index, served, mode)
+        out += [(mission_no, skill, s["mastery"], target, after, average, index) for skill, s in updated.items()]
         target = after
     return json.dumps({"target": target, "skills": skills}, sort_keys=True), out
 

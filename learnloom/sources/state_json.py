@@ -10,88 +10,89 @@ from learnloom.operators.sequence import top_rows
 
 STATE_VERSION = 3
 _RAW_MAP = T.MapType(T.StringType(), T.StringType())
-_TEXT_LIST = T.ArrayType(T.StringType())
 
 
-def _field(json: Column, name: str) -> Column:
-    """Raw JSON text of a top-level field (null if the text is not an object)."""
-    return F.get_json_object(json, f"$.{name}")
+def parse(json) -> Column:
+    """Variant of a JSON text: typed, so a quoted number stays a string. Parsed once per row."""
+    return F.try_parse_json(F.col(json) if isinstance(json, str) else json)
 
 
-def _is_number(json: Column, name: str) -> Column:
-    """JSON numbers only: a quoted number is not one. Variants keep the JSON type."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), f"$.{name}", "variant"))
-    return kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$")
+def _part(value: Column, name: str) -> Column:
+    return F.try_variant_get(value, f"$.{name}", "variant")
 
 
-def number_or(json: Column, name: str, fallback) -> Column:
-    value = F.when(_is_number(json, name), F.try_variant_get(F.try_parse_json(json), f"$.{name}", "double"))
-    return F.coalesce(value, F.lit(fallback) if not isinstance(fallback, Column) else fallback)
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
 
 
-def _text(json: Column, name: str) -> Column:
+def number_or(value: Column, name: str, fallback) -> Column:
+    """JSON numbers only; anything else is the fallback."""
+    part = _part(value, name)
+    numeric = _kind(part).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    return F.coalesce(F.when(numeric, F.try_variant_get(part, "$", "double")), F.lit(fallback))
+
+
+def _text(value: Column, name: str) -> Column:
     """String fields only."""
-    part = F.try_variant_get(F.try_parse_json(json), f"$.{name}", "variant")
-    return F.when(F.schema_of_variant(part) == "STRING", F.variant_get(part, "$", "string"))
+    part = _part(value, name)
+    return F.when(_kind(part) == "STRING", F.try_variant_get(part, "$", "string"))
 
 
-def _entries(json: Column) -> Column:
-    """(key, value JSON) of an object."""
-    return F.map_entries(F.from_json(json, _RAW_MAP))
+def _is_object(value: Column) -> Column:
+    return _kind(value).startswith("OBJECT")
 
 
-def _is_object(json: Column) -> Column:
-    return F.ltrim(json).startswith("{")
+def _per_subject(states: DataFrame, key: str, json: str, part: str, item) -> DataFrame:
+    parsed = states.where(F.col(json).isNotNull()).select(key, _part(parse(json), part).alias("_v"))
+    return parsed.select(key, F.inline(F.array(*[item(F.col("_v"), s) for s in K.SUBJECTS])))
 
 
 def subject_clears(states: DataFrame, key: str, json: str = "state") -> DataFrame:
-    part = _field(F.col(json), "subjectClears")
-    return _per_subject(
-        states, key, json, lambda s: F.struct(F.lit(s).alias("subject"), number_or(part, s, 0.0).alias("clears"))
-    )
-
+    def item(value, subject):
+        return F.struct(F.lit(subject).alias("subject"), number_or(value, subject, 0.0).alias("clears"))
 
-def _per_subject(states, key, json, item) -> DataFrame:
-    return states.where(F.col(json).isNotNull()).select(key, F.inline(F.array(*[item(s) for s in K.SUBJECTS])))
+    return _per_subject(states, key, json, "subjectClears", item)
 
 
 def adaptive_states(states: DataFrame, key: str, json: str = "state") -> DataFrame:
     """Target difficulty rounded and clamped to 1..5, mission count at least 0."""
-    part = _field(F.col(json), "adaptiveBySubject")
 
-    def item(subject):
-        raw = _field(part, subject)
+    def item(value, subject):
+        raw = _part(value, subject)
         return F.struct(
             F.lit(subject).alias("subject"),
             clamp(js_round(number_or(raw, "targetDifficulty", 1.0)), 1, 5).cast("int").alias("target_difficulty"),
             F.greatest(F.lit(0).cast("bigint"), js_round(number_or(raw, "missionCount", 0.0))).alias("mission_count"),
         )
 
-    return _per_subject(states, key, json, item)
+    return _per_subject(states, key, json, "adaptiveBySubject", item)
 
 
 def skill_table(states: DataFrame, now_ms: int, key: str, json: str = "state") -> DataFrame:
     """One row per skill entry that is an object, with defaults for broken numbers."""
-    rows = states.select(key, F.inline(_entries(_field(F.col(json), "skillProgress")))).where(_is_object(F.col("value")))
-    tag = _text(F.col("value"), "lastErrorTag")
+    text = F.from_json(F.get_json_object(F.col(json), "$.skillProgress"), _RAW_MAP)
+    rows = states.select(key, F.explode(text).alias("skill_id", "_text"))
+    rows = rows.select(key, "skill_id", "_text", parse("_text").alias("_v")).where(_is_object(F.col("_v")))
+    value, tag = F.col("_v"), _text(F.col("_v"), "lastErrorTag")
     return rows.select(
         key,
-        F.col("key").alias("skill_id"),
-        number_or(F.col("value"), "mastery", K.DEFAULT_MASTERY).alias("mastery"),
-        number_or(F.col("value"), "streak", 0.0).alias("streak"),
-        number_or(F.col("value"), "nextReviewAt", float(now_ms)).alias("next_review_at"),
-        number_or(F.col("value"), "seenCount", 0.0).alias("seen_count"),
+        "skill_id",
+        number_or(value, "mastery", K.DEFAULT_MASTERY).alias("mastery"),
+        number_or(value, "streak", 0.0).alias("streak"),
+        number_or(value, "nextReviewAt", float(now_ms)).alias("next_review_at"),
+        number_or(value, "seenCount", 0.0).alias("seen_count"),
         F.when(tag.isin(K.TAGS), tag).alias("last_error_tag"),
-        _field(F.col("value"), "misconceptions").alias("misconceptions"),
+        F.get_json_object("_text", "$.misconceptions").alias("misconceptions"),
     )
 
 
 def misconception_table(skills: DataFrame, now_ms: int, key: str) -> DataFrame:
     """Tag states of ``skill_table`` rows; unknown tags and non-objects are dropped. The
-    ordinal keeps the order of the source, which decides ties."""
-    rows = skills.select(key, "skill_id", F.posexplode(_entries(F.col("misconceptions"))).alias("ordinal", "e"))
-    rows = rows.select(key, "skill_id", "ordinal", F.col("e.key").alias("tag"), F.col("e.value").alias("value"))
-    rows = rows.where(F.col("tag").isin(K.TAGS) & _is_object(F.col("value")))
+    ordinal keeps the order of the text, which decides ties (a variant would sort its keys)."""
+    text = F.from_json("misconceptions", _RAW_MAP)
+    rows = skills.select(key, "skill_id", F.posexplode(F.map_entries(text)).alias("ordinal", "_e"))
+    rows = rows.select(key, "skill_id", "ordinal", F.col("_e.key").alias("tag"), parse(F.col("_e.value")).alias("_v"))
+    rows = rows.where(F.col("tag").isin(K.TAGS) & _is_object(F.col("_v")))
     names = {
         "error_count": ("errorCount", 0.0),
         "recent_error_count": ("recentErrorCount", 0.0),
@@ -101,55 +102,64 @@ def misconception_table(skills: DataFrame, now_ms: int, key: str) -> DataFrame:
         "last_seen_at": ("lastSeenAt", float(now_ms)),
     }
     return rows.select(
-        key, "skill_id", "ordinal", "tag", *[number_or(F.col("value"), n, d).alias(c) for c, (n, d) in names.items()]
+        key, "skill_id", "ordinal", "tag", *[number_or(F.col("_v"), n, d).alias(c) for c, (n, d) in names.items()]
     )
 
 
 def recent_question_table(states: DataFrame, key: str, json: str = "state") -> DataFrame:
     """(subject, position, question id); entries that are not strings are dropped."""
-    part = F.try_parse_json(_field(F.col(json), "recentQuestionIdsBySubject"))
 
-    def item(subject):
-        items = F.try_variant_get(part, f"$.{subject}", "array<variant>")
-        texts = F.filter(items, lambda v: F.schema_of_variant(v) == "STRING")
-        return F.struct(F.lit(subject).alias("subject"), F.transform(texts, lambda v: F.variant_get(v, "$", "string")).alias("ids"))
+    def item(value, subject):
+        texts = F.filter(F.try_variant_get(value, f"$.{subject}", "array<variant>"), lambda v: _kind(v) == "STRING")
+        ids = F.transform(texts, lambda v: F.variant_get(v, "$", "string"))
+        return F.struct(F.lit(subject).alias("subject"), ids.alias("ids"))
 
-    rows = _per_subject(states, key, json, item)
+    rows = _per_subject(states, key, json, "recentQuestionIdsBySubject", item)
     return rows.select(key, "subject", F.posexplode("ids").alias("position", "question_id"))
 
 
 def trace_table(states: DataFrame, key: str, json: str = "state") -> DataFrame:
     """Raw answer traces, one row per element with its position."""
-    traces = F.try_variant_get(F.try_parse_json(_field(F.col(json), "diagnosticLogs")), "$", "array<variant>")
+    traces = F.try_variant_get(_part(parse(json), "diagnosticLogs"), "$", "array<variant>")
     return states.select(key, F.posexplode(traces).alias("seq", "v")).select(key, "seq", F.to_json("v").alias("trace"))
 
 
+def _truthy(value: Column, name: str) -> Column:
+    """False for false, 0, empty text, null and a missing field; true otherwise."""
+    part = _part(value, name)
+    kind, text = _kind(part), F.try_variant_get(part, "$", "string")
+    falsy = (
+        (kind == "VOID")
+        | ((kind == "BOOLEAN") & (text == "false"))
+        | ((kind == "STRING") & (text == ""))
+        | (kind.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$") & (text.try_cast("double") == 0))
+    )
+    return F.coalesce(kind.isNotNull() & ~falsy, F.lit(False))
+
+
 def load_answers(traces: DataFrame, now_ms: int, key: str, n: int = K.LOG_RETENTION, trace: str = "trace") -> DataFrame:
     """Typed answers from trace JSON: invalid subjects or ids drop the row, broken numbers
     take defaults, unknown tags become null, and the last ``n`` per key stay."""
-    json = F.col(trace)
-    truthy = F.try_variant_get(F.try_parse_json(json), "$.correct", "string")
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), "$.correct", "variant"))
-    numeric_zero = kind.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$") & (truthy.try_cast("double") == 0)
-    empty_text = (kind == "STRING") & (truthy == "")
-    false_value = (kind == "BOOLEAN") & (truthy == "false")
-    correct = F.coalesce(kind.isNotNull() & (kind != "VOID") & ~numeric_zero & ~empty_text & ~false_value, F.lit(False))
-    tag = _text(json, "errorTag")
-    rows = traces.where(_is_object(json)).select(
+    value = F.col("_v")
+    parsed = traces.select(key, "seq", parse(trace).alias("_v"))
+    ids = parsed.withColumns(
+        {c: _text(value, f) for c, f in (("subject", "subject"), ("question_id", "questionId"), ("skill_id", "skillId"), ("_tag", "errorTag"))}
+    )
+    valid = ids.where(F.col("subject").isin(K.SUBJECTS) & F.col("question_id").isNotNull() & F.col("skill_id").isNotNull())
+    rows = valid.select(
         key,
         "seq",
-        number_or(json, "answeredAt", float(now_ms)).cast("bigint").alias("answered_ms"),
-        _text(json, "subject").alias("subject"),
-        _text(json, "questionId").alias("question_id"),
-        _text(json, "skillId").alias("skill_id"),
-        number_or(json, "difficulty", 1.0).alias("difficulty"),
-        number_or(json, "selectedIndex", 0.0).alias("selected_index"),
-        correct.alias("correct"),
-        number_or(json, "latencyMs", 0.0).alias("latency_ms"),
-        F.when(tag.isin(K.TAGS), tag).alias("error_tag"),
+        number_or(value, "answeredAt", float(now_ms)).cast("bigint").alias("answered_ms"),
+        "subject",
+        "question_id",
+        "skill_id",
+        number_or(value, "difficulty", 1.0).alias("difficulty"),
+        number_or(value, "selectedIndex", 0.0).alias("selected_index"),
+        _truthy(value, "correct").alias("correct"),
+        number_or(value, "latencyMs", 0.0).alias("latency_ms"),
+        F.when(F.col("_tag").isin(K.TAGS), F.col("_tag")).alias("error_tag"),
     )
-    valid = rows.where(F.col("subject").isin(K.SUBJECTS) & F.col("question_id").isNotNull() & F.col("skill_id").isNotNull())
-    return top_rows(valid, [key], [F.desc("seq")], n).drop("rank")
+    return top_rows(rows, [key], [F.desc("seq")], n).drop("rank")
 
 
 def normalize_state(states: DataFrame, now_ms: int, key: str, json: str = "state") -> dict[str, DataFrame]:

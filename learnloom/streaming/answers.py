@@ -137,36 +137,42 @@ DUE_OUT = "learner_id bigint, skill_id string, next_review_at bigint, streak big
 def due_reviews(outcomes: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """(learner, skill) each time a review becomes due; a new outcome re-arms the timer.
 
-    ``outcomes`` has learner_id, skill_id, mission_no, correct, now_ms and event time ``at``.
+    ``outcomes`` has learner_id, subject, skill_id, mission_no, correct, now_ms and event
+    time ``at``. One state per (learner, subject) holds streak and due time of its skills;
+    its timer is the earliest due time.
     """
 
     def update(key, frames, state: GroupState):
-        learner, skill = key
-        streak, due = state.get if state.exists else (0, None)
-        out = []
-        if state.hasTimedOut:
-            out.append((learner, skill, due, streak))
-            due = None
-        else:
-            rows = pd.concat(list(frames)).sort_values("mission_no")
-            for row in rows.itertuples(index=False):
-                if due is not None and due <= row.now_ms:
-                    out.append((learner, skill, due, streak))
-                streak = streak + 1 if row.correct else 0
-                wait = K.REVIEW_LADDER_MS[min(streak, len(K.REVIEW_LADDER_MS) - 1)] if row.correct else K.WRONG_REVIEW_MS
-                due = int(row.now_ms) + wait
-            if due < state.getCurrentWatermarkMs():
-                out.append((learner, skill, due, streak))
-                due = None
-        state.update((streak, due))
-        if due is not None:
-            state.setTimeoutTimestamp(due)
+        skills = json.loads(state.get[0]) if state.exists else {}
+        out, watermark = [], state.getCurrentWatermarkMs()
+
+        def fire(skill):
+            streak, due = skills[skill]
+            out.append((key[0], skill, due, streak))
+            skills[skill] = [streak, None]
+
+        rows = [r for frame in frames for r in zip(*(frame[c].tolist() for c in ("mission_no", "skill_id", "correct", "now_ms")))]
+        for _, skill, correct, now in sorted(rows):
+            streak, due = skills.get(skill, [0, None])
+            if due is not None and due <= now:
+                fire(skill)
+            streak = streak + 1 if correct else 0
+            wait = K.REVIEW_LADDER_MS[min(streak, len(K.REVIEW_LADDER_MS) - 1)] if correct else K.WRONG_REVIEW_MS
+            skills[skill] = [streak, now + wait]
+        for skill, (_, due) in sorted(skills.items()):
+            if due is not None and due < watermark:
+                fire(skill)
+        armed = [due for _, due in skills.values() if due is not None]
+        state.update((json.dumps(skills),))
+        if armed:
+            state.setTimeoutTimestamp(min(armed))
         if out:
             yield pd.DataFrame(out, columns=["learner_id", "skill_id", "next_review_at", "streak"])
 
-    rows = outcomes.withWatermark("at", lateness).select("learner_id", "skill_id", "mission_no", "correct", "now_ms", "at")
-    return rows.groupBy("learner_id", "skill_id").applyInPandasWithState(
-        update, DUE_OUT, "streak bigint, due bigint", "append", GroupStateTimeout.EventTimeTimeout
+    columns = ["learner_id", "subject", "skill_id", "mission_no", "correct", "now_ms", "at"]
+    rows = outcomes.withWatermark("at", lateness).select(columns)
+    return rows.groupBy("learner_id", "subject").applyInPandasWithState(
+        update, DUE_OUT, "state string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
