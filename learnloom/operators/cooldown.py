@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from learnloom.operators.sequence import fold_blocks
 
@@ -19,34 +19,39 @@ def accept(times, cooldowns, last: int | None) -> tuple[list[bool], int | None]:
     return flags, last
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _flags(times: pd.Series, cooldowns: pd.Series, last: pd.Series) -> pd.Series:
+    return pd.Series(
+        [
+            accept(at.tolist(), wait.tolist(), None if pd.isna(first) else int(first))[0]
+            for at, wait, first in zip(times, cooldowns, last)
+        ]
+    )
+
+
 def cooldown_filter(events: DataFrame, keys: list[str], at: str, cooldown: str, order: str = "seq") -> DataFrame:
     """Add ``accepted``. ``cooldown`` is a column (0 = always accept); the state is only the
-    last accepted time, so chained blocks settle at the first gap longer than the cooldown."""
+    last accepted time, so chained blocks settle at the first gap longer than the cooldown.
+
+    Spark gathers and sorts each (keys, block); one Arrow batch then holds many groups, so
+    the Python loop costs no per-group frame.
+    """
     group = [*keys, "block"]
-    key_types = dict(events.dtypes)
-    group_schema = ", ".join(f"{k} {key_types[k]}" for k in group)
+    rest = [c for c in events.columns if c not in [*group, order]]
 
-    def with_starts(frame, starts):
+    def flagged(frame: DataFrame, columns: list[str], starts: DataFrame | None) -> DataFrame:
+        rows = frame.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("rows"))
         if starts is None:
-            return frame.withColumn("state", F.lit(None).cast("bigint"))
-        return frame.join(starts, group, "left")
-
-    def fold(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        first = pdf["state"].iloc[0]
-        return pdf, *accept(pdf[at], pdf[cooldown], None if pd.isna(first) else int(first))
-
-    def ends(key, pdf):
-        return pd.DataFrame([(*key, fold(pdf)[2])], columns=[*group, "state"])
-
-    def emit(pdf):
-        pdf, flags, _ = fold(pdf)
-        return pdf.drop(columns="state").assign(accepted=flags)
+            rows = rows.withColumn("state", F.lit(None).cast("bigint"))
+        else:
+            rows = rows.join(starts, group, "left")
+        return rows.withColumn("accepted", _flags(f"rows.{at}", f"rows.{cooldown}", "state"))
 
     def run(frame, starts):
-        slim = with_starts(frame.select(*group, at, cooldown, order), starts)
-        return slim.groupBy(*group).applyInPandas(ends, f"{group_schema}, state bigint")
+        passed = F.filter(F.arrays_zip(F.col(f"rows.{at}").alias("at"), F.col("accepted").alias("ok")), lambda e: e.ok)
+        last = F.array_max(F.transform(passed, lambda e: e["at"]))
+        return flagged(frame, [at, cooldown], starts).select(*group, F.coalesce(last, "state").alias("state"))
 
     starts = fold_blocks(events, keys, run)
-    out_schema = ", ".join(f"{n} {ty}" for n, ty in events.dtypes) + ", accepted boolean"
-    return with_starts(events, starts).groupBy(*group).applyInPandas(emit, out_schema)
+    out = flagged(events, rest, starts).select(*group, F.inline(F.arrays_zip("rows", "accepted")))
+    return out.select(*group, "rows.*", "accepted").select(*events.columns, "accepted")

@@ -20,7 +20,7 @@ from learnloom import constants as K
 from learnloom.functions import scalars as S
 from learnloom.operators import missions as M
 from learnloom.operators import skills as SK
-from learnloom.operators.sequence import fold_blocks, running
+from learnloom.operators.sequence import fold_blocks, running, spread
 
 KEYS = ["learner_id", "subject"]
 FOLD_SCHEMA = (
@@ -112,8 +112,10 @@ def fold_missions(outcomes: DataFrame, scores: DataFrame, catalogue: DataFrame)
 
     def with_starts(frame, starts):
         if starts is None:
-            return frame.withColumn("state", F.lit(None).cast("string"))
-        return frame.join(starts, group, "left")
+            frame = frame.withColumn("state", F.lit(None).cast("string"))
+        else:
+            frame = frame.join(starts, group, "left")
+        return spread(frame, group)
 
     def ends(key, pdf):
         return pd.DataFrame([(*key, _fold(pdf["state"].iloc[0], pdf)[0])], columns=[*group, "state"])

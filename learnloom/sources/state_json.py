@@ -141,24 +141,26 @@ def load_answers(traces: DataFrame, now_ms: int, key: str, n: int = K.LOG_RETENT
     """Typed answers from trace JSON: invalid subjects or ids drop the row, broken numbers
     take defaults, unknown tags become null, and the last ``n`` per key stay."""
     value = F.col("_v")
-    parsed = traces.select(key, "seq", parse(trace).alias("_v"))
-    ids = parsed.withColumns(
-        {c: _text(value, f) for c, f in (("subject", "subject"), ("question_id", "questionId"), ("skill_id", "skillId"), ("_tag", "errorTag"))}
+    numbers = "answeredAt double, difficulty double, selectedIndex double, latencyMs double"
+    strict = {"allowNonNumericNumbers": "false"}
+    parsed = traces.select(
+        key, "seq", parse(trace).alias("_v"), F.from_json(trace, numbers, strict).alias("_n")
     )
-    valid = ids.where(F.col("subject").isin(K.SUBJECTS) & F.col("question_id").isNotNull() & F.col("skill_id").isNotNull())
-    rows = valid.select(
-        key,
-        "seq",
-        number_or(value, "answeredAt", float(now_ms)).cast("bigint").alias("answered_ms"),
-        "subject",
-        "question_id",
-        "skill_id",
-        number_or(value, "difficulty", 1.0).alias("difficulty"),
-        number_or(value, "selectedIndex", 0.0).alias("selected_index"),
+    tag = _text(value, "errorTag")
+    fields = F.struct(
+        F.coalesce("_n.answeredAt", F.lit(float(now_ms))).cast("bigint").alias("answered_ms"),
+        _text(value, "subject").alias("subject"),
+        _text(value, "questionId").alias("question_id"),
+        _text(value, "skillId").alias("skill_id"),
+        F.coalesce("_n.difficulty", F.lit(1.0)).alias("difficulty"),
+        F.coalesce("_n.selectedIndex", F.lit(0.0)).alias("selected_index"),
         _truthy(value, "correct").alias("correct"),
-        number_or(value, "latencyMs", 0.0).alias("latency_ms"),
-        F.when(F.col("_tag").isin(K.TAGS), F.col("_tag")).alias("error_tag"),
+        F.coalesce("_n.latencyMs", F.lit(0.0)).alias("latency_ms"),
+        F.when(tag.isin(K.TAGS), tag).alias("error_tag"),
     )
+    # As a generator, so that the filter below is not pushed down and parsed again per use.
+    typed = parsed.select(key, "seq", F.inline(F.array(fields)))
+    rows = typed.where(F.col("subject").isin(K.SUBJECTS) & F.col("question_id").isNotNull() & F.col("skill_id").isNotNull())
     return top_rows(rows, [key], [F.desc("seq")], n).drop("rank")
 
 

@@ -87,11 +87,11 @@ def test_due_reviews_fire_by_watermark(spark, tmp_path):
     columns = "learner_id bigint, subject string, skill_id string, mission_no bigint, correct boolean, now_ms bigint"
     batches = [(1, "a", 0, False, 0), (2, "b", 0, True, 10), (1, "a", 1, True, 60), (3, "c", 0, True, 600), (3, "d", 0, True, 601)]
     for learner, skill, mission, correct, at in batches:
-        df = spark.createDataFrame([(learner, "math", skill, mission, correct, at * minute)], columns)
+        df = spark.createDataFrame([(learner, "math", skill, mission, correct, K.DAY_MS + at * minute)], columns)
         df.withColumn("at", F.timestamp_millis("now_ms")).coalesce(1).write.mode("append").parquet(path)
     outcomes = spark.readStream.schema(columns + ", at timestamp").option("maxFilesPerTrigger", 1).parquet(path)
     got = ST.run_available(ST.due_reviews(outcomes, "1 minute"))
-    assert sorted((r.learner_id, r.skill_id, r.next_review_at // minute, r.streak) for r in got.collect()) == [
+    assert sorted((r.learner_id, r.skill_id, (r.next_review_at - K.DAY_MS) // minute, r.streak) for r in got.collect()) == [
         (1, "a", 3, 0),
         (1, "a", 90, 1),
         (2, "b", 40, 1),
