@@ -93,21 +93,29 @@ def tag_serves(log: DataFrame) -> DataFrame:
     )
 
 
-def reserve_reach(log: DataFrame, within: int = 2, split: bool = True) -> DataFrame:
-    """Per (mission, tag) error: was a question with that tag served within the learner's
+def high_priority_errors(outcomes: DataFrame, folded: DataFrame, floor: float = K.CANDIDATE_PRIORITY) -> DataFrame:
+    """(learner, subject, tag, mission) whose error raised the tag to at least ``floor``."""
+    keys = ["learner_id", "subject", "block", "mission_no", "skill_id"]
+    raised = folded.where(F.col("error_priority") >= floor).select(*keys, "error_priority")
+    return (
+        outcomes.select(*keys, F.col("error_tag").alias("tag"), F.col("now_ms").alias("at_ms"))
+        .join(raised, keys)
+        .groupBy("learner_id", "subject", "block", "mission_no", "tag", "at_ms")
+        .agg(F.max("error_priority").alias("priority"))
+    )
+
+
+def reserve_reach(log: DataFrame, errors: DataFrame, within: int = 2, split: bool = True) -> DataFrame:
+    """Per high-priority error: was a question with that tag served within the learner's
     next ``within`` missions of the subject? The few missions ahead are probed by equi join,
     whose key includes the mission, so a busy learner spreads over tasks."""
     keys = ["learner_id", "subject"]
     numbered = _subject_mission_no(log.select(*keys, "block", "n_blocks", "mission_no").distinct(), split)
     mission = [*keys, "block", "mission_no"]
-    wrong = (
-        log.where(wrong_tagged())
-        .groupBy(*mission, F.col("error_tag").alias("tag"))
-        .agg(F.max("answered_ms").alias("at_ms"))
-        .join(numbered, mission)
-    )
     served = tag_serves(log).join(numbered, mission).select(*keys, "tag", "subject_no").withColumn("_hit", F.lit(True))
-    ahead = wrong.withColumn("subject_no", F.explode(F.sequence(F.col("subject_no") + 1, F.col("subject_no") + within)))
+    ahead = errors.join(numbered, mission).withColumn(
+        "subject_no", F.explode(F.sequence(F.col("subject_no") + 1, F.col("subject_no") + within))
+    )
     return (
         ahead.join(served, [*keys, "tag", "subject_no"], "left")
         .groupBy(*keys, "tag", "mission_no", "at_ms")

@@ -25,7 +25,7 @@ from learnloom.operators.sequence import fold_blocks, running, spread
 KEYS = ["learner_id", "subject"]
 FOLD_SCHEMA = (
     "learner_id long, subject string, block long, mission_no long, skill_id string, mastery double, "
-    "before_difficulty int, after_difficulty int, avg_mastery double, unresolved_index double"
+    "before_difficulty int, after_difficulty int, avg_mastery double, unresolved_index double, error_priority double"
 )
 
 
@@ -83,20 +83,22 @@ def _fold(state: str | None, rows: pd.DataFrame) -> tuple[str, list[tuple]]:
     ordered = rows.sort_values("mission_no", kind="stable")
     records = zip(*(ordered[c].tolist() for c in _FOLD_COLUMNS))
     for mission_no, mission in groupby(records, key=itemgetter(0)):
-        updated = {}
+        updated, raised = {}, {}
         for _, skill, correct, difficulty, tag, n_skills, accuracy, served, mode in mission:
             past = skills.get(skill, {"mastery": K.DEFAULT_MASTERY, "tags": []})
-            updated[skill] = answer_step(past, correct, difficulty, tag if isinstance(tag, str) else None, target)
+            tag = tag if isinstance(tag, str) and not correct else None
+            updated[skill] = answer_step(past, correct, difficulty, tag, target)
+            raised[skill] = next((row[1] for row in updated[skill]["tags"] if row[0] == tag), None)
         skills.update(updated)
         average, index = gates(skills, n_skills)
         after = target_step(target, accuracy, average, index, served, mode)
-        out += [(mission_no, skill, s["mastery"], target, after, average, index) for skill, s in updated.items()]
+        out += [(mission_no, k, s["mastery"], target, after, average, index, raised[k]) for k, s in updated.items()]
         target = after
     return json.dumps({"target": target, "skills": skills}, sort_keys=True), out
 
 
 def fold_missions(outcomes: DataFrame, scores: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Mastery per outcome and before/after difficulty, gates per mission.
+    """Mastery (and priority of the error's tag) per outcome; difficulty and gates per mission.
 
     Groups are (learner, subject, block), never a whole learner; ``fold_blocks`` chains the
     blocks of learners that own several.

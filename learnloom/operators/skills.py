@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from learnloom import constants as K
 from learnloom.functions import scalars as S
 from learnloom.operators.sequence import fold_blocks, neighbour, running, top_rows
+from learnloom.session import broadcast_checked
 
 SKILL = ["learner_id", "subject", "skill_id"]
 SKILL_BLOCK = [*SKILL, "block"]
@@ -105,10 +106,11 @@ def mastery_walk(outcomes: DataFrame) -> DataFrame:
 def densify(learners: DataFrame, catalogue: DataFrame, states: DataFrame, now_ms: int) -> DataFrame:
     """Every subject skill of each (learner, subject), unseen skills with defaults.
 
-    The catalogue (the curriculum's skills) travels as one array per subject: four rows.
+    One row per learner and skill is the result itself; the catalogue is broadcast if its
+    counted size allows.
     """
-    lists = catalogue.groupBy("subject").agg(F.collect_list(F.struct("skill_id", "skill_ordinal")).alias("_skills"))
-    every = learners.join(F.broadcast(lists), "subject").select("learner_id", "subject", F.inline("_skills"))
+    skills = catalogue.select("subject", "skill_id", "skill_ordinal")
+    every = learners.join(broadcast_checked(skills), "subject").select("learner_id", "subject", "skill_id", "skill_ordinal")
     return (
         every.join(states, SKILL, "left")
         .withColumn("mastery", F.coalesce("mastery", F.lit(K.DEFAULT_MASTERY)))

@@ -140,7 +140,7 @@ def due(t):
 
 def plans(t):
     """The plan table, written once and read by every slot query."""
-    catalogue = B.skill_catalogue(t.bank)
+    catalogue = t.catalogue
     return t.once(
         "plans",
         lambda: SEL.plan_missions(
@@ -161,7 +161,7 @@ def due_rank(t):
 
 @query("misconception_rank", rank_sql("SELECT learner_id, subject, skill_id, tag, tag_rank FROM tag_ranks"))
 def misconception_rank(t):
-    return SEL.misconception_rank(due(t), B.skill_catalogue(t.bank)).select(
+    return SEL.misconception_rank(due(t), t.catalogue).select(
         "learner_id", "subject", "skill_id", "tag", F.col("tag_rank").cast("bigint").alias("tag_rank")
     )
 

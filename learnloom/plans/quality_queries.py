@@ -10,6 +10,8 @@ from learnloom.operators import missions as M
 from learnloom.operators import quality as Q
 from learnloom.plans.oracle import MISSIONS, with_log
 from learnloom.plans.registry import query
+from learnloom.plans.replay_queries import folded
+from learnloom.plans.skill_queries import BASE, FOLD, STEPS
 
 
 @query(
@@ -102,27 +104,34 @@ tag_served AS MATERIALIZED (
   SELECT DISTINCT learner_id, subject, subject_no, mission_no, tag FROM (
     SELECT learner_id, subject, mission_no, unnest(list_filter(wrong_choice_tags, lambda x: x IS NOT NULL)) AS tag FROM log)
   JOIN own USING (learner_id, subject, mission_no)),
+raised AS MATERIALIZED (
+  SELECT DISTINCT s.learner_id, s.subject, s.error_tag AS tag, s.mission_no, s.now_ms AS at_ms
+  FROM fold f JOIN steps s USING (learner_id, skill_id, n)
+  WHERE NOT s.correct AND list_filter(f.st, lambda x: x.tag = s.error_tag)[1].p >= 25),
 reach AS MATERIALIZED (
   SELECT w.learner_id, w.subject, w.tag, w.mission_no, w.at_ms, EXISTS (SELECT 1 FROM tag_served s WHERE s.learner_id = w.learner_id
-    AND s.subject = w.subject AND s.tag = w.tag AND s.subject_no > w.subject_no AND s.subject_no <= w.subject_no + 2) AS reached
-  FROM (SELECT learner_id, subject, error_tag AS tag, mission_no, subject_no, max(answered_ms) AS at_ms FROM log
-    JOIN own USING (learner_id, subject, mission_no) WHERE NOT correct AND error_tag IS NOT NULL GROUP BY ALL) w)"""
+    AND s.subject = w.subject AND s.tag = w.tag AND s.subject_no > w2.subject_no AND s.subject_no <= w2.subject_no + 2) AS reached
+  FROM raised w JOIN own w2 USING (learner_id, subject, mission_no))"""
+REACH_PARTS = (*BASE, STEPS, FOLD, REACH)
 
 
 def reach(t):
-    return Q.reserve_reach(t.log, split=t.split)
+    return Q.reserve_reach(t.log, Q.high_priority_errors(t.outcomes, folded(t)), split=t.split)
 
 
-@query("reserve_events", with_log("SELECT * FROM reach", REACH))
+def reach_sql(body):
+    return with_log(body, *REACH_PARTS, recursive=True)
+
+
+@query("reserve_events", reach_sql("SELECT * FROM reach"))
 def reserve_events(t):
     return reach(t)
 
 
 @query(
     "reserve_reach",
-    with_log(
-        "SELECT subject, tag, count(*) AS events, count(*) FILTER (reached) / count(*) AS reach_rate FROM reach GROUP BY ALL",
-        REACH,
+    reach_sql(
+        "SELECT subject, tag, count(*) AS events, count(*) FILTER (reached) / count(*) AS reach_rate FROM reach GROUP BY ALL"
     ),
 )
 def reserve_reach(t):
@@ -131,7 +140,7 @@ def reserve_reach(t):
 
 @query(
     "subject_gap",
-    with_log(
+    reach_sql(
         """SELECT strftime(week, '%Y-%m-%d') AS week, left_rate, right_rate, gap_points, wide,
           wide AND coalesce(lag(wide) OVER (ORDER BY week) AND week - lag(week) OVER (ORDER BY week) = 7, false) AS split_thresholds
         FROM (SELECT *, coalesce(gap_points >= 2, false) AS wide FROM (
@@ -139,8 +148,7 @@ def reserve_reach(t):
             SELECT CAST(date_trunc('week', make_timestamp(at_ms * 1000)) AS DATE) AS week,
               count(*) FILTER (subject = 'math' AND reached) / nullif(count(*) FILTER (subject = 'math'), 0) AS left_rate,
               count(*) FILTER (subject = 'japanese' AND reached) / nullif(count(*) FILTER (subject = 'japanese'), 0) AS right_rate
-            FROM reach GROUP BY ALL)))""",
-        REACH,
+            FROM reach GROUP BY ALL)))"""
     ),
 )
 def subject_gap(t):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from learnloom import constants as K
-from learnloom.operators import bank as B
 from learnloom.operators import cooldown as C
 from learnloom.operators import missions as M
 from learnloom.operators import replay as R
@@ -69,7 +68,7 @@ def loop_sql(body: str, *extra: str) -> str:
 
 
 def folded(t):
-    return t.once("folded", lambda: R.fold_missions(t.outcomes, M.mission_score(t.log), B.skill_catalogue(t.bank)))
+    return t.once("folded", lambda: R.fold_missions(t.outcomes, M.mission_score(t.log), t.catalogue))
 
 
 def results(t):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from learnloom.functions import scalars as S
-from learnloom.operators import bank as B
 from learnloom.operators import missions as M
 from learnloom.operators import skills as SK
 from learnloom.plans.oracle import MISSIONS, NOW, OUTCOMES, sql_list, with_log
@@ -146,7 +145,7 @@ def unresolved_index(t):
 
 @query("subject_mastery", state_sql("SELECT * FROM averages"))
 def subject_mastery(t):
-    return SK.subject_mastery(t.skill_states, B.skill_catalogue(t.bank), learners(t))
+    return SK.subject_mastery(t.skill_states, t.catalogue, learners(t))
 
 
 @query(
@@ -158,7 +157,7 @@ def skill_dense(t):
 
 
 def dense(t):
-    return SK.densify(SK.learner_subjects(learners(t)), B.skill_catalogue(t.bank), t.skill_states, NOW_MS)
+    return SK.densify(SK.learner_subjects(learners(t)), t.catalogue, t.skill_states, NOW_MS)
 
 
 @query(
@@ -216,7 +215,7 @@ def reviewed_skills(t):
 
 def gated_missions(t):
     """Every mission with the learner's present mastery and unresolved index."""
-    gates = SK.subject_mastery(t.skill_states, B.skill_catalogue(t.bank), learners(t)).join(
+    gates = SK.subject_mastery(t.skill_states, t.catalogue, learners(t)).join(
         SK.unresolved_index(t.misconceptions, learners(t)), ["learner_id", "subject"]
     )
     return M.mission_score(t.log).join(gates, ["learner_id", "subject"])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from learnloom import constants as K
-from learnloom.operators import bank as B
 from learnloom.operators import diagnostics as D
 from learnloom.plans.oracle import error_tag, threshold, with_log
 from learnloom.plans.registry import ORACLE, query
@@ -72,7 +71,7 @@ def stream_dedup(t):
     ),
 )
 def stream_learner_state(t):
-    sizes = {r.subject: r.n for r in B.skill_catalogue(t.bank).groupBy("subject").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.subject: r.n for r in t.catalogue.groupBy("subject").agg(F.count("*").alias("n")).collect()}
     return ST.run_available(ST.learner_state(finished(t), sizes))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -65,3 +65,13 @@ def materialise(df: DataFrame, bucket_by: list[str] | None = None) -> DataFrame:
         .saveAsTable(name)
     )
     return spark.table(name)
+
+
+BROADCAST_ROWS = 10_000
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after counting that ``df`` is small; otherwise the optimizer and
+    the runtime (size threshold, skew split) choose the join."""
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from learnloom import constants as K
 from learnloom.functions.scalars import epoch_ms, js_round
 from learnloom.operators import diagnostics, sequence, skills
+from learnloom.operators.bank import skill_catalogue
 from learnloom.session import materialise, use_utc
 
 # Six skills per subject, including every skill that a tag rule or fact parser names.
@@ -178,6 +179,10 @@ class Tables:
     def bank(self) -> DataFrame:
         return bank(self.spark, self.sf_dir)
 
+    @property
+    def catalogue(self) -> DataFrame:
+        return self.once("catalogue", lambda: skill_catalogue(self.bank))
+
     @property
     def log(self) -> DataFrame:
         return self.answers.where("finished")

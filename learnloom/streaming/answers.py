@@ -92,8 +92,8 @@ LEARNER_OUT = (
 def learner_state(stream: DataFrame, n_skills: dict[str, int]) -> DataFrame:
     """Adaptive state per (learner, subject): a row per mission once its answers are complete.
 
-    State is the target, the skills and the answers of open missions; it does not grow with
-    the learner's history. ``n_skills`` is the number of catalogue skills per subject.
+    A learner plays one mission after the other. State is the target, the skills and the
+    answers of open missions; it does not grow with the learner's history. ``n_skills`` is the number of catalogue skills per subject.
     """
 
     def update(key, frames, state: GroupState):
@@ -119,6 +119,8 @@ def learner_state(stream: DataFrame, n_skills: dict[str, int]) -> DataFrame:
             served = sum(a[2] for a in answers) / len(answers)
             now["target"] = replay.target_step(target, accuracy, average, index, served, answers[0][4])
             out.append((learner, subject, mission_no, target, now["target"], average, index))
+        if done:  # an older open mission was abandoned and leaves no trace
+            now["open"] = {m: a for m, a in now["open"].items() if int(m) > done[-1]}
         state.update((json.dumps(now),))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in LEARNER_OUT.split(", ")])
