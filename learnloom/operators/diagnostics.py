@@ -150,14 +150,10 @@ def dashboard(log: DataFrame, split: bool = True) -> DataFrame:
 
 def daily_stats(log: DataFrame) -> DataFrame:
     """Answers, correct answers and mission seconds per learner and UTC day of finish."""
-    from learnloom.operators.missions import mission_spans
+    from learnloom.operators.missions import mission_summary
 
-    spans = mission_spans(log)
-    score = log.groupBy(*LEARNER_BLOCK, "mission_no").agg(
-        F.count("*").alias("total"), F.count_if("correct").alias("correct")
-    )
     return (
-        spans.join(score, [*LEARNER_BLOCK, "mission_no"])
+        mission_summary(log)
         .withColumn("date", F.date_format(F.timestamp_millis("finished_ms"), "yyyy-MM-dd"))
         .groupBy("learner_id", "date")
         .agg(

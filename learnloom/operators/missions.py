@@ -23,24 +23,30 @@ def dedup_answers(answers: DataFrame) -> DataFrame:
     )
 
 
-def mission_score(log: DataFrame) -> DataFrame:
-    return log.groupBy(*MISSION, "subject").agg(
-        F.count("*").alias("total"),
-        F.count_if("correct").alias("correct"),
-        (F.count_if("correct") / F.count("*")).alias("accuracy"),
-        (F.sum("difficulty") / F.count("*")).alias("avg_difficulty"),
-        F.first("mode").alias("mode"),
-        F.first("target_difficulty").alias("target_difficulty"),
-        F.first("n_blocks").alias("n_blocks"),
+def mission_summary(log: DataFrame) -> DataFrame:
+    """Score and time span per mission in one aggregate; unused columns are pruned."""
+    return (
+        log.groupBy(*MISSION, "n_blocks", "subject")
+        .agg(
+            F.count("*").alias("total"),
+            F.count_if("correct").alias("correct"),
+            (F.count_if("correct") / F.count("*")).alias("accuracy"),
+            (F.sum("difficulty") / F.count("*")).alias("avg_difficulty"),
+            F.first("mode").alias("mode"),
+            F.first("target_difficulty").alias("target_difficulty"),
+            F.min("answered_ms").alias("started_ms"),
+            F.max("answered_ms").alias("finished_ms"),
+        )
+        .withColumn("duration_sec", S.duration_sec("started_ms", "finished_ms"))
     )
 
 
+def mission_score(log: DataFrame) -> DataFrame:
+    return mission_summary(log).drop("started_ms", "finished_ms", "duration_sec")
+
+
 def mission_spans(log: DataFrame) -> DataFrame:
-    return (
-        log.groupBy(*MISSION, "n_blocks")
-        .agg(F.min("answered_ms").alias("started_ms"), F.max("answered_ms").alias("finished_ms"))
-        .withColumn("duration_sec", S.duration_sec("started_ms", "finished_ms"))
-    )
+    return mission_summary(log).select(*MISSION, "n_blocks", "started_ms", "finished_ms", "duration_sec")
 
 
 def mission_error_tags(log: DataFrame) -> DataFrame:
@@ -81,8 +87,7 @@ def combo_streak(log: DataFrame) -> DataFrame:
 def mission_results(log: DataFrame) -> DataFrame:
     """Scores, spans and rewards per mission on the recorded targets (no promotion)."""
     return (
-        mission_score(log)
-        .join(mission_spans(log).drop("n_blocks"), MISSION)
+        mission_summary(log)
         .withColumn("earned_xp", S.mission_xp("correct", "total", "mode", F.lit(0), F.lit(0), "avg_difficulty"))
         .withColumn("earned_stars", S.mission_stars("correct", "total", F.lit(0), F.lit(0)))
     )

@@ -20,7 +20,8 @@ from learnloom import constants as K
 from learnloom.functions import scalars as S
 from learnloom.operators import missions as M
 from learnloom.operators import skills as SK
-from learnloom.operators.sequence import fold_blocks, running, spread
+from learnloom.operators.sequence import fold_blocks, running
+from learnloom.session import hash_spread
 
 KEYS = ["learner_id", "subject"]
 FOLD_SCHEMA = (
@@ -97,27 +98,22 @@ def _fold(state: str | None, rows: pd.DataFrame) -> tuple[str, list[tuple]]:
     return json.dumps({"target": target, "skills": skills}, sort_keys=True), out
 
 
-def fold_missions(outcomes: DataFrame, scores: DataFrame, catalogue: DataFrame) -> DataFrame:
+def fold_missions(outcomes: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Mastery (and priority of the error's tag) per outcome; difficulty and gates per mission.
 
     Groups are (learner, subject, block), never a whole learner; ``fold_blocks`` chains the
-    blocks of learners that own several.
+    blocks of learners that own several. Outcomes carry their mission's score, so with the
+    bucketed table no shuffle precedes the fold.
     """
     sizes = catalogue.groupBy("subject").agg(F.count("*").alias("n_skills"))
-    mission = [*KEYS, "block", "mission_no"]
-    rows = (
-        outcomes.drop("target_difficulty", "mode", "now_ms")
-        .join(scores.select(*mission, "accuracy", "avg_difficulty", "mode"), mission)
-        .join(F.broadcast(sizes), "subject")  # one row per subject
-    )
+    rows = outcomes.drop("target_difficulty", "now_ms").join(F.broadcast(sizes), "subject")  # one row per subject
     group = [*KEYS, "block"]
 
     def with_starts(frame, starts):
         if starts is None:
-            frame = frame.withColumn("state", F.lit(None).cast("string"))
-        else:
-            frame = frame.join(starts, group, "left")
-        return spread(frame, group)
+            return frame.withColumn("state", F.lit(None).cast("string"))
+        # Python work is heavy per byte; the runtime would merge small partitions by size.
+        return hash_spread(frame.join(starts, group, "left"), group)
 
     def ends(key, pdf):
         return pd.DataFrame([(*key, _fold(pdf["state"].iloc[0], pdf)[0])], columns=[*group, "state"])
@@ -146,8 +142,7 @@ def replay_results(log: DataFrame, outcomes: DataFrame, folded: DataFrame, split
     )
     change = ("before_difficulty", "after_difficulty")
     return (
-        M.mission_score(log)
-        .join(M.mission_spans(log).drop("n_blocks"), M.MISSION)
+        M.mission_summary(log)
         .join(per_mission, M.MISSION)
         .join(SK.reviewed_skills(outcomes, split), M.MISSION)
         .join(M.top2_misconceptions(log), M.MISSION, "left")

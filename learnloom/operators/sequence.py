@@ -57,12 +57,6 @@ def is_split(df: DataFrame) -> bool:
     return not df.where(F.col("n_blocks") > 1).select("n_blocks").isEmpty()
 
 
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash partition by ``keys`` into the full number of shuffle partitions. For Python work,
-    which is heavy per byte: the runtime would otherwise merge small partitions by size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 _KINDS = {
     "sum": (F.sum, lambda carry, inside: F.coalesce(carry, F.lit(0)) + F.coalesce(inside, F.lit(0))),
     "max": (F.max, lambda carry, inside: F.greatest(carry, inside)),

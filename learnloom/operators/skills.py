@@ -18,14 +18,20 @@ SKILL_BLOCK = [*SKILL, "block"]
 
 
 def skill_outcomes(log: DataFrame) -> DataFrame:
-    """Last answer per (mission, skill), with the mission's finish time as ``now_ms``."""
+    """Last answer per (mission, skill), with the mission's score and finish time ``now_ms``."""
     mission = Window.partitionBy("learner_id", "block", "mission_no")
     picked = ["difficulty", "correct", "error_tag", "target_difficulty", "mode"]
     return (
-        log.withColumn("now_ms", F.max("answered_ms").over(mission))
-        .groupBy(*SKILL_BLOCK, "n_blocks", "mission_no", "now_ms")
+        log.withColumns(
+            {
+                "now_ms": F.max("answered_ms").over(mission),
+                "accuracy": F.avg(F.col("correct").cast("int")).over(mission),
+                "avg_difficulty": F.avg("difficulty").over(mission),
+            }
+        )
+        .groupBy(*SKILL_BLOCK, "n_blocks", "mission_no", "now_ms", "accuracy", "avg_difficulty")
         .agg(F.max_by(F.struct(*picked), "pos").alias("_last"))
-        .select(*SKILL_BLOCK, "n_blocks", "mission_no", "now_ms", "_last.*")
+        .select(*SKILL_BLOCK, "n_blocks", "mission_no", "now_ms", "accuracy", "avg_difficulty", "_last.*")
     )
 
 

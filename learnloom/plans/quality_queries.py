@@ -165,8 +165,7 @@ def subject_gap(t):
     ),
 )
 def daily_divergence(t):
-    missions = M.mission_score(t.log).join(M.mission_spans(t.log).drop("n_blocks"), M.MISSION)
-    dated = missions.withColumn("date", S.play_date(F.timestamp_millis("finished_ms")))
+    dated = M.mission_summary(t.log).withColumn("date", S.play_date(F.timestamp_millis("finished_ms")))
     return Q.daily_divergence(D.daily_stats(t.log), dated)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from learnloom import constants as K
 from learnloom.operators import cooldown as C
-from learnloom.operators import missions as M
 from learnloom.operators import replay as R
 from learnloom.plans.log_queries import BADGES, STREAK
 from learnloom.plans.oracle import with_log
@@ -68,7 +67,7 @@ def loop_sql(body: str, *extra: str) -> str:
 
 
 def folded(t):
-    return t.once("folded", lambda: R.fold_missions(t.outcomes, M.mission_score(t.log), t.catalogue))
+    return t.once("folded", lambda: R.fold_missions(t.outcomes, t.catalogue))
 
 
 def results(t):

@@ -42,12 +42,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def materialise(df: DataFrame, bucket_by: list[str] | None = None) -> DataFrame:
+def hash_spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash partition into the full number of shuffle partitions, never merged by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def materialise(df: DataFrame, bucket_by: list[str] | None = None, partitioned: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the checkpoint folder and read it back.
 
     Cuts lineage, survives executor loss and keeps column pruning, push-down and real
     table sizes for the optimizer. With ``bucket_by`` the table is hash-bucketed, so
-    windows, aggregates and joins on those keys (or on more keys) need no shuffle.
+    windows and aggregates on those keys (or on more keys) need no shuffle. ``partitioned``
+    says that ``df`` already comes from ``hash_spread`` on them.
     """
     spark = df.sparkSession
     name = f"learnloom_{uuid.uuid4().hex}"
@@ -57,7 +63,7 @@ def materialise(df: DataFrame, bucket_by: list[str] | None = None) -> DataFrame:
         return spark.read.schema(df.schema).parquet(path)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
-        df.repartition(buckets, *bucket_by)
+        (df if partitioned else hash_spread(df, bucket_by))
         .write.bucketBy(buckets, *bucket_by)
         .sortBy(*bucket_by)
         .option("path", path)

@@ -15,7 +15,7 @@ from learnloom import constants as K
 from learnloom.functions.scalars import epoch_ms, js_round
 from learnloom.operators import diagnostics, sequence, skills
 from learnloom.operators.bank import skill_catalogue
-from learnloom.session import materialise, use_utc
+from learnloom.session import hash_spread, materialise, use_utc
 
 # Six skills per subject, including every skill that a tag rule or fact parser names.
 SKILLS = [
@@ -126,26 +126,26 @@ class Tables:
     events: DataFrame | None = None
     _derived: dict = field(default_factory=dict)
 
-    @cached_property
-    def _untagged(self) -> DataFrame:
-        rows = build_answers(self.spark, self.sf_dir, self.block_rows, self.events)
-        return materialise(rows, ["learner_id", "block"])
-
     @cached_property
     def split(self) -> bool:
-        return sequence.is_split(self._untagged)
+        """Does any learner own more than one block?"""
+        counts = self.table("events").groupBy("user_id").count()
+        return not counts.where(F.col("count") > self.block_rows).isEmpty()
 
     @cached_property
     def answers(self) -> DataFrame:
-        """All answers with threshold and tag, bucketed by (learner, block)."""
-        answers = self._untagged
-        tagged = diagnostics.tag_answers(
-            diagnostics.threshold_at_answer(answers.where("finished"), self.block_rows, self.split)
-        )
-        open_missions = answers.where("not finished").withColumns(
-            {"guess_threshold_ms": F.lit(None).cast("bigint"), "error_tag": F.lit(None).cast("string")}
-        )
-        return materialise(tagged.unionByName(open_missions), ["learner_id", "block"])
+        """All answers with threshold and tag, bucketed by (learner, block).
+
+        Spread by the bucket keys first: the threshold windows and the bucketed write then
+        need no further shuffle. With several blocks per learner the rows are written before
+        they are tagged, since each block also reads the end of the one before.
+        """
+        by = ["learner_id", "block"]
+        answers = build_answers(self.spark, self.sf_dir, self.block_rows, self.events)
+        answers = materialise(answers, by) if self.split else hash_spread(answers, by)
+        tagged = diagnostics.tag_answers(diagnostics.threshold_at_answer(answers, self.block_rows, self.split))
+        unfinished = {c: F.when(F.col("finished"), F.col(c)) for c in ("guess_threshold_ms", "error_tag")}
+        return materialise(tagged.withColumns(unfinished), by, partitioned=not self.split)
 
     @staticmethod
     def path_of(table: DataFrame) -> str:
@@ -159,7 +159,7 @@ class Tables:
     @cached_property
     def outcomes(self) -> DataFrame:
         """Last answer per (mission, skill), bucketed like the answers."""
-        return materialise(skills.skill_outcomes(self.log), ["learner_id", "block"])
+        return materialise(skills.skill_outcomes(self.log), ["learner_id", "block"], partitioned=True)
 
     @cached_property
     def skill_states(self) -> DataFrame:
