@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+_LOCAL_ROOTS: dict[str, str] = {}  # local mode without a named folder
+
+
 def build_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Local session for tests and the benchmark."""
     return (
@@ -37,9 +40,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="learnloom-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="learnloom-")
+    return _LOCAL_ROOTS[app]
 
 
 def hash_spread(df: DataFrame, keys: list[str]) -> DataFrame:
