@@ -77,6 +77,55 @@ def materialise(df: DataFrame, bucket_by: list[str] | None = None, partitioned:
     return spark.table(name)
 
 
+class Scratch:
+    """Intermediate tables of one job in the folder all executors share.
+
+    ``save`` writes a table and reads it back (cuts lineage, survives a lost executor);
+    ``drop`` deletes one that is no longer read and ``close`` (or leaving a ``with`` block)
+    the rest. A lazy result that still reads a table must be written before ``close``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{checkpoint_root(spark).rstrip('/')}/learnloom/job_{uuid.uuid4().hex}"
+        self._paths: dict[int, str] = {}
+        self._count = 0
+
+    def path(self) -> str:
+        self._count += 1
+        return f"{self.root}/{self._count:04d}"
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = self.path()
+        df.write.option("compression", "zstd").parquet(path)
+        saved = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(saved)] = path
+        saved._scratch_owner = self  # the id stays taken as long as the frame lives
+        return saved
+
+    def drop(self, *frames: DataFrame) -> None:
+        for frame in frames:
+            path = self._paths.pop(id(frame), None)
+            if path:
+                delete_path(self.spark, path)
+
+    def close(self) -> None:
+        self._paths.clear()
+        delete_path(self.spark, self.root)
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file system layer (any store Spark can write)."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 BROADCAST_ROWS = 10_000
 
 
