@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from learnloom.llm import language, mixing, packing
+from learnloom.llm import jaccard_join, language, mixing, packing
 from learnloom.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guess.select("doc_id", (language.fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -27,6 +31,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_language": op3_language,
+    "op4_jaccard_join": op4_jaccard_join,
     "op8_mix_sources": op8_mix_sources,
     "op10_pack": op10_pack,
 }
