@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WHITE = r"\x20\x09-\x0D"
 WORD = rf"[^{WHITE}]+"
 ARROW_ROWS = 2000  # rows of an Arrow batch; texts may be long
+PART_BYTES = 2 << 20  # stored bytes of input behind one part of a dealt table
 CHUNK_BYTES = 4 << 20  # bytes of text that a Python task looks at together
 
 
@@ -23,10 +25,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WHITE}]+"), lambda w: w != "")
@@ -68,3 +66,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def input_parts(documents: DataFrame) -> int:
+    """Parts for tables that grow with the documents, from the size Spark estimates."""
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, min(size // PART_BYTES, 1 << 22))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -25,22 +25,20 @@ that has another id. Extra columns of the input are ignored.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from learnloom.llm import components as cc
-from learnloom.llm.common import chunks, mix64, small_batches, text_bytes
+from learnloom.llm.common import chunks, input_parts, mix64, release, small_batches, text_bytes
 from learnloom.llm.shingles import shingle_sets
 from learnloom.session import Scratch
 
 SPARE = 0.15  # parts beyond k+1, so that empty parts need not be published
 FEW = 16  # sets of a signature that are paired with each other at once
 RECORD = np.dtype([("sig", "u1", (5,)), ("key", "<u8")])
-PART_BYTES = 2 << 20  # text bytes behind one part of the signature table
 
 
 def bands(largest: int) -> np.ndarray:
@@ -105,19 +103,23 @@ def signatures(sets: list[np.ndarray], key: np.ndarray, limits: np.ndarray | Non
     return np.concatenate(out_sig), np.concatenate(out_key)
 
 
+def text_crc() -> Column:
+    return F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc")
+
+
 def describe(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, p0..p3): the narrow table of all documents."""
+    """(doc_id, text_crc, n_shingles, key, p0..p3): the narrow table of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             sizes, key, bits = set_keys(shingle_sets(*text_bytes(batch.column("text"))))
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "key": key.view(np.int64)}
+                {"doc_id": batch.column("doc_id"), "text_crc": batch.column("text_crc"), "n_shingles": sizes, "key": key.view(np.int64)}
                 | {f"p{i}": np.ascontiguousarray(bits[:, i]) for i in range(4)}
             )
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, key long, p0 long, p1 long, p2 long, p3 long")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_crc(), "text")
+    return rows.mapInArrow(run, "doc_id long, text_crc long, n_shingles long, key long, p0 long, p1 long, p2 long, p3 long")
 
 
 def dealt_signatures(documents: DataFrame, parts: int) -> DataFrame:
@@ -262,19 +264,6 @@ def verify(pairs: DataFrame, sets: DataFrame, most: int = 256) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def input_parts(documents: DataFrame) -> int:
-    """Parts for tables that grow with the documents, from the size Spark estimates."""
-    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(partitions, min(size // PART_BYTES, 1 << 22))
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def linked_classes(documents: DataFrame, described: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets (key, n_shingles, p0..p3, rep) and their components (node, root)."""
     spark = documents.sparkSession
@@ -316,7 +305,7 @@ def check(documents: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: S
 
 
 def near_duplicates(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per document."""
+    """(doc_id, n_shingles, component_id, text_crc): one row per document."""
     small_batches(documents.sparkSession)
     scratch = scratch or Scratch(documents.sparkSession)
     described = scratch.save(describe(documents))
@@ -327,5 +316,17 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None) -> Dat
     least = group.groupBy("root").agg(F.min("rep").alias("component_id"))
     named_class = scratch.save(group.join(least, "root").select("key", "n_shingles", "p0", "component_id"))
     return described.join(named_class, ["key", "n_shingles", "p0"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_crc"
     )
+
+
+def keep_one(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``documents`` without near copies: the smallest doc_id of each component stays."""
+    found = near_duplicates(documents, scratch)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = stay.select(F.col("doc_id").alias("_stay_id"), F.col("text_crc").alias("_stay_crc"))
+    rows = documents.withColumn("_crc", text_crc())
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_stay_id")) & (F.col("_crc") == F.col("_stay_crc"))
+    again = Window.partitionBy("doc_id", "_crc").orderBy(F.length("text"))  # identical rows
+    kept = rows.join(stay, match, "left_semi").withColumn("_again", F.row_number().over(again))
+    return kept.where("_again = 1").select(*documents.columns)
