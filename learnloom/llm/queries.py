@@ -5,10 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from learnloom.llm import jaccard_join, language, mixing, packing, suffix_dedup
+from learnloom.llm import fingerprints, jaccard_join, language, mixing, packing, suffix_dedup
 from learnloom.llm.common import read
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     network = language.fit(documents)
@@ -35,10 +39,13 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op3_language": op3_language,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op10_pack": op10_pack,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_fingerprints": fingerprints.SQL,
+}
