@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from learnloom.llm import fingerprints, jaccard_join, language, mixing, packing, suffix_dedup
+from learnloom.llm import fingerprints, jaccard_join, language, mixing, packing, quality_rules, suffix_dedup
 from learnloom.llm.common import read
 
 
@@ -13,6 +13,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     network = language.fit(documents)
@@ -40,6 +44,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_quality_rules": op2_quality_rules,
     "op3_language": op3_language,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_suffix_dedup": op7_suffix_dedup,
@@ -48,4 +53,5 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op1_fingerprints": fingerprints.SQL,
+    "op2_quality_rules": quality_rules.SQL,
 }
