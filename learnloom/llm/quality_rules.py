@@ -2,10 +2,11 @@
 
 Words and pairs of neighbouring words fall into ``BUCKETS`` hash buckets. Two multinomials over
 the buckets are counted over all documents: the trusted target (labelled good and not toxic)
-and the raw corpus. A document's score is the mean log ratio of its n-grams. The threshold lies
-half way between the mean score of the documents labelled good and of those labelled bad, so
-every document gets the same verdict in every run: log ratios are whole micro-units and sums
-are exact. A document is kept when it passes the base rules and reaches the threshold.
+and the raw corpus. A document's score is the mean log ratio of its n-grams. The threshold is
+the one with the best balanced accuracy on the labelled documents: all their scores are counted
+in bins of a fixed width, and it lies half way between the best bin and the one below. Every
+document gets the same verdict in every run: log ratios are whole micro-units and sums are
+exact. A document is kept when it passes the base rules and reaches the threshold.
 
 Counting is one pass (each task adds up its buckets, one row per bucket and task is shuffled);
 scoring is a second one with the bucket table, whose size is fixed, sent to every task.
@@ -30,6 +31,7 @@ from learnloom.session import Scratch
 
 BUCKETS = 10_000
 MICRO = 1_000_000
+BIN = 1_000  # micro-units; log ratios are bounded, so there are few bins
 LEAST_WORDS = 50  # base rules
 MOST_REPEATED = 50  # percent of words in repeated 3-word windows
 SYMBOLS = b"#*$%&|<>"
@@ -155,6 +157,21 @@ def label_table(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
 
 
+def best_threshold(bins: list[tuple[int, int, int]]) -> float:
+    """Score with the best balanced accuracy, from (bin, good, bad); the lowest of equal ones."""
+    bins = sorted(bins)
+    good, bad = sum(b[1] for b in bins), sum(b[2] for b in bins)
+    if not good or not bad:
+        return 0.0
+    best, threshold, above, below, previous = -1, 0.0, good, 0, None
+    for bin_, g, b in bins:
+        if above * bad + below * good > best:
+            best = above * bad + below * good
+            threshold = ((bin_ if previous is None else previous + 1) + bin_) * BIN / 2
+        above, below, previous = above - g, below + b, bin_
+    return threshold
+
+
 def judge(documents: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Base counts, base_failed, score_micro and kept of every document."""
     small_batches(documents.sparkSession)
@@ -163,11 +180,12 @@ def judge(documents: DataFrame, labels: DataFrame, scratch: Scratch | None = Non
     trusted = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
     labelled = documents.select("doc_id", "text").join(known, "doc_id", "left").select("text", trusted.alias("trusted"))
     table = scratch.save(scored(documents, log_ratios(bucket_counts(labelled))))
-    means = dict(
+    bins = (
         table.where("n_features > 0").join(known, "doc_id").where("quality in (0, 1)")
-        .groupBy("quality").agg(F.floor(F.sum("score_micro") / F.count("*")).cast("long").alias("mean")).collect()
+        .groupBy(F.floor(F.col("score_micro") / BIN).alias("bin"))
+        .agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
     )
-    threshold = (means[0] + means[1]) / 2 if len(means) == 2 else 0.0
+    threshold = best_threshold([tuple(r) for r in bins.collect()])
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     kept = ~failed & (F.col("score_micro") >= F.lit(float(threshold)))
     return table.select("doc_id", *BASE, failed.alias("base_failed"), kept.alias("kept"), "score_micro")
@@ -184,8 +202,13 @@ c AS (SELECT f, count(*) AS raw, count(*) FILTER (good) AS target FROM g GROUP B
 n AS (SELECT sum(raw) AS raws, sum(target) AS targets FROM c),
 p AS (SELECT f, round(ln(((target + 1) / (targets + {BUCKETS})) / ((raw + 1) / (raws + {BUCKETS}))) * {MICRO})::BIGINT AS micro FROM c, n),
 s AS (SELECT r, floor(sum(micro)::DOUBLE / count(*))::BIGINT AS score_micro FROM f JOIN p USING (f) GROUP BY r),
-m AS (SELECT quality, floor(sum(score_micro)::DOUBLE / count(*)) AS mean FROM s JOIN t USING (r) JOIN l USING (doc_id) WHERE quality IN (0, 1) GROUP BY quality),
-h AS (SELECT CASE WHEN count(*) = 2 THEN sum(mean) / 2 ELSE 0 END AS threshold FROM m),
+k AS (SELECT floor(score_micro::DOUBLE / {BIN}) AS bin, sum(quality)::BIGINT AS good, sum(1 - quality)::BIGINT AS bad
+  FROM s JOIN t USING (r) JOIN l USING (doc_id) WHERE quality IN (0, 1) GROUP BY bin),
+m AS (SELECT bin, sum(good) OVER () AS g, sum(bad) OVER () AS b, sum(good) OVER (ORDER BY bin DESC) AS above,
+    sum(bad) OVER (ORDER BY bin) - bad AS below, lag(bin) OVER (ORDER BY bin) AS previous FROM k),
+best AS (SELECT (coalesce(previous + 1, bin) + bin) * {BIN} / 2 AS threshold FROM m WHERE g > 0 AND b > 0
+  ORDER BY above * b + below * g DESC, bin LIMIT 1),
+h AS (SELECT coalesce((SELECT threshold FROM best), 0) AS threshold),
 lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM t),
 dup AS (SELECT r, sum(k - 1)::BIGINT AS n_dup_lines FROM (SELECT r, line, count(*) AS k FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line) GROUP BY r),
 win AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
