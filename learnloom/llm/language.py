@@ -158,23 +158,29 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNetwork |
     each with WINDOWS_PER_TEXT windows spread over the whole text.
     """
     usable = documents.where((fold(F.col("doc_id")) != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("lid")), "doc_id", F.length("text"))
+    sizes = dict(usable.groupBy("lang").count().collect())  # one row per class of the network
+    if not sizes:
+        return None
+    # The smallest hashes of a language lie below a bound that its size gives; only those rows move.
+    enough = per_language + 8 * int(per_language**0.5) + 64
+    bounds = [F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 31, enough * (1 << 31) // n))]
+    spread_id = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("lid")), 33)
+    usable = usable.where(spread_id < F.element_at(F.create_map(*bounds), F.col("lang")))
     size = F.length("text")
+    first = Window.partitionBy("lang").orderBy("_spread", "doc_id", "_size")
     spread = F.transform(
         F.sequence(F.lit(0), F.lit(WINDOWS_PER_TEXT - 1)),
         lambda i: F.substring(F.col("text"), F.floor(i * F.greatest(size - WINDOW, F.lit(0)) / (WINDOWS_PER_TEXT - 1)).cast("int") + 1, F.lit(WINDOW)),
     )
     sample = (
-        usable.select("doc_id", "lang", "text")
+        usable.select("doc_id", "lang", spread_id.alias("_spread"), size.alias("_size"), F.array_distinct(spread).alias("parts"))
         .withColumn("_rank", F.row_number().over(first))
         .where(F.col("_rank") <= per_language)
-        .select("lang", "_rank", F.array_distinct(spread).alias("parts"))
+        .select("lang", "_rank", "parts")
         .orderBy("lang", "_rank")
         .collect()
     )
     languages = sorted({r["lang"] for r in sample})
-    if not languages:
-        return None
     parts = [(p.lower().encode(), languages.index(r["lang"])) for r in sample for p in r["parts"] if LETTER.search(p)]
     if not parts:
         return None
