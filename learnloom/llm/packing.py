@@ -15,6 +15,7 @@ occur. No rows give no pieces. Very long texts give many pieces. A null doc_id s
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,9 +34,13 @@ END_ID = 1
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 # Characters whose classes are alike in all Unicode versions: such texts may be split here.
 PLAIN = re.compile(r"[\x20-\x7E\n\r\t¡-¬®-ɏ‐-‧€]*")
-# The vocabulary's own pre-tokenisation (fixed value).
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 300_000  # pieces kept per worker
+# The vocabulary's own pre-tokenisation (fixed value), with its letters and digits spelt out for
+# the characters of PLAIN.
+LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+PIECES = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+"
+)
+CACHE = 500_000  # pieces kept per worker
 
 
 class Encoder:
@@ -46,19 +51,17 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.split = regex.compile(PIECES).findall
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit values."""
-        pieces = [self.split(t) if t and PLAIN.fullmatch(t) else None for t in texts]
+        pieces = [PIECES.findall(t) if t and PLAIN.fullmatch(t) else None for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known = dict(itertools.islice(self.known.items(), CACHE // 2, None))
         new = list(set().union(*[p for p in pieces if p]).difference(self.known))
         for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.known[piece] = np.array(found.ids, "<u4").tobytes()

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from learnloom.llm import fingerprints, jaccard_join, language, mixing, packing, quality_rules, suffix_dedup
+from learnloom.llm import fingerprints, jaccard_join, language, mixing, packing, quality_rules, suffix_dedup, warc
 from learnloom.llm.common import read
 
 
@@ -38,6 +38,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -49,9 +53,11 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op9_warc": op9_warc,
     "op10_pack": op10_pack,
 }
 ORACLE: dict[str, str] = {
     "op1_fingerprints": fingerprints.SQL,
     "op2_quality_rules": quality_rules.SQL,
+    "op9_warc": warc.SQL,
 }
