@@ -25,6 +25,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def boxed(df: DataFrame) -> Column:
+    """A row of ``df`` as one struct, so that helper columns cannot clash with its names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
+def unboxed(names: list[str]) -> list[Column]:
+    return [F.col("_row").getField(c).alias(c) for c in names]
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WHITE}]+"), lambda w: w != "")

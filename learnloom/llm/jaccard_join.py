@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from learnloom.llm import components as cc
-from learnloom.llm.common import chunks, input_parts, mix64, release, small_batches, text_bytes
+from learnloom.llm.common import boxed, chunks, input_parts, mix64, release, small_batches, text_bytes, unboxed
 from learnloom.llm.shingles import shingle_sets
 from learnloom.session import Scratch
 
@@ -325,8 +325,9 @@ def keep_one(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     found = near_duplicates(documents, scratch)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = stay.select(F.col("doc_id").alias("_stay_id"), F.col("text_crc").alias("_stay_crc"))
-    rows = documents.withColumn("_crc", text_crc())
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_stay_id")) & (F.col("_crc") == F.col("_stay_crc"))
-    again = Window.partitionBy("doc_id", "_crc").orderBy(F.length("text"))  # identical rows
+    row_id = F.col("doc_id").cast("long").alias("_row_id")
+    rows = documents.select(boxed(documents), row_id, text_crc().alias("_row_crc"), F.xxhash64("text").alias("_row_text"))
+    match = F.col("_row_id").eqNullSafe(F.col("_stay_id")) & (F.col("_row_crc") == F.col("_stay_crc"))
+    again = Window.partitionBy("_row_id", "_row_crc").orderBy("_row_text")  # identical rows
     kept = rows.join(stay, match, "left_semi").withColumn("_again", F.row_number().over(again))
-    return kept.where("_again = 1").select(*documents.columns)
+    return kept.where("_again = 1").select(*unboxed(documents.columns))

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from learnloom.llm.common import small_batches
+from learnloom.llm.common import boxed, small_batches, unboxed
 
 WINDOW = 256  # bytes
 WINDOWS_PER_TEXT = 8
@@ -230,5 +230,5 @@ def identify(documents: DataFrame, network: ByteNetwork | None) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to every row."""
     small_batches(documents.sparkSession)
     kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    guess = documents.select(*kept, predictor(network)("text").alias("_guess"))
-    return guess.select(*kept, F.col("_guess.lang_pred").alias("lang_pred"), F.col("_guess.score").alias("score"))
+    guess = documents.select(boxed(documents), predictor(network)("text").alias("_guess"))
+    return guess.select(*unboxed(kept), F.col("_guess.lang_pred").alias("lang_pred"), F.col("_guess.score").alias("score"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from learnloom.llm.common import n_words
+from learnloom.llm.common import boxed, n_words, unboxed
 from learnloom.operators.sequence import number_rows
 from learnloom.session import Scratch
 
@@ -124,7 +124,7 @@ def decide(documents: DataFrame, scratch: Scratch) -> DataFrame:
 
     Rows equal in doc_id, source and text are one unit of ``n`` rows with the same copies.
     """
-    sized = documents.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_key().alias("key"))
+    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), row_key().alias("key"))
     units = scratch.save(sized.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("n")))
     targets = scratch.save(source_targets(units.select("source", (F.col("size") * F.col("n")).alias("size")), scratch))
     counts = units.where("size > 0").groupBy("source").agg(F.count("*").alias("_units"))
@@ -169,7 +169,7 @@ def outcome(rows: DataFrame, item: Column, extra: Column) -> DataFrame:
 
 
 def row_key() -> Column:
-    return F.xxhash64("doc_id", "source", F.coalesce("text", F.lit("")), F.col("text").isNull())
+    return F.xxhash64(F.col("doc_id").cast("long"), "source", F.coalesce("text", F.lit("")), F.col("text").isNull())
 
 
 def mix(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -184,10 +184,7 @@ def apply_mix(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame
     """The mix itself: every row of ``documents`` as often as it is taken."""
     taken = decide(documents, scratch or Scratch(documents.sparkSession)).where("copies > 0")
     taken = taken.select(F.col("key").alias("_key"), F.col("doc_id").alias("_doc_id"), F.col("copies").alias("_copies"))
-    keyed = documents.withColumn("_key2", row_key())
-    match = (F.col("_key2") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
-    return (
-        keyed.join(taken, match)
-        .withColumn("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
-        .select(*documents.columns)
-    )
+    keyed = documents.select(boxed(documents), row_key().alias("_row_key"), F.col("doc_id").cast("long").alias("_row_id"))
+    match = (F.col("_row_key") == F.col("_key")) & F.col("_row_id").eqNullSafe(F.col("_doc_id"))
+    repeated = keyed.join(taken, match).select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
+    return repeated.select(*unboxed(documents.columns))

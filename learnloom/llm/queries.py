@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from learnloom.llm import fingerprints, jaccard_join, language, mixing, packing, quality_rules, suffix_dedup, warc
+from learnloom.llm import backoff, fingerprints, html_text, jaccard_join, language, mixing, packing, quality_rules, suffix_dedup, warc
 from learnloom.llm.common import read
 
 
@@ -28,6 +28,14 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op6_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scores(read(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -51,6 +59,8 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_language": op3_language,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_html_text": op5_html_text,
+    "op6_backoff": op6_backoff,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_warc": op9_warc,

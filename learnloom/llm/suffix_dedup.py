@@ -34,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from learnloom.llm.common import chunks, input_parts, mix64, release, small_batches, text_bytes
+from learnloom.llm.common import boxed, chunks, input_parts, mix64, release, small_batches, text_bytes, unboxed
 from learnloom.llm.shingles import BASE, INVERSE, _powers
 from learnloom.session import Scratch
 
@@ -388,7 +388,8 @@ def remove_repeats(documents: DataFrame, scratch: Scratch | None = None) -> Data
     spans = scratch.save(repeated_places(documents, scratch))
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     columns = [c for c in documents.columns if c not in added]
-    rows = keyed(documents).join(spans, ["_id", "_crc"], "left").select(*columns, "_spans")
+    rows = documents.select(boxed(documents), "doc_id", "text")
+    rows = keyed(rows).join(spans, ["_id", "_crc"], "left").select("_row", "text", "_spans")
 
     @F.pandas_udf("struct<n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string>")
     def cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
@@ -399,6 +400,6 @@ def remove_repeats(documents: DataFrame, scratch: Scratch | None = None) -> Data
             out.append((whole, removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
         return pd.DataFrame(out, columns=added)
 
-    done = rows.select(*columns, cut("text", "_spans").alias("_cut"))
-    return done.select(*columns, *[F.col(f"_cut.{c}").alias(c) for c in added])
+    done = rows.select("_row", cut("text", "_spans").alias("_cut"))
+    return done.select(*unboxed(columns), *[F.col(f"_cut.{c}").alias(c) for c in added])
 
