@@ -161,7 +161,7 @@ def shared_signatures(dealt: DataFrame) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, int)
         size = np.diff(np.append(starts, len(sig)))
         run = np.repeat(np.arange(len(starts)), size)
-        left, right = [], []
+        left, right = [key[:0]], [key[:0]]
         few = np.repeat((size > 1) & (size <= FEW), size)
         for gap in range(1, FEW):
             i = np.flatnonzero(few[: len(few) - gap] & (run[: len(run) - gap] == run[gap:])) if len(run) > gap else np.zeros(0, int)
