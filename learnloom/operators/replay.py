@@ -20,7 +20,7 @@ from learnloom import constants as K
 from learnloom.functions import scalars as S
 from learnloom.operators import missions as M
 from learnloom.operators import skills as SK
-from learnloom.operators.sequence import fold_blocks, running
+from learnloom.operators.sequence import fold_blocks
 from learnloom.session import hash_spread
 
 KEYS = ["learner_id", "subject"]
@@ -51,12 +51,16 @@ def answer_step(skill: dict, correct: bool, difficulty: int, tag: str | None, ta
     return {"mastery": min(100.0, max(0.0, skill["mastery"] + gain)), "tags": tags}
 
 
+def half_up(value: float) -> int:
+    return math.floor(value + 0.5)
+
+
 def gates(skills: dict, n_skills: int) -> tuple[float, float]:
     """Average mastery over the catalogue and the unresolved index."""
     unseen = n_skills - len(skills)
     average = (sum(s["mastery"] for s in skills.values()) + unseen * K.DEFAULT_MASTERY) / n_skills
     top = sorted((row[1] for s in skills.values() for row in s["tags"]), reverse=True)[:2]
-    index = math.floor(sum(top) / len(top) / 100 * 1000 + 0.5) / 1000 if top else 0.0
+    index = half_up(sum(top) / len(top) / 100 * 1000) / 1000 if top else 0.0
     return average, index
 
 
@@ -189,6 +193,3 @@ def append_traces(committed: DataFrame, traces: DataFrame, n: int = K.LOG_RETENT
     """Append a finished mission's answers to the log and keep the last ``n`` per learner."""
     return M.recent_logs(committed.unionByName(traces), n).drop("rank")
 
-
-def running_clears(results: DataFrame, split: bool = True) -> DataFrame:
-    return running(results, KEYS, ["mission_no"], {"clears": ("sum", F.lit(1))}, split)

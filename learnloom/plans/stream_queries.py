@@ -10,15 +10,23 @@ from learnloom.plans.oracle import error_tag, threshold, with_log
 from learnloom.plans.registry import ORACLE, query
 from learnloom.plans.replay_queries import EFFECT, HOURS, loop_sql
 from learnloom.plans.skill_queries import BASE, SCHEDULE
+from learnloom.sources.testdata import SLICE_FILES
 from learnloom.streaming import answers as ST
 
 
-def answer_stream(t):
-    return ST.read_answers(t.spark, t.answer_path, t.answers.schema)
+SLICES = 4  # micro-batches of the registered streams, in time order
+MIXED = [x for k in range(0, 12, 2) for x in (k + 1, k, k, k + 1)]  # out of order and delivered twice
 
 
-def finished(t):
-    return answer_stream(t).where("finished")
+def answer_stream(t, order: list[int] | None = None, slices: int = SLICES):
+    """Answers as a file stream, one slice of time per micro-batch."""
+    name = "stream_answers" + ("_mixed" if order else "")
+    path, rows = t.sliced(name, t.answers, "answered_ms", order or list(range(slices)), slices)
+    return ST.read_answers(t.spark, path, rows.schema, files_per_batch=SLICE_FILES)
+
+
+def finished(t, *order):
+    return answer_stream(t, *order).where("finished")
 
 
 @query(
@@ -63,16 +71,32 @@ def stream_dedup(t):
     return ST.run_available(ST.dedup_answers(sent).select("learner_id", "mission_no", "pos"))
 
 
-@query(
-    "stream_learner_state",
-    loop_sql(
-        """SELECT learner_id, subject, mission_no, before_difficulty, after_difficulty, avg_mastery, unresolved AS unresolved_index
-        FROM loop WHERE n > 0"""
-    ),
-)
+def learner_sql(lateness_ms: int) -> str:
+    """Missions that end before the last watermark, with the state of each skill after them."""
+    return loop_sql(
+        f"""SELECT l.learner_id, l.subject, l.mission_no, x.skill AS skill_id, x.mastery AS mastery, s.streak, s.next_review_at,
+          l.before_difficulty, l.after_difficulty, l.avg_mastery, l.unresolved AS unresolved_index, r.earned_xp, r.earned_stars
+        FROM (SELECT *, unnest(st) AS x FROM loop WHERE n > 0) l
+        JOIN schedule s ON s.learner_id = l.learner_id AND s.skill_id = x.skill AND s.mission_no = l.mission_no
+        JOIN replayed r ON r.learner_id = l.learner_id AND r.mission_no = l.mission_no
+        WHERE s.now_ms < (SELECT max(answered_ms) - {lateness_ms} FROM log)""",
+        SCHEDULE,
+    )
+
+
+def skill_counts(t) -> dict[str, int]:
+    return {r.subject: r.n for r in t.catalogue.groupBy("subject").agg(F.count("*").alias("n")).collect()}
+
+
+@query("stream_learner_state", learner_sql(K.HOUR_MS))
 def stream_learner_state(t):
-    sizes = {r.subject: r.n for r in t.catalogue.groupBy("subject").agg(F.count("*").alias("n")).collect()}
-    return ST.run_available(ST.learner_state(finished(t), sizes))
+    return ST.run_available(ST.learner_state(finished(t), skill_counts(t)))
+
+
+@query("stream_learner_state_redelivered", learner_sql(8 * K.DAY_MS))
+def stream_learner_state_redelivered(t):
+    """Every slice twice and out of order, within the lateness."""
+    return ST.run_available(ST.learner_state(finished(t, MIXED, 12), skill_counts(t), "8 days"))
 
 
 @query(
@@ -87,7 +111,8 @@ def stream_learner_state(t):
     ),
 )
 def stream_due_reviews(t):
-    outcomes = t.spark.readStream.schema(t.outcomes.schema).parquet(t.path_of(t.outcomes))
+    path, rows = t.sliced("stream_outcomes", t.outcomes, "now_ms", list(range(SLICES)), SLICES)
+    outcomes = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(path)
     return ST.run_available(ST.due_reviews(outcomes.withColumn("at", F.timestamp_millis("now_ms"))))
 
 

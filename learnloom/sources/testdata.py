@@ -6,6 +6,7 @@ log (every event is an answer). The same mapping exists as SQL in ``plans.oracle
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -15,7 +16,7 @@ from learnloom import constants as K
 from learnloom.functions.scalars import epoch_ms, js_round
 from learnloom.operators import diagnostics, sequence, skills
 from learnloom.operators.bank import skill_catalogue
-from learnloom.session import hash_spread, materialise, use_utc
+from learnloom.session import checkpoint_root, hash_spread, materialise, use_utc
 
 # Six skills per subject, including every skill that a tag rule or fact parser names.
 SKILLS = [
@@ -24,6 +25,7 @@ SKILLS = [
     ["clock_hour", "clock_half", "money_value", "money_sum", "money_change", "safety_road"],
     ["route_optimization", "odd_one_out", "pattern_next", "logic_order", "maze_path", "matching"],
 ]
+SLICE_FILES = 2  # files of one slice of a file stream
 NOW_MS = 1_706_745_600_000  # 2024-02-01T00:00:00Z
 
 
@@ -147,15 +149,6 @@ class Tables:
         unfinished = {c: F.when(F.col("finished"), F.col(c)) for c in ("guess_threshold_ms", "error_tag")}
         return materialise(tagged.withColumns(unfinished), by, partitioned=not self.split)
 
-    @staticmethod
-    def path_of(table: DataFrame) -> str:
-        """Folder of a materialised table."""
-        return table.inputFiles()[0].rsplit("/", 1)[0]
-
-    @property
-    def answer_path(self) -> str:
-        return self.path_of(self.answers)
-
     @cached_property
     def outcomes(self) -> DataFrame:
         """Last answer per (mission, skill), bucketed like the answers."""
@@ -175,6 +168,18 @@ class Tables:
             self._derived[name] = materialise(build())
         return self._derived[name]
 
+    def sliced(self, name: str, rows: DataFrame, time: str, order: list[int], slices: int) -> tuple[str, DataFrame]:
+        """Folder with ``rows`` cut into ``slices`` by time, written in the given order, so that
+        a file stream reads one slice after the other. Returned with the rows (their schema)."""
+        if name not in self._derived:
+            path = f"{checkpoint_root(self.spark).rstrip('/')}/learnloom/{name}_{uuid.uuid4().hex}"
+            cuts = rows.approxQuantile(time, [i / slices for i in range(1, slices)], 0.001)
+            part = sum(((F.col(time) >= c).cast("int") for c in cuts), F.lit(0))
+            for i in order:
+                rows.where(part == i).repartition(SLICE_FILES).write.mode("append").parquet(path)
+            self._derived[name] = path
+        return self._derived[name], rows
+
     @property
     def bank(self) -> DataFrame:
         return bank(self.spark, self.sf_dir)

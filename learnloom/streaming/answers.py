@@ -39,6 +39,7 @@ def run_available(stream: DataFrame, keys: list[str] | None = None) -> DataFrame
     def append(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")  # a retried batch replaces itself
 
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch_id=-1")  # no input, no rows
     query = (
         stream.writeStream.foreachBatch(append)
         .outputMode("update" if keys else "append")
@@ -84,52 +85,108 @@ def dedup_answers(stream: DataFrame, lateness: str = "2 hours") -> DataFrame:
 
 
 LEARNER_OUT = (
-    "learner_id bigint, subject string, mission_no bigint, before_difficulty int, after_difficulty int, "
-    "avg_mastery double, unresolved_index double"
+    "learner_id bigint, subject string, mission_no bigint, skill_id string, mastery double, streak bigint, "
+    "next_review_at bigint, before_difficulty int, after_difficulty int, avg_mastery double, unresolved_index double, "
+    "earned_xp bigint, earned_stars bigint"
 )
 
 
-def learner_state(stream: DataFrame, n_skills: dict[str, int]) -> DataFrame:
-    """Adaptive state per (learner, subject): a row per mission once its answers are complete.
+class LearnerState:
+    """Adaptive state of one (learner, subject): target, skills, open missions and the number of
+    the last mission that was folded. Its size does not follow the learner's history."""
 
-    A learner plays one mission after the other. State is the target, the skills and the
-    answers of open missions; it does not grow with the learner's history. ``n_skills`` is the number of catalogue skills per subject.
+    def __init__(self, saved: str | None):
+        self.now = json.loads(saved) if saved else {"target": 1, "skills": {}, "open": {}, "folded": -1}
+
+    def add(self, row) -> None:
+        """Note an answer; one of a mission that was folded already was delivered before."""
+        if row.mission_no <= self.now["folded"]:
+            return
+        tag = row.error_tag if isinstance(row.error_tag, str) else None
+        answers = self.now["open"].setdefault(str(row.mission_no), {})
+        answers[str(row.pos)] = [row.skill_id, bool(row.correct), int(row.difficulty), tag, row.mode, int(row.answered_ms)]
+
+    @staticmethod
+    def ended(answers: dict) -> int:
+        return max(a[5] for a in answers.values())
+
+    def fold(self, watermark: int, n_skills: int) -> list[tuple]:
+        """Fold, in order, the missions whose answers all lie before the watermark.
+
+        Nothing that belongs before them can still arrive, whatever the batches were. A mission
+        that is incomplete then was abandoned and leaves no trace.
+        """
+        out = []
+        for mission_no in sorted(map(int, self.now["open"])):
+            answers = self.now["open"][str(mission_no)]
+            if self.ended(answers) >= watermark:
+                break
+            del self.now["open"][str(mission_no)]
+            self.now["folded"] = mission_no
+            if len(answers) == K.MISSION_SIZE:
+                out += self.mission(mission_no, [answers[str(p)] for p in sorted(map(int, answers))], n_skills)
+        return out
+
+    def mission(self, mission_no: int, answers: list, n_skills: int) -> list[tuple]:
+        skills, before = self.now["skills"], self.now["target"]
+        ended = max(a[5] for a in answers)
+        last = {a[0]: a for a in answers}
+        fresh = {"mastery": K.DEFAULT_MASTERY, "tags": [], "streak": 0}
+        for skill, (_, correct, difficulty, tag, _, _) in last.items():
+            past = skills.get(skill, fresh)
+            streak = past["streak"] + 1 if correct else 0
+            wait = K.REVIEW_LADDER_MS[min(streak, len(K.REVIEW_LADDER_MS) - 1)] if correct else K.WRONG_REVIEW_MS
+            step = replay.answer_step(past, correct, difficulty, tag, before)
+            skills[skill] = step | {"streak": streak, "due": ended + wait}
+        average, index = replay.gates(skills, n_skills)
+        right, size = sum(a[1] for a in answers), len(answers)
+        served, mode = sum(a[2] for a in answers) / size, answers[0][4]
+        after = self.now["target"] = replay.target_step(before, right / size, average, index, served, mode)
+        xp = 10 * right + K.MODE_XP[mode] + replay.half_up(right / size * 10) + 15 * (after > before) + replay.half_up(served * 2)
+        stars = right + (3 if right == size else 1) + (after > before)
+        return [
+            (mission_no, s, skills[s]["mastery"], skills[s]["streak"], skills[s]["due"], before, after, average, index, xp, stars)
+            for s in last
+        ]
+
+    def timer(self, watermark: int) -> int | None:
+        """When the earliest open mission can be closed."""
+        ends = [self.ended(a) for a in self.now["open"].values()]
+        return max(min(ends) + 1, watermark + 1) if ends else None
+
+    def saved(self) -> str:
+        return json.dumps(self.now)
+
+
+def learner_state(stream: DataFrame, n_skills: dict[str, int], lateness: str = "1 hour") -> DataFrame:
+    """Adaptive state per (learner, subject): one row per mission and skill once the mission is
+    closed by the watermark, with difficulty, gates, rewards, mastery and review time.
+
+    The result depends neither on the borders of the batches nor on the order of rows inside
+    ``lateness``, and answers that are delivered again change nothing. ``n_skills`` is the
+    number of catalogue skills per subject.
     """
 
     def update(key, frames, state: GroupState):
-        learner, subject = key
-        now = json.loads(state.get[0]) if state.exists else {"target": 1, "skills": {}, "open": {}}
+        learner = LearnerState(state.get[0] if state.exists else None)
         for frame in frames:
             for row in frame.itertuples(index=False):
-                answers = now["open"].setdefault(str(row.mission_no), {})
-                tag = row.error_tag if isinstance(row.error_tag, str) else None
-                answers[str(row.pos)] = [row.skill_id, bool(row.correct), int(row.difficulty), tag, row.mode]
-        done = sorted((int(m) for m, a in now["open"].items() if len(a) == K.MISSION_SIZE))
-        out = []
-        for mission_no in done:
-            answers = [a for _, a in sorted(now["open"].pop(str(mission_no)).items(), key=lambda e: int(e[0]))]
-            target = now["target"]
-            last = {a[0]: a for a in answers}
-            fresh = {"mastery": K.DEFAULT_MASTERY, "tags": []}
-            now["skills"] |= {
-                s: replay.answer_step(now["skills"].get(s, fresh), a[1], a[2], a[3], target) for s, a in last.items()
-            }
-            average, index = replay.gates(now["skills"], n_skills[subject])
-            accuracy = sum(a[1] for a in answers) / len(answers)
-            served = sum(a[2] for a in answers) / len(answers)
-            now["target"] = replay.target_step(target, accuracy, average, index, served, answers[0][4])
-            out.append((learner, subject, mission_no, target, now["target"], average, index))
-        if done:  # an older open mission was abandoned and leaves no trace
-            now["open"] = {m: a for m, a in now["open"].items() if int(m) > done[-1]}
-        state.update((json.dumps(now),))
+                learner.add(row)
+        watermark = state.getCurrentWatermarkMs()
+        out = learner.fold(watermark, n_skills[key[1]])
+        state.update((learner.saved(),))
+        timer = learner.timer(watermark)
+        if timer is not None:
+            state.setTimeoutTimestamp(timer)
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in LEARNER_OUT.split(", ")])
+            yield pd.DataFrame([(*key, *row) for row in out], columns=[c.split()[0] for c in LEARNER_OUT.split(", ")])
 
-    rows = stream.select(
-        "learner_id", "subject", "mission_no", "pos", "skill_id", "correct", "difficulty", "error_tag", "mode"
+    rows = stream.withWatermark("answered_at", lateness).select(
+        "learner_id", "subject", "mission_no", "pos", "skill_id", "correct", "difficulty", "error_tag", "mode", "answered_ms",
+        "answered_at",
     )
     return rows.groupBy("learner_id", "subject").applyInPandasWithState(
-        update, LEARNER_OUT, "state string", "append", GroupStateTimeout.NoTimeout
+        update, LEARNER_OUT, "state string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

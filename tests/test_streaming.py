@@ -21,8 +21,10 @@ def parts(tables, tmp_path_factory):
         "learner_id", "mission_no", "pos", "seq", "question_id", "subject", "skill_id", "difficulty", "correct",
         "selected_index", "latency_ms", "answered_ms", "event_id", "event_type", "mode", "error_tag",
     )
-    for i in range(3):
-        log.where((F.col("mission_no") >= 5 * i) & ((F.col("mission_no") < 5 * i + 5) | F.lit(i == 2))).coalesce(1).write.mode("append").parquet(path)
+    low, high = log.approxQuantile("answered_ms", [1 / 3, 2 / 3], 0)
+    at = F.col("answered_ms")
+    for part in (at < low, (at >= low) & (at < high), at >= high):
+        log.where(part).coalesce(1).write.mode("append").parquet(path)
     return path, log
 
 
@@ -45,8 +47,35 @@ def test_tagged_stream_equals_batch(spark, tables, parts):
 
 def test_learner_state_over_batches_equals_replay(spark, tables, parts):
     sizes = {r.subject: r.n for r in B.skill_catalogue(tables.bank).groupBy("subject").agg(F.count("*").alias("n")).collect()}
-    got = ST.run_available(ST.learner_state(stream(spark, parts), sizes))
-    assert same(got, folded(tables).select(got.columns).distinct())
+    got = ST.run_available(ST.learner_state(stream(spark, parts), sizes, "60 days"))
+    assert got.count() == 0  # nothing is certain yet
+    state = ["learner_id", "subject", "mission_no", "skill_id", "mastery", "before_difficulty", "after_difficulty", "avg_mastery"]
+    got = ST.run_available(ST.learner_state(stream(spark, parts), sizes, "0 seconds")).select(state)
+    end = tables.log.agg(F.max("answered_ms")).first()[0]
+    done = tables.log.groupBy("learner_id", "mission_no").agg(F.max("answered_ms").alias("end")).where(F.col("end") < end)
+    assert same(got, folded(tables).join(done, ["learner_id", "mission_no"], "left_semi").select(state))
+
+
+def test_abandoned_and_repeated_missions(spark, tmp_path):
+    """Mission 1 stays incomplete, mission 0 is delivered again after it was folded."""
+    path, minute = str(tmp_path / "in"), K.MINUTE_MS
+    columns = (
+        "learner_id bigint, subject string, mission_no bigint, pos bigint, skill_id string, correct boolean, difficulty int, "
+        "error_tag string, mode string, answered_ms bigint"
+    )
+    answers = lambda m, n: [(1, "math", m, p, f"s{p % 2}", p > 0, 1, None, "learn", K.DAY_MS + (10 * m + p) * minute) for p in range(n)]
+    for rows in [answers(0, 3), answers(0, 5) + answers(1, 4), answers(2, 5), answers(0, 5)[4:] + answers(3, 5), answers(9, 1)]:
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    got = ST.run_available(ST.learner_state(ST.read_answers(spark, path, schema, 1), {"math": 2}, "30 minutes")).collect()
+    assert sorted((r.mission_no, r.skill_id) for r in got) == [(m, s) for m in (0, 2, 3) for s in ("s0", "s1")]
+
+
+def test_no_input_gives_no_rows(spark, tables, tmp_path):
+    schema = tables.log.schema
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
+    stats = ST.run_available(ST.daily_stats(ST.read_answers(spark, str(tmp_path / "in"), schema)), ["learner_id", "window_start"])
+    assert stats.count() == 0
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
