@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from learnloom import constants as K
 from learnloom import dictionary as D
-from learnloom.functions.tags import skill_tag, tag_texts
-from learnloom.operators.sequence import BLOCK_ROWS, number_rows  # noqa: F401
+from learnloom.functions.tags import skill_tag
 
 CELLS = ["id", "subject", "skill_id", "difficulty", "prompt", "choice1", "choice2", "choice3", "answer_index", "hint"]
 _DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -152,6 +151,3 @@ def visual_coverage(facts: DataFrame) -> DataFrame:
         F.count("*").alias("questions"), F.count("kind").alias("with_visual")
     )
 
-
-def texts(spark: SparkSession) -> DataFrame:
-    return tag_texts(spark)

@@ -44,14 +44,15 @@ def cooldown_filter(events: DataFrame, keys: list[str], at: str, cooldown: str,
         if starts is None:
             rows = rows.withColumn("state", F.lit(None).cast("bigint"))
         else:
-            rows = rows.join(starts, group, "left")
+            rows = rows.join(starts.select(*group, F.get("state.value", F.lit(0)).alias("state")), group, "left")
         return rows.withColumn("accepted", _flags(f"rows.{at}", f"rows.{cooldown}", "state"))
 
     def run(frame, starts):
         passed = F.filter(F.arrays_zip(F.col(f"rows.{at}").alias("at"), F.col("accepted").alias("ok")), lambda e: e.ok)
         last = F.array_max(F.transform(passed, lambda e: e["at"]))
-        return flagged(frame, [at, cooldown], starts).select(*group, F.coalesce(last, "state").alias("state"))
+        ended = flagged(frame, [at, cooldown], starts).select(*group, F.lit("last").alias("part"), last.alias("value"))
+        return ended.where("value is not null")
 
-    starts = fold_blocks(events, keys, run)
+    starts = fold_blocks(events, keys, run, "bigint")
     out = flagged(events, rest, starts).select(*group, F.inline(F.arrays_zip("rows", "accepted")))
     return out.select(*group, "rows.*", "accepted").select(*events.columns, "accepted")

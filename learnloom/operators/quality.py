@@ -8,7 +8,7 @@ from learnloom import constants as K
 from learnloom.functions import scalars as S
 from learnloom.operators.bank import tagged_questions
 from learnloom.operators.diagnostics import wrong_tagged
-from learnloom.operators.sequence import neighbour, top_rows
+from learnloom.operators.sequence import neighbour, running
 
 
 def unknown_share(log: DataFrame) -> DataFrame:
@@ -124,8 +124,6 @@ def reserve_reach(log: DataFrame, errors: DataFrame, within: int = 2, split: boo
 
 
 def _subject_mission_no(missions: DataFrame, split: bool) -> DataFrame:
-    from learnloom.operators.sequence import running
-
     numbered = running(missions, ["learner_id", "subject"], ["mission_no"], {"subject_no": ("sum", F.lit(1))}, split)
     return numbered.drop("n_blocks")
 
@@ -175,6 +173,3 @@ def daily_divergence(daily: DataFrame, missions: DataFrame) -> DataFrame:
         "learner_id", "date", S.to_fixed(F.abs(day - F.col("_mean")), 6).alias("divergence")
     )
 
-
-def latest(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
-    return top_rows(df, keys, [F.desc(order)], n)

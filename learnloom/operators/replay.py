@@ -14,7 +14,7 @@ from itertools import groupby
 from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from learnloom import constants as K
 from learnloom.functions import scalars as S
@@ -81,62 +81,95 @@ _FOLD_COLUMNS = [
 ]
 
 
-def _fold(state: str | None, rows: pd.DataFrame) -> tuple[str, list[tuple]]:
-    """Fold one block of outcomes; returns the end state and one row per outcome."""
-    now = json.loads(state) if state else {"target": 1, "skills": {}}
-    target, skills, out = now["target"], now["skills"], []
-    ordered = rows.sort_values("mission_no", kind="stable")
-    records = zip(*(ordered[c].tolist() for c in _FOLD_COLUMNS))
+TARGET = ""  # the part of a fold's state that holds the target
+OF = "\t"  # skill and tag of a part that holds a tag; a part without it is a skill's mastery
+
+
+def _load(state: str | None) -> tuple[int, dict]:
+    """Target and skills from the parts of a state."""
+    parts = {name: json.loads(value) for name, value in (json.loads(state) if state else {}).items()}
+    target = parts.pop(TARGET, 1)
+    skills = {name: {"mastery": value, "tags": []} for name, value in parts.items() if OF not in name}
+    for name, (_, priority, resolved) in sorted(((n, v) for n, v in parts.items() if OF in n), key=lambda e: e[1][0]):
+        skill, tag = name.split(OF)
+        skills.setdefault(skill, {"mastery": K.DEFAULT_MASTERY, "tags": []})["tags"].append([tag, priority, resolved])
+    return target, skills
+
+
+def _fold(state: str | None, rows: str) -> tuple[dict[str, str], list[tuple]]:
+    """Fold one block of outcomes (JSON, in order); returns the parts it touched and one row
+    per outcome."""
+    records = ([r.get(c) for c in _FOLD_COLUMNS] for r in json.loads(rows))
+    target, skills = _load(state)
+    touched, out = set(), []
     for mission_no, mission in groupby(records, key=itemgetter(0)):
         updated, raised = {}, {}
         for _, skill, correct, difficulty, tag, n_skills, accuracy, served, mode in mission:
             past = skills.get(skill, {"mastery": K.DEFAULT_MASTERY, "tags": []})
-            tag = tag if isinstance(tag, str) and not correct else None
-            updated[skill] = answer_step(past, correct, difficulty, tag, target)
-            raised[skill] = next((row[1] for row in updated[skill]["tags"] if row[0] == tag), None)
+            tag = tag if not correct else None
+            step = updated[skill] = answer_step(past, correct, difficulty, tag, target)
+            raised[skill] = next((row[1] for row in step["tags"] if row[0] == tag), None)
+            touched.add((skill, None))
+            touched.update((skill, row[0]) for row in step["tags"] if row not in past["tags"])
         skills.update(updated)
         average, index = gates(skills, n_skills)
         after = target_step(target, accuracy, average, index, served, mode)
         out += [(mission_no, k, s["mastery"], target, after, average, index, raised[k]) for k, s in updated.items()]
         target = after
-    return json.dumps({"target": target, "skills": skills}, sort_keys=True), out
+    ends = {TARGET: target}
+    for skill, state_of in skills.items():
+        if (skill, None) in touched:
+            ends[skill] = state_of["mastery"]
+        for ordinal, (tag, priority, resolved) in enumerate(state_of["tags"]):
+            if (skill, tag) in touched:  # a tag at 0 has forgotten how often it was eased
+                ends[skill + OF + tag] = [ordinal, priority, resolved if priority else 0]
+    return {name: json.dumps(value) for name, value in ends.items()}, out
+
+
+_ENDS = T.MapType(T.StringType(), T.StringType())
+_ROW_NAMES = [c.split()[0] for c in FOLD_SCHEMA.split(", ") if c.split()[0] not in (*KEYS, "block")]
+_ROW_TYPES = {"mission_no": T.LongType(), "skill_id": T.StringType(), "before_difficulty": T.IntegerType(), "after_difficulty": T.IntegerType()}
+_ROWS = T.ArrayType(T.StructType([T.StructField(n, _ROW_TYPES.get(n, T.DoubleType())) for n in _ROW_NAMES]))
+
+
+@F.pandas_udf(_ENDS)
+def _ends(state: pd.Series, rows: pd.Series) -> pd.Series:
+    return pd.Series([_fold(s, r)[0] for s, r in zip(state, rows)], dtype=object)
+
+
+@F.pandas_udf(_ROWS)
+def _rows(state: pd.Series, rows: pd.Series) -> pd.Series:
+    folded = (_fold(s, r)[1] for s, r in zip(state, rows))
+    return pd.Series([[dict(zip(_ROW_NAMES, row)) for row in out] for out in folded], dtype=object)
 
 
 def fold_missions(outcomes: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Mastery (and priority of the error's tag) per outcome; difficulty and gates per mission.
 
-    Groups are (learner, subject, block), never a whole learner; ``fold_blocks`` chains the
-    blocks of learners that own several. Outcomes carry their mission's score, so with the
-    bucketed table no shuffle precedes the fold.
+    Spark gathers the outcomes of a (learner, subject, block), never of a whole learner; one
+    Arrow batch then holds many of them. ``fold_blocks`` chains the blocks of learners that own
+    several. Outcomes carry their mission's score, so with the bucketed table no shuffle
+    precedes the fold.
     """
     sizes = catalogue.groupBy("subject").agg(F.count("*").alias("n_skills"))
-    rows = outcomes.drop("target_difficulty", "now_ms").join(F.broadcast(sizes), "subject")  # one row per subject
+    rows = outcomes.join(F.broadcast(sizes), "subject")  # one row per subject
     group = [*KEYS, "block"]
+    gathered = F.array_sort(F.collect_list(F.struct(*_FOLD_COLUMNS)))
 
     def with_starts(frame, starts):
+        blocks = frame.groupBy(*group).agg(F.to_json(gathered).alias("rows"))
         if starts is None:
-            return frame.withColumn("state", F.lit(None).cast("string"))
+            return blocks.withColumn("state", F.lit(None).cast("string"))
+        saved = starts.select(*group, F.to_json(F.map_from_entries("state")).alias("state"))
         # Python work is heavy per byte; the runtime would merge small partitions by size.
-        return hash_spread(frame.join(starts, group, "left"), group)
-
-    def ends(key, pdf):
-        return pd.DataFrame([(*key, _fold(pdf["state"].iloc[0], pdf)[0])], columns=[*group, "state"])
-
-    def emit(key, pdf):
-        learner, subject, block = key
-        out = _fold(pdf["state"].iloc[0], pdf)[1]
-        return pd.DataFrame(
-            [(learner, subject, block, *row) for row in out],
-            columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")],
-        )
+        return hash_spread(blocks.join(saved, group, "left"), group)
 
     def run(frame, starts):
-        return with_starts(frame, starts).groupBy(*group).applyInPandas(
-            ends, "learner_id long, subject string, block long, state string"
-        )
+        return with_starts(frame, starts).select(*group, F.explode(_ends("state", "rows")).alias("part", "value"))
 
     starts = fold_blocks(rows, KEYS, run)
-    return with_starts(rows, starts).groupBy(*group).applyInPandas(emit, FOLD_SCHEMA)
+    out = with_starts(rows, starts).select(*group, F.inline(_rows("state", "rows")))
+    return out.select(*[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
 
 
 def replay_results(log: DataFrame, outcomes: DataFrame, folded: DataFrame, split: bool = True) -> DataFrame:

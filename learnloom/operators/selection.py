@@ -215,7 +215,7 @@ def assemble(found: DataFrame, targets: DataFrame, due_counts: DataFrame) -> Dat
     out = out.withColumn("_m1", _best("m"))
     rest = F.filter("m", lambda r: r.question_id != F.col("_m1.question_id"))
     other = F.filter(rest, lambda r: r.tag != F.col("_m1.tag"))
-    out = out.withColumn("_m2", F.when(F.col("due_misconceptions") >= 2, F.coalesce(_best(other), _best(rest))))
+    out = out.withColumn("_m2", F.when(F.col("due_misconceptions") >= K.MISCONCEPTION_SLOTS, F.coalesce(_best(other), _best(rest))))
     out = out.withColumn(
         "misconception_ids", F.coalesce(F.array_compact(F.array("_m1.question_id", "_m2.question_id")), none)
     ).withColumn("used", F.col("misconception_ids"))

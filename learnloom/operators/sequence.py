@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from learnloom.session import materialise
+from learnloom.session import Scratch, materialise
 
 BLOCK_ROWS = 100_000
 
@@ -152,39 +152,44 @@ def with_halo(df: DataFrame, rows: int, block_rows: int, split: bool = True, seq
     return reduce(DataFrame.unionByName, copies, own)
 
 
-def fold_blocks(rows: DataFrame, keys: list[str], run, state: str = "state") -> DataFrame | None:
+STATE = "array<struct<part:string,value:{}>>"
+
+
+def fold_blocks(rows: DataFrame, keys: list[str], run, kind: str = "string") -> DataFrame | None:
     """Start state of every (keys, block) for a fold that must run in order.
 
-    ``run(rows, starts)`` folds each (keys, block) from its state in ``starts`` (None or
-    null = initial) and returns (keys, block, ``state``) at the block's end. All blocks
-    run at once from a guess; a block is repeated only while its predecessor's end state
-    differs from the state it was started with. The result is exact: block k is final
-    after at most k+1 rounds, and states that forget the past settle much earlier.
-    Only (keys, block, state) summaries move between rounds. Returns (keys, block, state)
-    of the learners that own several blocks, or None when there are none.
+    A state is a set of named parts (say one per skill). ``run(rows, starts)`` folds each
+    (keys, block) from its state in ``starts`` (None = all initial) and returns (keys, block,
+    part, value) for the parts that the block touched. All blocks run at once; a part starts a
+    block with the value of the last earlier block that touched it, so one that is no longer
+    used reaches all later blocks at once. A block is repeated only while its start state
+    changes. The result is exact: block k is final after at most k+1 rounds, and earlier where
+    blocks forget the state they began with. Only states move between rounds.
+    Returns (keys, block, ``state``: array of part and value, sorted) of the learners that own
+    several blocks, or None when there are none.
     """
     if not is_split(rows):
         return None
+    scratch = Scratch(rows.sparkSession)
     split_rows = rows.where(F.col("n_blocks") > 1)
-    chain = materialise(
-        split_rows.select(*keys, "block")
-        .distinct()
-        .withColumn("_prev", F.lag("block").over(Window.partitionBy(*keys).orderBy("block")))
-    )
-    ends = materialise(run(split_rows, None))
-    state_type = ends.schema[state].dataType
-    starts = materialise(chain.select(*keys, "block", F.lit(None).cast(state_type).alias(state)))
+    block, kind = [*keys, "block"], STATE.format(kind)
+    chain = scratch.save(split_rows.select(*block).distinct())
+    starts = chain.withColumn("state", F.array().cast(kind))
+    ends = scratch.save(run(split_rows, None))
+    earlier = Window.partitionBy(*keys, "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     while True:
-        incoming = chain.join(
-            ends.select(*keys, F.col("block").alias("_prev"), F.col(state).alias("_in")), [*keys, "_prev"], "left"
-        ).select(*keys, "block", "_in")
-        linked = materialise(starts.join(incoming, [*keys, "block"], "left"))
-        stale = linked.where(~F.col(state).eqNullSafe(F.col("_in")))
-        if stale.isEmpty():
-            return starts
-        starts = linked.select(*keys, "block", F.col("_in").alias(state))
-        stale = stale.select(*keys, "block", F.col("_in").alias(state))
-        fresh = materialise(run(split_rows.join(stale.drop(state), [*keys, "block"], "left_semi"), stale))
-        ends = materialise(
-            ends.join(fresh.select(*keys, "block"), [*keys, "block"], "left_anti").unionByName(fresh)
+        grid = chain.join(ends.select(*keys, "part").distinct(), keys).join(ends, [*block, "part"], "left")
+        filled = grid.withColumn("value", F.last("value", ignorenulls=True).over(earlier)).where("value is not null")
+        incoming = filled.groupBy(*block).agg(F.array_sort(F.collect_list(F.struct("part", "value"))).alias("_in"))
+        linked = scratch.save(
+            starts.join(incoming, block, "left").withColumn("_in", F.coalesce("_in", F.array().cast(kind)))
         )
+        changed = linked.where(F.col("state") != F.col("_in"))
+        following = linked.select(*block, F.col("_in").alias("state"))
+        if changed.isEmpty():
+            return following
+        changed = changed.select(*block, F.col("_in").alias("state"))
+        fresh = run(split_rows.join(changed.drop("state"), block, "left_semi"), changed)
+        replaced = scratch.save(ends.join(changed.drop("state"), block, "left_anti").unionByName(fresh))
+        scratch.drop(ends, starts)
+        starts, ends = following, replaced

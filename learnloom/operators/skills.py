@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from learnloom import constants as K
 from learnloom.functions import scalars as S
-from learnloom.operators.sequence import fold_blocks, neighbour, running, top_rows
+from learnloom.operators.sequence import STATE, fold_blocks, neighbour, running, top_rows
 from learnloom.session import broadcast_checked
 
 SKILL = ["learner_id", "subject", "skill_id"]
@@ -148,14 +148,18 @@ def subject_mastery(mastery: DataFrame, catalogue: DataFrame, learners: DataFram
 # --- misconceptions ----------------------------------------------------------------
 
 # Per tag and block: priority and resolved streak at the end, and what the block did to the
-# counters: errors added, and recent errors as the step r -> max(rec_floor, r + rec_add).
+# counters: errors added, recent errors as the step r -> max(rec_floor, r + rec_add), and how often
+# it was eased since its last error (or the block's start).
 _TAG_STATE = (
     "array<struct<tag:string,priority:double,resolved:bigint,errors:bigint,"
-    "rec_add:bigint,rec_floor:bigint,last_ms:bigint,last_error:boolean>>"
+    "rec_add:bigint,rec_floor:bigint,last_ms:bigint,last_error:boolean,eased:bigint>>"
 )
 
 
-def _tag_row(tag, priority, resolved, errors, rec_add, rec_floor, last_ms, last_error) -> Column:
+_TAG_VALUE = "struct<ordinal:int,priority:double,resolved:bigint>"  # what a later block needs
+
+
+def _tag_row(tag, priority, resolved, errors, rec_add, rec_floor, last_ms, last_error, eased) -> Column:
     return F.struct(
         tag.alias("tag"),
         priority.alias("priority"),
@@ -165,29 +169,32 @@ def _tag_row(tag, priority, resolved, errors, rec_add, rec_floor, last_ms, last_
         rec_floor.alias("rec_floor"),
         last_ms.alias("last_ms"),
         last_error.alias("last_error"),
+        eased.alias("eased"),
     )
 
 
 def _fold_block() -> Column:
-    """Tag states after the block's ``events``, from ``state`` (tag, priority, resolved)."""
+    """Tag states after the block's ``events``, from ``state`` (one part per tag), in the order
+    in which the tags were first seen."""
     zero, true, false = F.lit(0).cast("bigint"), F.lit(True), F.lit(False)
     none = F.lit(None).cast("bigint")
+    seen = F.array_sort(F.transform("state", lambda s: F.struct(s.value.ordinal.alias("ordinal"), s.part.alias("tag"), s.value.alias("value"))))
     start = F.transform(
-        F.coalesce(F.col("state"), F.array().cast("array<struct<tag:string,priority:double,resolved:bigint>>")),
-        lambda s: _tag_row(s.tag, s.priority, s.resolved, zero, zero, zero, none, false),
+        F.coalesce(seen, F.array()),
+        lambda s: _tag_row(s.tag, s.value.priority, s.value.resolved, zero, zero, zero, none, false, zero),
     ).cast(_TAG_STATE)
 
     def error(e, priority, errors, rec_add, rec_floor):
         raised = priority + F.lit(12.0) * (F.lit(1.0) + e.difficulty * F.lit(0.2))
         return _tag_row(
-            e.error_tag, S.clamp(raised, 0.0, 100.0), zero, errors + 1, rec_add + 1, rec_floor + 1, e.now_ms, true
+            e.error_tag, S.clamp(raised, 0.0, 100.0), zero, errors + 1, rec_add + 1, rec_floor + 1, e.now_ms, true, zero
         )
 
     def decay(e, s):
         resolved = s.resolved + 1
         eased = S.clamp(s.priority - (F.lit(6.0) + resolved * 2), 0.0, 100.0)
         floor = F.greatest(zero, s.rec_floor - 1)
-        return _tag_row(s.tag, eased, resolved, s.errors, s.rec_add - 1, floor, e.now_ms, false)
+        return _tag_row(s.tag, eased, resolved, s.errors, s.rec_add - 1, floor, e.now_ms, false, s.eased + 1)
 
     def step(state, e):
         priorities = F.transform(state, lambda s: s.priority)
@@ -216,9 +223,7 @@ def _block_ends(outcomes: DataFrame, starts: DataFrame | None) -> DataFrame:
     events = F.array_sort(F.collect_list(F.struct("mission_no", "correct", "error_tag", "difficulty", "now_ms")))
     blocks = outcomes.groupBy(*SKILL_BLOCK).agg(events.alias("events"))
     if starts is None:
-        blocks = blocks.withColumn(
-            "state", F.lit(None).cast("array<struct<tag:string,priority:double,resolved:bigint>>")
-        )
+        blocks = blocks.withColumn("state", F.lit(None).cast(STATE.format(_TAG_VALUE)))
     else:
         blocks = blocks.join(starts, SKILL_BLOCK, "left")
     return blocks.select(*SKILL_BLOCK, _fold_block().alias("tags"))
@@ -229,20 +234,26 @@ def misconception_fold(outcomes: DataFrame) -> DataFrame:
 
     A wrong answer raises its tag; a right one eases the skill's highest-priority tag.
     Which tag is eased depends on the past, so blocks are chained by ``fold_blocks``; the
-    chained state is only priority and resolved streak, counters are merged afterwards.
+    chained state is only order, priority and resolved streak, counters are merged afterwards.
     """
 
     def run(rows, starts):
-        core = F.transform("tags", lambda s: F.struct(s.tag.alias("tag"), s.priority.alias("priority"), s.resolved.alias("resolved")))
-        return _block_ends(rows, starts).select(*SKILL_BLOCK, core.alias("state"))
+        touched = _block_ends(rows, starts).select(*SKILL_BLOCK, F.posexplode("tags").alias("ordinal", "t"))
+        priority = F.col("t.priority")  # at 0, easing changes nothing until an error starts anew
+        resolved = F.when(priority > 0, F.col("t.resolved")).otherwise(F.lit(0).cast("bigint"))
+        value = F.struct("ordinal", priority.alias("priority"), resolved.alias("resolved"))
+        return touched.where("t.last_ms is not null").select(*SKILL_BLOCK, F.col("t.tag").alias("part"), value.alias("value"))
 
-    starts = fold_blocks(outcomes, SKILL, run)
+    starts = fold_blocks(outcomes, SKILL, run, _TAG_VALUE)
     ends = _block_ends(outcomes, starts).select(
         *SKILL_BLOCK, F.posexplode("tags").alias("ordinal", "t")
     ).select(*SKILL_BLOCK, "ordinal", "t.*")
-    walk = F.array_sort(F.collect_list(F.struct("block", "rec_add", "rec_floor")))
+    walk = F.array_sort(F.collect_list(F.struct("block", "rec_add", "rec_floor", "errors", "eased")))
     merged = ends.groupBy(*SKILL, "tag").agg(
-        F.max_by(F.struct("ordinal", "priority", F.col("resolved").alias("resolved_streak")), "block").alias("_end"),
+        F.max_by(F.struct("ordinal", "priority"), "block").alias("_end"),
+        F.aggregate(
+            walk, F.lit(0).cast("bigint"), lambda r, b: F.when(b.errors > 0, b.eased).otherwise(r + b.eased)
+        ).alias("resolved_streak"),
         F.sum("errors").alias("error_count"),
         F.aggregate(walk, F.lit(0).cast("bigint"), lambda r, b: F.greatest(b.rec_floor, r + b.rec_add)).alias(
             "recent_error_count"
@@ -252,7 +263,7 @@ def misconception_fold(outcomes: DataFrame) -> DataFrame:
     )
     wait = F.when(F.col("_last_error"), S.error_interval_ms("recent_error_count")).otherwise(K.RESOLVE_INTERVAL_MS)
     return merged.withColumn("due_at", F.col("last_seen_at") + wait).select(
-        *SKILL, "tag", "_end.*", "error_count", "recent_error_count", "due_at", "last_seen_at"
+        *SKILL, "tag", "_end.*", "resolved_streak", "error_count", "recent_error_count", "due_at", "last_seen_at"
     )
 
 

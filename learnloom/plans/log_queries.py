@@ -382,20 +382,30 @@ def recent_logs_20(t):
     return M.recent_logs(t.log, 20).select("learner_id", "seq")
 
 
-@query(
-    "recent_results",
-    with_log(
-        """SELECT learner_id, mission_no, rank, correct FROM (SELECT *, row_number() OVER (PARTITION BY learner_id
-        ORDER BY mission_no DESC) AS rank FROM missions) WHERE rank <= 10""",
+def recent_results_sql(n: int) -> str:
+    return with_log(
+        f"""SELECT learner_id, mission_no, rank, correct FROM (SELECT *, row_number() OVER (PARTITION BY learner_id
+        ORDER BY mission_no DESC) AS rank FROM missions) WHERE rank <= {n}""",
         MISSIONS,
-    ),
-)
-def recent_results(t):
-    return M.recent_results(M.mission_score(t.log), 10).select(
+    )
+
+
+def last_results(t, n: int):
+    return M.recent_results(M.mission_score(t.log), n).select(
         "learner_id", "mission_no", F.col("rank").cast("bigint").alias("rank"), "correct"
     )
 
 
+@query("recent_results", recent_results_sql(10))
+def recent_results(t):
+    return last_results(t, 10)
+
+
+@query("recent_results_30", recent_results_sql(30))
+def recent_results_30(t):
+    return last_results(t, 30)
+
+
 @query(
     "accuracy_trend",
     with_log(

@@ -138,24 +138,30 @@ def reserve_reach(t):
     return Q.reach_by_tag(reach(t))
 
 
-@query(
-    "subject_gap",
-    reach_sql(
-        """SELECT strftime(week, '%Y-%m-%d') AS week, left_rate, right_rate, gap_points, wide,
+def gap_sql(points: int) -> str:
+    return reach_sql(
+        f"""SELECT strftime(week, '%Y-%m-%d') AS week, left_rate, right_rate, gap_points, wide,
           wide AND coalesce(lag(wide) OVER (ORDER BY week) AND week - lag(week) OVER (ORDER BY week) = 7, false) AS split_thresholds
-        FROM (SELECT *, coalesce(gap_points >= 2, false) AS wide FROM (
+        FROM (SELECT *, coalesce(gap_points >= {points}, false) AS wide FROM (
           SELECT *, floor(abs(left_rate - right_rate) * 100 * 1000000 + 0.5) / 1000000 AS gap_points FROM (
             SELECT CAST(date_trunc('week', make_timestamp(at_ms * 1000)) AS DATE) AS week,
               count(*) FILTER (subject = 'math' AND reached) / nullif(count(*) FILTER (subject = 'math'), 0) AS left_rate,
               count(*) FILTER (subject = 'japanese' AND reached) / nullif(count(*) FILTER (subject = 'japanese'), 0) AS right_rate
             FROM reach GROUP BY ALL)))"""
-    ),
-)
+    )
+
+
+@query("subject_gap", gap_sql(2))
 def subject_gap(t):
     """Two points instead of fifteen, so that the test data has wide weeks."""
     return Q.subject_gap(reach(t), points=2.0)
 
 
+@query("subject_gap_15", gap_sql(15))
+def subject_gap_15(t):
+    return Q.subject_gap(reach(t))
+
+
 @query(
     "daily_divergence",
     with_log(

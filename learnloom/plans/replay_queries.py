@@ -150,16 +150,24 @@ def replay_learner_state(t):
     return state.withColumn("badges", F.array_join("badges", ","))
 
 
-@query(
-    "append_traces",
-    with_log(
-        """SELECT learner_id, seq FROM log QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY seq DESC) <= 40"""
-    ),
-)
-def append_traces(t):
+def append_sql(n: int) -> str:
+    return with_log(f"SELECT learner_id, seq FROM log QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY seq DESC) <= {n}")
+
+
+def appended(t, n: int):
     """The log up to each learner's mission 9, then the later missions appended."""
     log = t.log.select("learner_id", "seq", "mission_no")
-    return R.append_traces(log.where("mission_no < 10"), log.where("mission_no >= 10"), 40).drop("mission_no")
+    return R.append_traces(log.where("mission_no < 10"), log.where("mission_no >= 10"), n).drop("mission_no")
+
+
+@query("append_traces", append_sql(40))
+def append_traces(t):
+    return appended(t, 40)
+
+
+@query("append_traces_200", append_sql(K.LOG_RETENTION))
+def append_traces_200(t):
+    return appended(t, K.LOG_RETENTION)
 
 
 # The test events are minutes apart, so effects get cooldowns of hours here.
@@ -167,14 +175,14 @@ HOURS = {"tap": 9, "combo": 40, "clear": 20}
 EFFECT = {"click": "tap", "purchase": "combo", "view": "clear"}
 
 _EFFECT_SQL = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{x}'" for e, x in EFFECT.items()) + " ELSE 'wrong' END"
-_WAIT_SQL = "CASE event_type " + " ".join(f"WHEN '{e}' THEN {HOURS[x]}" for e, x in EFFECT.items()) + " ELSE 0 END * 3600000"
+WAITS = {effect: hours * K.HOUR_MS for effect, hours in HOURS.items()}
 
 
-@query(
-    "cooldown_filter",
-    with_log(
+def cooldown_sql(waits: dict[str, int]) -> str:
+    wait = "CASE event_type " + " ".join(f"WHEN '{e}' THEN {waits[x]}" for e, x in EFFECT.items()) + " ELSE 0 END"
+    return with_log(
         """SELECT learner_id, event_id, accepted FROM gate WHERE n > 0""",
-        f"""ticks AS MATERIALIZED (SELECT learner_id, event_id, {_EFFECT_SQL} AS effect, {_WAIT_SQL} AS wait, answered_ms,
+        f"""ticks AS MATERIALIZED (SELECT learner_id, event_id, {_EFFECT_SQL} AS effect, {wait} AS wait, answered_ms,
           row_number() OVER (PARTITION BY learner_id, {_EFFECT_SQL} ORDER BY seq) AS n FROM answers),
         gate AS (
           SELECT DISTINCT learner_id, effect, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS last, false AS accepted FROM ticks
@@ -184,13 +192,24 @@ _WAIT_SQL = "CASE event_type " + " ".join(f"WHEN '{e}' THEN {HOURS[x]}" for e, x
             g.last IS NULL OR t.answered_ms - g.last >= t.wait
           FROM gate g JOIN ticks t ON t.learner_id = g.learner_id AND t.effect = g.effect AND t.n = g.n + 1)""",
         recursive=True,
-    ),
-)
-def cooldown_filter(t):
+    )
+
+
+def filtered(t, waits: dict[str, int]):
     pairs = lambda d: F.create_map(*[F.lit(v) for kv in d.items() for v in kv])
     ticks = t.answers.withColumn("effect", F.coalesce(pairs(EFFECT)[F.col("event_type")], F.lit("wrong"))).select(
         "learner_id", "effect", "block", "n_blocks", "seq", "event_id", "answered_ms",
-        (F.coalesce(pairs(HOURS)[F.col("effect")], F.lit(0)).cast("bigint") * K.HOUR_MS).alias("wait_ms"),
+        F.coalesce(pairs(waits)[F.col("effect")], F.lit(0)).cast("bigint").alias("wait_ms"),
     )
     flagged = C.cooldown_filter(ticks, ["learner_id", "effect"], "answered_ms", "wait_ms")
     return flagged.select("learner_id", "event_id", "accepted")
+
+
+@query("cooldown_filter", cooldown_sql(WAITS))
+def cooldown_filter(t):
+    return filtered(t, WAITS)
+
+
+@query("cooldown_filter_ms", cooldown_sql(K.COOLDOWN_MS))
+def cooldown_filter_ms(t):
+    return filtered(t, K.COOLDOWN_MS)

@@ -8,7 +8,7 @@ from learnloom import constants as K
 from learnloom.operators import diagnostics as D
 from learnloom.plans.oracle import error_tag, threshold, with_log
 from learnloom.plans.registry import ORACLE, query
-from learnloom.plans.replay_queries import EFFECT, HOURS, loop_sql
+from learnloom.plans.replay_queries import EFFECT, WAITS, loop_sql
 from learnloom.plans.skill_queries import BASE, SCHEDULE
 from learnloom.sources.testdata import SLICE_FILES
 from learnloom.streaming import answers as ST
@@ -122,5 +122,4 @@ def stream_due_reviews(t):
 def stream_cooldown(t):
     pairs = F.create_map(*[F.lit(v) for kv in EFFECT.items() for v in kv])
     events = answer_stream(t).withColumn("effect", F.coalesce(pairs[F.col("event_type")], F.lit("wrong")))
-    waits = {effect: hours * K.HOUR_MS for effect, hours in HOURS.items()}
-    return ST.run_available(ST.cooldown_filter(events, waits)).select("learner_id", "event_id")
+    return ST.run_available(ST.cooldown_filter(events, WAITS)).select("learner_id", "event_id")

@@ -128,6 +128,12 @@ class Tables:
     events: DataFrame | None = None
     _derived: dict = field(default_factory=dict)
 
+    def with_block_rows(self, block_rows: int) -> "Tables":
+        """The same data in blocks of another size."""
+        if block_rows not in self._derived:
+            self._derived[block_rows] = Tables(self.spark, self.sf_dir, block_rows, self.events)
+        return self._derived[block_rows]
+
     @cached_property
     def split(self) -> bool:
         """Does any learner own more than one block?"""
@@ -201,10 +207,17 @@ class Tables:
 _PREPARED: dict[tuple, Tables] = {}
 
 
+def listing(spark: SparkSession, path: str) -> tuple:
+    """Files of a table: path, size and time of change."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """One ``Tables`` per session and data set."""
+    """One ``Tables`` per session and state of the files it is derived from."""
     use_utc(spark)
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, *(listing(spark, f"{sf_dir}/{t}.parquet") for t in ("events", "part")))
     if key not in _PREPARED:
         _PREPARED[key] = Tables(spark, sf_dir)
     return _PREPARED[key]
