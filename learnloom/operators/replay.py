@@ -24,6 +24,7 @@ from learnloom.operators.sequence import fold_blocks
 from learnloom.session import hash_spread
 
 KEYS = ["learner_id", "subject"]
+BLOCK = [*KEYS, "block"]
 FOLD_SCHEMA = (
     "learner_id long, subject string, block long, mission_no long, skill_id string, mastery double, "
     "before_difficulty int, after_difficulty int, avg_mastery double, unresolved_index double, error_priority double"
@@ -143,33 +144,49 @@ def _rows(state: pd.Series, rows: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(_ROW_NAMES, row)) for row in out] for out in folded], dtype=object)
 
 
-def fold_missions(outcomes: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Mastery (and priority of the error's tag) per outcome; difficulty and gates per mission.
+class Replay:
+    """The fold of ``outcomes``, from an empty or a saved state (learner_id, subject, part, value).
 
     Spark gathers the outcomes of a (learner, subject, block), never of a whole learner; one
     Arrow batch then holds many of them. ``fold_blocks`` chains the blocks of learners that own
     several. Outcomes carry their mission's score, so with the bucketed table no shuffle
     precedes the fold.
     """
-    sizes = catalogue.groupBy("subject").agg(F.count("*").alias("n_skills"))
-    rows = outcomes.join(F.broadcast(sizes), "subject")  # one row per subject
-    group = [*KEYS, "block"]
-    gathered = F.array_sort(F.collect_list(F.struct(*_FOLD_COLUMNS)))
 
-    def with_starts(frame, starts):
-        blocks = frame.groupBy(*group).agg(F.to_json(gathered).alias("rows"))
+    def __init__(self, outcomes: DataFrame, catalogue: DataFrame, initial: DataFrame | None = None):
+        sizes = catalogue.groupBy("subject").agg(F.count("*").alias("n_skills"))
+        self.rows = outcomes.join(F.broadcast(sizes), "subject")  # one row per subject
+        self.initial = initial
+        self.starts = fold_blocks(self.rows, KEYS, self._run, initial=initial)
+
+    def _with_starts(self, frame: DataFrame, starts: DataFrame | None) -> DataFrame:
+        gathered = F.array_sort(F.collect_list(F.struct(*_FOLD_COLUMNS)))
+        blocks = frame.groupBy(*BLOCK).agg(F.to_json(gathered).alias("rows"))
         if starts is None:
             return blocks.withColumn("state", F.lit(None).cast("string"))
-        saved = starts.select(*group, F.to_json(F.map_from_entries("state")).alias("state"))
+        saved = starts.select(*BLOCK, F.to_json(F.map_from_entries("state")).alias("state"))
         # Python work is heavy per byte; the runtime would merge small partitions by size.
-        return hash_spread(blocks.join(saved, group, "left"), group)
+        return hash_spread(blocks.join(saved, BLOCK, "left"), BLOCK)
+
+    def _run(self, frame: DataFrame, starts: DataFrame | None) -> DataFrame:
+        return self._with_starts(frame, starts).select(*BLOCK, F.explode(_ends("state", "rows")).alias("part", "value"))
+
+    def missions(self) -> DataFrame:
+        """Mastery (and priority of the error's tag) per outcome; difficulty and gates per mission."""
+        out = self._with_starts(self.rows, self.starts).select(*BLOCK, F.inline(_rows("state", "rows")))
+        return out.select(*[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
+
+    def state(self) -> DataFrame:
+        """(learner_id, subject, part, value) at the end: what the next run goes on from."""
+        ends = self._run(self.rows, self.starts)
+        if self.initial is not None:
+            ends = ends.unionByName(self.initial.select(*KEYS, F.lit(-1).cast("bigint").alias("block"), "part", "value"))
+        return ends.groupBy(*KEYS, "part").agg(F.max_by("value", "block").alias("value"))
 
-    def run(frame, starts):
-        return with_starts(frame, starts).select(*group, F.explode(_ends("state", "rows")).alias("part", "value"))
 
-    starts = fold_blocks(rows, KEYS, run)
-    out = with_starts(rows, starts).select(*group, F.inline(_rows("state", "rows")))
-    return out.select(*[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
+def fold_missions(outcomes: DataFrame, catalogue: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """``Replay.missions`` of all outcomes."""
+    return Replay(outcomes, catalogue, initial).missions()
 
 
 def replay_results(log: DataFrame, outcomes: DataFrame, folded: DataFrame, split: bool = True) -> DataFrame:

@@ -155,7 +155,9 @@ def with_halo(df: DataFrame, rows: int, block_rows: int, split: bool = True, seq
 STATE = "array<struct<part:string,value:{}>>"
 
 
-def fold_blocks(rows: DataFrame, keys: list[str], run, kind: str = "string") -> DataFrame | None:
+def fold_blocks(
+    rows: DataFrame, keys: list[str], run, kind: str = "string", initial: DataFrame | None = None
+) -> DataFrame | None:
     """Start state of every (keys, block) for a fold that must run in order.
 
     A state is a set of named parts (say one per skill). ``run(rows, starts)`` folds each
@@ -165,20 +167,26 @@ def fold_blocks(rows: DataFrame, keys: list[str], run, kind: str = "string") ->
     used reaches all later blocks at once. A block is repeated only while its start state
     changes. The result is exact: block k is final after at most k+1 rounds, and earlier where
     blocks forget the state they began with. Only states move between rounds.
+    ``initial`` (keys, part, value) is a saved state to go on from.
     Returns (keys, block, ``state``: array of part and value, sorted) of the learners that own
-    several blocks, or None when there are none.
+    several blocks (with ``initial``, of all), or None when there are none.
     """
-    if not is_split(rows):
+    if initial is None and not is_split(rows):
         return None
     scratch = Scratch(rows.sparkSession)
-    split_rows = rows.where(F.col("n_blocks") > 1)
+    split_rows = rows if initial is not None else rows.where(F.col("n_blocks") > 1)
     block, kind = [*keys, "block"], STATE.format(kind)
     chain = scratch.save(split_rows.select(*block).distinct())
     starts = chain.withColumn("state", F.array().cast(kind))
     ends = scratch.save(run(split_rows, None))
     earlier = Window.partitionBy(*keys, "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     while True:
-        grid = chain.join(ends.select(*keys, "part").distinct(), keys).join(ends, [*block, "part"], "left")
+        known, blocks = ends, chain
+        if initial is not None:  # stands before the first block
+            before = initial.select(*keys, F.lit(-1).cast("bigint").alias("block"), "part", "value")
+            known = ends.unionByName(before)
+            blocks = chain.unionByName(chain.select(*keys).distinct().withColumn("block", F.lit(-1).cast("bigint")))
+        grid = blocks.join(known.select(*keys, "part").distinct(), keys).join(known, [*block, "part"], "left")
         filled = grid.withColumn("value", F.last("value", ignorenulls=True).over(earlier)).where("value is not null")
         incoming = filled.groupBy(*block).agg(F.array_sort(F.collect_list(F.struct("part", "value"))).alias("_in"))
         linked = scratch.save(

@@ -10,7 +10,7 @@ from learnloom.plans.registry import ORACLE, PLANS, query
 
 ROWS = 20  # answers of a block
 NAMES = [
-    "guess_threshold_pit_min3", "review_schedule", "mastery_walk", "misconception_fold", "replay_results", "replay_skill_state",
+    "guess_threshold_pit_min3", "review_schedule", "mastery_walk", "misconception_fold", "replay_results", "replay_skill_state", "replay_resumed",
     "retry_outcomes", "recurrence_flags", "running_totals", "badge_unlocks", "reserve_events", "cooldown_filter",
 ]
 

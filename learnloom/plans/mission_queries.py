@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from learnloom.operators import bank as B
 from learnloom.operators import missions as M
+from learnloom.operators import replay as R
 from learnloom.operators import selection as SEL
 from learnloom.operators import skills as SK
 from learnloom.plans.log_queries import RECENT_QUESTIONS
 from learnloom.plans.oracle import NOW
 from learnloom.plans.registry import query
+from learnloom.plans.replay_queries import LOOP, folded
 from learnloom.plans.skill_queries import dense, learners, state_sql
 from learnloom.sources.testdata import NOW_MS
 
@@ -237,6 +239,35 @@ def build_missions(t):
     return SEL.build_missions(plans(t))
 
 
+ADAPTIVE = [
+    LOOP[: LOOP.index("replayed AS")].rstrip().rstrip(","),
+    """adaptive AS MATERIALIZED (
+  SELECT learner_id, subject, x.skill AS skill_id, x.mastery AS mastery, target FROM (
+    SELECT learner_id, subject, unnest(st) AS x, after_difficulty AS target FROM loop
+    JOIN (SELECT learner_id, subject, max(n) AS n FROM loop GROUP BY ALL) USING (learner_id, subject, n)))""",
+    """targets AS MATERIALIZED (
+  SELECT learner_id, subject, coalesce(t, 1) AS target FROM learner_subjects LEFT JOIN (
+    SELECT learner_id, subject, any_value(target) AS t FROM adaptive GROUP BY ALL) USING (learner_id, subject))""",
+    """adapted AS MATERIALIZED (
+  SELECT d.* REPLACE (coalesce(a.mastery, 45.0) AS mastery) FROM dense d LEFT JOIN adaptive a USING (learner_id, subject, skill_id))""",
+    RANKS.replace("FROM dense", "FROM adapted"),
+]
+
+
+@query("build_missions_adaptive", state_sql("SELECT * FROM served", *ADAPTIVE, RECENT_QUESTIONS, PAIRS, PICKS))
+def build_missions_adaptive(t):
+    """The next missions from the replayed state: its targets and mastery instead of recorded ones."""
+    folds = folded(t)
+    every = SK.learner_subjects(learners(t))
+    goals = every.join(R.replay_subject_state(folds), ["learner_id", "subject"], "left").select(
+        "learner_id", "subject", F.coalesce("target_difficulty", F.lit(1)).alias("target_difficulty")
+    )
+    skills = R.replay_skill_state(t.outcomes, folds, t.split).drop("last_error_tag")
+    every_skill = SK.densify(every, t.catalogue, skills, NOW_MS)
+    plan = SEL.plan_missions(goals, every_skill, due(t), M.recent_questions(t.log), t.bank, t.catalogue, NOW_MS, SEED)
+    return SEL.build_missions(plan)
+
+
 @query(
     "mission_plan",
     served_sql(

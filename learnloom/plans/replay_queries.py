@@ -99,6 +99,23 @@ def replay_results(t):
     )
 
 
+@query(
+    "replay_resumed",
+    loop_sql(
+        """SELECT learner_id, subject, mission_no, before_difficulty, after_difficulty, avg_mastery, unresolved AS unresolved_index
+        FROM loop WHERE n > 0"""
+    ),
+)
+def replay_resumed(t):
+    """The first missions are folded and their state saved; the rest goes on from what is read back."""
+    early, late = t.outcomes.where("mission_no < 7"), t.outcomes.where("mission_no >= 7")
+    first = R.Replay(early, t.catalogue)
+    saved = t.once("saved_state", first.state)
+    columns = ["learner_id", "subject", "mission_no", "before_difficulty", "after_difficulty", "avg_mastery", "unresolved_index"]
+    parts = [first.missions(), R.fold_missions(late, t.catalogue, saved)]
+    return parts[0].unionByName(parts[1]).select(columns).distinct()
+
+
 @query(
     "replay_skill_state",
     loop_sql(

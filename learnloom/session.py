@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 _LOCAL_ROOTS: dict[str, str] = {}  # local mode without a named folder
+_TABLES: dict[str, list[str]] = {}  # tables and folders that a session has made
+_FOLDERS: dict[str, list[str]] = {}
+BUCKET_BYTES = 256 << 20  # source bytes behind one bucket
 
 
 def build_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -46,29 +49,42 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
-def hash_spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash partition into the full number of shuffle partitions, never merged by size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def bucket_count(spark: SparkSession, source_bytes: int) -> int:
+    """Buckets that hold about BUCKET_BYTES of source each, at least the shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-source_bytes // BUCKET_BYTES))
 
 
-def materialise(df: DataFrame, bucket_by: list[str] | None = None, partitioned: bool = False) -> DataFrame:
+def hash_spread(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
+    """Hash partition into ``n`` (else the shuffle) partitions, never merged by size."""
+    return df.repartition(n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def note_folder(spark: SparkSession, path: str) -> str:
+    """Remember a folder of intermediate data for ``cleanup``."""
+    _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def materialise(
+    df: DataFrame, bucket_by: list[str] | None = None, partitioned: bool = False, buckets: int | None = None
+) -> DataFrame:
     """Write ``df`` as Parquet in the checkpoint folder and read it back.
 
     Cuts lineage, survives executor loss and keeps column pruning, push-down and real
     table sizes for the optimizer. With ``bucket_by`` the table is hash-bucketed, so
     windows and aggregates on those keys (or on more keys) need no shuffle. ``partitioned``
-    says that ``df`` already comes from ``hash_spread`` on them.
+    says that ``df`` already comes from ``hash_spread`` on them, into ``buckets`` partitions.
     """
     spark = df.sparkSession
     name = f"learnloom_{uuid.uuid4().hex}"
-    path = f"{checkpoint_root(spark).rstrip('/')}/learnloom/{name}"
+    path = note_folder(spark, f"{checkpoint_root(spark).rstrip('/')}/learnloom/{name}")
     if bucket_by is None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(name)
     (
-        (df if partitioned else hash_spread(df, bucket_by))
-        .write.bucketBy(buckets, *bucket_by)
+        (df if partitioned else hash_spread(df, bucket_by, buckets))
+        .write.bucketBy(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), *bucket_by)
         .sortBy(*bucket_by)
         .option("path", path)
         .format("parquet")
@@ -77,6 +93,18 @@ def materialise(df: DataFrame, bucket_by: list[str] | None = None, partitioned:
     return spark.table(name)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete all intermediate tables and folders that this session has made.
+
+    Results that still read them must be written first.
+    """
+    app = spark.sparkContext.applicationId
+    for name in _TABLES.pop(app, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for path in _FOLDERS.pop(app, []):
+        delete_path(spark, path)
+
+
 class Scratch:
     """Intermediate tables of one job in the folder all executors share.
 
@@ -87,7 +115,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{checkpoint_root(spark).rstrip('/')}/learnloom/job_{uuid.uuid4().hex}"
+        self.root = note_folder(spark, f"{checkpoint_root(spark).rstrip('/')}/learnloom/job_{uuid.uuid4().hex}")
         self._paths: dict[int, str] = {}
         self._count = 0
 

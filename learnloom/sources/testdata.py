@@ -16,7 +16,7 @@ from learnloom import constants as K
 from learnloom.functions.scalars import epoch_ms, js_round
 from learnloom.operators import diagnostics, sequence, skills
 from learnloom.operators.bank import skill_catalogue
-from learnloom.session import checkpoint_root, hash_spread, materialise, use_utc
+from learnloom.session import bucket_count, checkpoint_root, hash_spread, materialise, note_folder, use_utc
 
 # Six skills per subject, including every skill that a tag rule or fact parser names.
 SKILLS = [
@@ -134,6 +134,11 @@ class Tables:
             self._derived[block_rows] = Tables(self.spark, self.sf_dir, block_rows, self.events)
         return self._derived[block_rows]
 
+    @cached_property
+    def buckets(self) -> int:
+        files = listing(self.spark, f"{self.sf_dir}/events.parquet")
+        return bucket_count(self.spark, sum(size for _, size, _ in files))
+
     @cached_property
     def split(self) -> bool:
         """Does any learner own more than one block?"""
@@ -150,15 +155,15 @@ class Tables:
         """
         by = ["learner_id", "block"]
         answers = build_answers(self.spark, self.sf_dir, self.block_rows, self.events)
-        answers = materialise(answers, by) if self.split else hash_spread(answers, by)
+        answers = materialise(answers, by, buckets=self.buckets) if self.split else hash_spread(answers, by, self.buckets)
         tagged = diagnostics.tag_answers(diagnostics.threshold_at_answer(answers, self.block_rows, self.split))
         unfinished = {c: F.when(F.col("finished"), F.col(c)) for c in ("guess_threshold_ms", "error_tag")}
-        return materialise(tagged.withColumns(unfinished), by, partitioned=not self.split)
+        return materialise(tagged.withColumns(unfinished), by, partitioned=not self.split, buckets=self.buckets)
 
     @cached_property
     def outcomes(self) -> DataFrame:
         """Last answer per (mission, skill), bucketed like the answers."""
-        return materialise(skills.skill_outcomes(self.log), ["learner_id", "block"], partitioned=True)
+        return materialise(skills.skill_outcomes(self.log), ["learner_id", "block"], partitioned=True, buckets=self.buckets)
 
     @cached_property
     def skill_states(self) -> DataFrame:
@@ -178,7 +183,7 @@ class Tables:
         """Folder with ``rows`` cut into ``slices`` by time, written in the given order, so that
         a file stream reads one slice after the other. Returned with the rows (their schema)."""
         if name not in self._derived:
-            path = f"{checkpoint_root(self.spark).rstrip('/')}/learnloom/{name}_{uuid.uuid4().hex}"
+            path = note_folder(self.spark, f"{checkpoint_root(self.spark).rstrip('/')}/learnloom/{name}_{uuid.uuid4().hex}")
             cuts = rows.approxQuantile(time, [i / slices for i in range(1, slices)], 0.001)
             part = sum(((F.col(time) >= c).cast("int") for c in cuts), F.lit(0))
             for i in order:

@@ -18,7 +18,7 @@ from learnloom.functions.tags import infer_error_tag
 from learnloom.operators import replay
 from learnloom.operators.cooldown import accept
 from learnloom.operators.diagnostics import join_bank
-from learnloom.session import checkpoint_root
+from learnloom.session import checkpoint_root, note_folder
 
 
 def read_answers(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -33,7 +33,7 @@ def run_available(stream: DataFrame, keys: list[str] | None = None) -> DataFrame
     """Process all available input. With ``keys`` the stream is an aggregate in update mode:
     each batch appends the changed rows and the newest row per key is the result."""
     spark = stream.sparkSession
-    root = f"{checkpoint_root(spark).rstrip('/')}/learnloom/stream_{uuid.uuid4().hex}"
+    root = note_folder(spark, f"{checkpoint_root(spark).rstrip('/')}/learnloom/stream_{uuid.uuid4().hex}")
     out = f"{root}/out"
 
     def append(batch: DataFrame, batch_id: int) -> None:
