@@ -95,13 +95,20 @@ def bank_index(bank: DataFrame, seed: int) -> DataFrame:
 
 
 def _requests(targets, dense, due, catalogue, stats, now_ms) -> DataFrame:
-    """One row per (learner, subject) and score class that a slot may draw from."""
+    """One row per (learner, subject) and score class that a slot may draw from.
+
+    Skills beyond the first few ranks are never served: a skill of the catalogue has a question,
+    so it is passed over only when its questions are used already. With u questions used, at
+    most u skills are passed over and 5 - u places are left for weak skills, so these have a rank
+    of at most MISSION_SIZE; review has REVIEW_SLOTS places after at most MISCONCEPTION_SLOTS used.
+    """
     distance = F.abs(F.col("difficulty") - F.col("target_difficulty"))
     none = F.lit(None).cast("int")
     columns = [*GROUP, "kind", "skill_id", "tag", "difficulty", "n", "score", "weak_rank", "due_rank", "tag_rank"]
 
     by_kind = {k: stats.where(F.col("kind") == k) for k in ("skill", "tag", "challenge", "fill")}
-    skill = due_rank(dense, now_ms).join(targets, GROUP).join(by_kind["skill"], ["subject", "skill_id"])
+    reach = (F.col("weak_rank") <= K.MISSION_SIZE) | (F.col("due_rank") <= K.REVIEW_SLOTS + K.MISCONCEPTION_SLOTS)
+    skill = due_rank(dense, now_ms).where(reach).join(targets, GROUP).join(by_kind["skill"], ["subject", "skill_id"])
     skill = in_band_or_all(skill, [*GROUP, "skill_id"], K.SKILL_BAND).withColumns({"score": distance, "tag_rank": none})
 
     tag = misconception_rank(due, catalogue).join(targets, GROUP).join(by_kind["tag"], ["subject", "skill_id", "tag"])
@@ -125,7 +132,7 @@ def _requests(targets, dense, due, catalogue, stats, now_ms) -> DataFrame:
 def candidates(targets, dense, due, recents, bank, catalogue, now_ms: int, seed: int) -> DataFrame:
     """Bounded candidate rows per (learner, subject) that contain every possible pick."""
     index = bank_index(bank, seed)
-    stats = index.where(F.col("idx") == 0).select(*BUCKET, "n")
+    stats = materialise(index.where(F.col("idx") == 0).select(*BUCKET, "n"))  # its real size decides the joins
     asks = _requests(targets, dense, due, catalogue, stats, now_ms)
     start = _seeded_start(
         F.col("n"), seed, F.col("learner_id"), F.col("kind"), F.col("subject"), F.col("skill_id"), F.col("tag"),

@@ -7,7 +7,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
 
 import compare  # noqa: E402
-from learnloom.session import build_session  # noqa: E402
+from learnloom.session import build_session, cleanup  # noqa: E402
 from learnloom.sources import testdata  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -18,7 +18,8 @@ HOT = "CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END"
 def spark():
     session = build_session(8, 4)
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    cleanup(session)
 
 
 @pytest.fixture(scope="session")
