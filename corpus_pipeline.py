@@ -18,7 +18,7 @@ from learnloom.llm import jaccard_join, language, mixing, packing, suffix_dedup
 from learnloom.llm.common import WHITE, read
 from learnloom.session import Scratch
 
-LEAST_SCORE = 0.4  # of the predicted language
+LEAST_SCORE = 0.3  # of the predicted language
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
