@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from learnloom.llm.common import words
+from learnloom.llm.common import WORD, words
 from learnloom.operators.sequence import number_rows
 from learnloom.session import Scratch
 
@@ -30,25 +30,58 @@ BELOW = "4"  # hashes whose hexadecimal digits sort before this: a quarter of al
 DIGITS = 15
 
 
-def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add the sketch of ``text`` as a sorted array of integers."""
-    split, hashes, low = f"_{name}_words", f"_{name}_hashes", f"_{name}_low"
-    hashed = lambda shingle: F.substring(F.md5(shingle.cast("binary")), 1, DIGITS)
-    several = F.transform(
-        F.sequence(F.lit(1), F.size(split) - (WORDS - 1)), lambda i: hashed(F.concat_ws(" ", F.slice(split, i, WORDS)))
-    )
-    one = F.array(hashed(F.concat_ws(" ", F.col(split))))
+def hashed(shingle: Column) -> Column:
+    return F.substring(F.md5(shingle.cast("binary")), 1, DIGITS)
+
+
+def shingle_hashes(split: Column, first: Column = F.lit(1)) -> Column:
+    """Hashes of the shingles of a list of words, from number ``first`` on."""
+    last = F.size(split) - (WORDS - 1)
+    several = F.transform(F.sequence(first, last), lambda i: hashed(F.concat_ws(" ", F.slice(split, i, WORDS))))
     none = F.array().cast("array<string>")
     return (
-        df.withColumn(split, words(F.col(text)))
-        .withColumn(hashes, F.when(F.size(split) >= WORDS, several).when(F.size(split) > 0, one).otherwise(none))
-        .withColumn(low, F.filter(hashes, lambda h: h < BELOW))
+        F.when((F.size(split) >= WORDS) & (first <= last), several)
+        .when((F.size(split) > 0) & (F.size(split) < WORDS), F.array(hashed(F.concat_ws(" ", split))))
+        .otherwise(none)
+    )
+
+
+def with_hashes(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the words and the shingle hashes of ``text``."""
+    df = df.withColumn(f"_{name}_words", words(F.col(text)))
+    return df.withColumn(f"_{name}_hashes", shingle_hashes(F.col(f"_{name}_words")))
+
+
+def below(df: DataFrame, name: str) -> DataFrame:
+    """Replace the hashes by the sketch: a sorted array of integers."""
+    hashes, low = f"_{name}_hashes", f"_{name}_low"
+    return (
+        df.withColumn(low, F.filter(hashes, lambda h: h < BELOW))
         .withColumn(low, F.when((F.size(low) == 0) & (F.size(hashes) > 0), F.array(F.array_min(hashes))).otherwise(F.col(low)))
         .withColumn(name, F.array_sort(F.array_distinct(F.transform(low, lambda h: F.conv(h, 16, 10).cast("long")))))
-        .drop(split, hashes, low)
+        .drop(low)
     )
 
 
+def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the sketch of ``text``."""
+    return below(with_hashes(df, text, name), name).drop(f"_{name}_words", f"_{name}_hashes")
+
+
+def with_edited_hashes(df: DataFrame, edited: str, kept: Column, name: str, origin: str) -> DataFrame:
+    """Hashes of an edited text that begins with ``kept`` characters of the original.
+
+    All words of the part that stays, but its last one (the edit may continue it), are those of
+    the original, and so are the hashes of shingles of such words.
+    """
+    same = F.greatest(F.regexp_count(F.expr(f"substring({edited}, 1, _kept)"), F.lit(WORD)) - WORDS, F.lit(0))
+    split = f"_{name}_words"
+    df = df.withColumn("_kept", kept.cast("int")).withColumn("_same", same).withColumn(split, words(F.col(edited)))
+    rest = shingle_hashes(F.col(split), F.col("_same") + 1)
+    hashes = F.concat(F.slice(f"_{origin}_hashes", F.lit(1), F.col("_same")), rest)
+    return df.withColumn(f"_{name}_hashes", hashes)
+
+
 def merge(a: Column, b: Column) -> Column:
     """Sketch of the two texts together. A smallest hash kept above the threshold goes as soon
     as one below it is there."""
@@ -96,11 +129,16 @@ def fingerprints(documents: DataFrame, scratch: Scratch | None = None) -> DataFr
     given = given.groupBy(F.col("_asker").alias("doc_id")).agg(
         F.min(F.struct(F.expr("substring(text, 1, _most)").alias("head"), F.col("_next_sketch").alias("sketch"))).alias("_next")
     )
-    rows = texts.join(given, "doc_id", "left").withColumn("_cut", quarter)
+    # Every id has a successor; with the same filter as above, Spark shuffles the texts once.
+    rows = texts.where("doc_id is not null").join(given, "doc_id")
+    alone = texts.where("doc_id is null").withColumn("_next", F.lit(None).cast(given.schema["_next"].dataType))
+    rows = rows.unionByName(alone).withColumn("_cut", quarter)
     rows = rows.withColumn(
         "_edited", F.expr("concat(substring(text, 1, length(text) - _cut), substring(coalesce(_next.head, ''), 1, _cut))")
     )
-    rows = with_sketch(with_sketch(rows, "text", "_sketch"), "_edited", "_edited_sketch")
+    rows = with_hashes(rows, "text", "_sketch")
+    rows = with_edited_hashes(rows, "_edited", F.length("text") - F.col("_cut"), "_edited_sketch", "_sketch")
+    rows = below(below(rows, "_sketch"), "_edited_sketch")
     own, edited, following = F.col("_sketch"), F.col("_edited_sketch"), F.col("_next.sketch")
     return rows.select(
         "doc_id",
