@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from learnloom import constants as K
@@ -11,6 +13,7 @@ from learnloom.functions.tags import skill_tag, with_tag_texts
 from learnloom.operators import bank as B
 from learnloom.plans.oracle import BANK, SKILL_TAG, sql_list, sql_map, with_bank, with_log
 from learnloom.plans.registry import query
+from learnloom.session import checkpoint_root, note_folder
 from learnloom.sources import bank_text
 
 RAW_CELLS = """
@@ -144,6 +147,14 @@ def subject_bank(t):
     return t.bank.where(F.col("subject") == "life").select("question_id", "skill_id", "difficulty")
 
 
+@query("bank_written", with_bank("SELECT question_id, skill_id, difficulty, hint FROM bank WHERE subject = 'math'"))
+def bank_written(t):
+    """The bank written by subject and one subject read back."""
+    root = note_folder(t.spark, f"{checkpoint_root(t.spark).rstrip('/')}/learnloom/bank_{uuid.uuid4().hex}")
+    bank_text.write_bank(t.bank, root)
+    return t.spark.read.parquet(root).where("subject = 'math'").select("question_id", "skill_id", "difficulty", "hint")
+
+
 @query(
     "bank_counts",
     with_bank(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from learnloom.functions import facts
 from learnloom.operators import bank as B
 from learnloom.plans.oracle import NOW, sql_list
-from learnloom.plans.registry import query
+from learnloom.plans.registry import ORACLE, query
+from learnloom.session import checkpoint_root, note_folder
 from learnloom.sources import state_json as SJ
 from learnloom.sources.testdata import NOW_MS
 from learnloom import constants as K
@@ -222,3 +225,12 @@ def normalize_misconceptions(t):
 )
 def normalize_recent_questions(t):
     return SJ.recent_question_table(states(t), "c_custkey")
+
+
+@query("state_saved", ORACLE["normalize_skills"])
+def state_saved(t):
+    """Skills of the exported states, saved with the other tables and read back."""
+    root = note_folder(t.spark, f"{checkpoint_root(t.spark).rstrip('/')}/learnloom/state_{uuid.uuid4().hex}")
+    skills = SJ.skill_table(states(t), NOW_MS, "c_custkey").drop("misconceptions")
+    SJ.save_state({"skills": skills, "subject_clears": SJ.subject_clears(states(t), "c_custkey")}, root)
+    return SJ.read_state(t.spark, root, "skills")
