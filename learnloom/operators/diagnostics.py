@@ -12,11 +12,20 @@ from learnloom.operators.sequence import neighbour, top_rows, with_halo
 LEARNER_BLOCK = ["learner_id", "block"]
 
 
+PLACE = ["subject", "skill_id", "difficulty"]  # what an answer trace says about its question
+ITEM = ["choices", "answer_index", "wrong_choice_tags"]
+
+
 def join_bank(answers: DataFrame, bank: DataFrame) -> DataFrame:
-    """Equi join on question id. No broadcast hint: the optimizer checks the bank's size,
-    and beyond the threshold AQE splits a hot question's partition."""
-    columns = ["question_id", "subject", "skill_id", "difficulty", "choices", "answer_index", "wrong_choice_tags"]
-    return answers.join(bank.select(*columns), "question_id")
+    """Question columns by id. No broadcast hint: the optimizer checks the bank's size,
+    and beyond the threshold AQE splits a hot question's partition.
+
+    Traces that name subject, skill and difficulty keep them, and an answer whose question has
+    left the bank stays (its tag then comes from the rules). Bare answers take all from the bank.
+    """
+    if set(PLACE) <= set(answers.columns):
+        return answers.drop(*ITEM).join(bank.select("question_id", *ITEM), "question_id", "left")
+    return answers.join(bank.select("question_id", *PLACE, *ITEM), "question_id")
 
 
 def wrong_tagged() -> Column:

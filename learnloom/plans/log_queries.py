@@ -66,6 +66,23 @@ def error_tags_off_bank(t):
     return bare.select("learner_id", "seq", infer_error_tag().alias("error_tag"))
 
 
+_GONE = "CASE WHEN CAST(question_id AS BIGINT) % 5 = 0 THEN NULL ELSE {c} END AS {c}"
+
+
+@query(
+    "error_tags_deleted_questions",
+    with_log(
+        f"""SELECT learner_id, seq, {error_tag('1500')} AS error_tag
+        FROM (SELECT * REPLACE ({', '.join(_GONE.format(c=c) for c in ('choices', 'answer_index', 'wrong_choice_tags'))}) FROM answers)"""
+    ),
+)
+def error_tags_deleted_questions(t):
+    """A fifth of the questions has left the bank; their answers stay and are tagged by rule."""
+    bank = t.bank.where("cast(question_id as bigint) % 5 <> 0")
+    rows = D.join_bank(t.answers, bank).withColumn("guess_threshold_ms", F.lit(1500))
+    return rows.select("learner_id", "seq", infer_error_tag().alias("error_tag"))
+
+
 @query(
     "wrong_tagged",
     with_log("SELECT subject, error_tag, count(*) AS n FROM log WHERE NOT correct AND error_tag IS NOT NULL GROUP BY ALL"),

@@ -201,7 +201,7 @@ def stale_misconceptions(t):
 
 @query(
     "stale_misconceptions_60",
-    state_sql(f"SELECT learner_id, skill_id, tag, last_seen_at FROM misconceptions WHERE last_seen_at <= {NOW} - 60 * 86400000"),
+    state_sql(f"SELECT learner_id, skill_id, tag, last_seen_at FROM misconceptions WHERE last_seen_at <= {NOW} - 60::BIGINT * 86400000"),
 )
 def stale_misconceptions_60(t):
     return SK.stale_misconceptions(t.misconceptions, NOW_MS).select("learner_id", "skill_id", "tag", "last_seen_at")

@@ -59,8 +59,7 @@ def run_available(stream: DataFrame, keys: list[str] | None = None) -> DataFrame
 def tag_answers(stream: DataFrame, bank: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Stream-static joins to the bank and a threshold snapshot, then the tag rules."""
     keys = ["learner_id", "subject", "difficulty"]
-    bare = stream.drop("subject", "skill_id", "difficulty", "choices", "answer_index", "wrong_choice_tags")
-    joined = join_bank(bare, bank).join(thresholds.select(*keys, "guess_threshold_ms"), keys, "left")
+    joined = join_bank(stream, bank).join(thresholds.select(*keys, "guess_threshold_ms"), keys, "left")
     default = F.lit(K.GUESS_DEFAULT_MS).cast("bigint")
     return joined.withColumn("guess_threshold_ms", F.coalesce("guess_threshold_ms", default)).withColumn(
         "error_tag", infer_error_tag()

@@ -211,8 +211,8 @@ def test_long_histories_fold_in_few_rounds(spark, monkeypatch):
     catalogue = spark.createDataFrame([("math", s) for s in ("busy", "early", "unseen")], "subject string, skill_id string")
     rounds = []
 
-    def counted(rows, keys, run, *kind):
-        return sequence.fold_blocks(rows, keys, lambda *a: rounds.append(keys) or run(*a), *kind)
+    def counted(rows, keys, run, *kind, **more):
+        return sequence.fold_blocks(rows, keys, lambda *a: rounds.append(keys) or run(*a), *kind, **more)
 
     for module in (replay, SK):
         monkeypatch.setattr(module, "fold_blocks", counted)
