@@ -178,7 +178,8 @@ def judge(documents: DataFrame, labels: DataFrame, scratch: Scratch | None = Non
     scratch = scratch or Scratch(documents.sparkSession)
     known = label_table(labels)
     trusted = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
-    labelled = documents.select("doc_id", "text").join(known, "doc_id", "left").select("text", trusted.alias("trusted"))
+    # Labels grow with the documents: always a merge join, which shuffles the texts once.
+    labelled = documents.select("doc_id", "text").join(known.hint("merge"), "doc_id", "left").select("text", trusted.alias("trusted"))
     table = scratch.save(scored(documents, log_ratios(bucket_counts(labelled))))
     bins = (
         table.where("n_features > 0").join(known, "doc_id").where("quality in (0, 1)")
