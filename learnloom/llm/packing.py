@@ -40,17 +40,30 @@ LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 PIECES = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+"
 )
-CACHE = 500_000  # pieces kept per worker
+CACHE = 200_000  # pieces kept per worker
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it can be
+    printed, else the next free letter from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
+
+
+BYTE_OF = byte_letters()
 
 
 class Encoder:
     """Texts -> ids, encoding each distinct piece once.
 
     Byte-level BPE never merges across pieces, so a text's ids are its pieces' ids in order.
-    Texts with other characters go to the tokenizer whole.
+    Texts with other characters go to the tokenizer whole. Pieces of one space and a word, nearly
+    all, are merged by tiktoken, which is given the tokenizer's own vocabulary and is quicker.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,6 +72,10 @@ class Encoder:
         tokens = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(tokens.values()) + 1, bool)  # ids that begin with a space
         self.opens[[i for token, i in tokens.items() if token.startswith("Ġ")]] = True
+        # The same merges on bytes: an id is the rank of its merge in this kind of vocabulary.
+        special = set(self.tokenizer.get_added_tokens_decoder())
+        ranks = {bytes(map(BYTE_OF.__getitem__, token)): i for token, i in tokens.items() if i not in special}
+        self.merges = tiktoken.Encoding("pieces", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={})
 
     def learn(self, pieces: list[str]) -> None:
         """Ids of new pieces. Those of one space and a word are encoded many at a time: laid end
@@ -67,7 +84,7 @@ class Encoder:
         rest = [p for p in pieces if not (p[0] == " " and len(p) > 1 and not p[1].isspace())]
         for at in range(0, len(single), 2000):
             some = single[at : at + 2000]
-            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.merges.encode_ordinary("".join(some)), "<u4")
             starts = np.flatnonzero(self.opens[ids]) * 4
             raw, stops = ids.tobytes(), [*starts[1:].tolist(), 4 * len(ids)]
             self.known.update(zip(some, (raw[a:b] for a, b in zip(starts.tolist(), stops, strict=True)), strict=True))
