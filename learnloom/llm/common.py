@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ WHITE = r"\x20\x09-\x0D"
 WORD = rf"[^{WHITE}]+"
 ARROW_ROWS = 2000  # rows of an Arrow batch; texts may be long
 PART_BYTES = 2 << 20  # stored bytes of input behind one part of a dealt table
-CHUNK_BYTES = 4 << 20  # bytes of text that a Python task looks at together
+CHUNK_BYTES = 1 << 20  # bytes of text that a Python task looks at together
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,6 +65,16 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back_memory()
+
+
+def give_back_memory() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

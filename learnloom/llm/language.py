@@ -213,7 +213,7 @@ def predictor(network: ByteNetwork | None):
     return predict
 
 
-def groups(rows: list[int], texts: pd.Series, limit: int = 2 << 20) -> Iterator[list[int]]:
+def groups(rows: list[int], texts: pd.Series, limit: int = 1 << 20) -> Iterator[list[int]]:
     """Rows whose texts have about ``limit`` characters together."""
     group, size = [], 0
     for i in rows:

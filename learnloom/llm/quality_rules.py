@@ -43,7 +43,7 @@ def word_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes:
     """Bucket of each word: first 8 hexadecimal digits of its MD5 modulo BUCKETS. Each distinct
     word of the batch is hashed once."""
     distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    if len(_cache) > 500_000:
+    if len(_cache) > 200_000:
         _cache.clear()
     raw = data.tobytes()
     out = np.empty(len(distinct), np.int64)

@@ -34,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from learnloom.llm.common import boxed, chunks, input_parts, mix64, release, small_batches, text_bytes, unboxed
+from learnloom.llm.common import boxed, chunks, give_back_memory, input_parts, mix64, release, small_batches, text_bytes, unboxed
 from learnloom.llm.shingles import BASE, INVERSE, _powers
 from learnloom.session import Scratch
 
@@ -110,7 +110,7 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 def dealt_pieces(documents: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, limit=2 << 20):
+        for batch in chunks(batches):
             text, start, windows, anchor, content, again = pieces(*text_bytes(batch.column("text")))
             to = ((anchor >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(to, kind="stable")
@@ -346,6 +346,7 @@ def compare_collections(strings: DataFrame) -> DataFrame:
                 part.append(row)
         if part:
             yield places(part)
+        give_back_memory()
 
     return strings.repartition("collection").sortWithinPartitions("collection").mapInArrow(run, PLACE)
 
