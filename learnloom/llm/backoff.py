@@ -164,8 +164,8 @@ def scores(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     parts = input_parts(documents)
     rows = dealt(documents, parts)
     answers = scratch.save(answered_ngrams(asked_ngrams(rows, parts)))
-    release(spark)
     corpus_words = answers.agg(F.sum("n_words")).first()[0] or 0
+    release(spark)
     none = F.lit(None)
     both = answers.select("part", "bucket", "totals", none.cast("long").alias("doc_id"), none.cast("string").alias("text")).unionByName(
         rows.select("part", none.cast("int").alias("bucket"), none.cast("binary").alias("totals"), "doc_id", "text")

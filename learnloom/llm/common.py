@@ -96,6 +96,10 @@ def input_parts(documents: DataFrame) -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
+
+    The session holds on to the plan it ran last, so a tiny one runs first.
+    """
+    spark.range(1).count()
     gc.collect()
     spark._jvm.System.gc()
