@@ -34,8 +34,9 @@ def hashed(shingle: Column) -> Column:
     return F.substring(F.md5(shingle.cast("binary")), 1, DIGITS)
 
 
-def shingle_hashes(split: Column, first: Column = F.lit(1)) -> Column:
+def shingle_hashes(split: Column, first: Column | int = 1) -> Column:
     """Hashes of the shingles of a list of words, from number ``first`` on."""
+    first = F.lit(first) if isinstance(first, int) else first
     last = F.size(split) - (WORDS - 1)
     several = F.transform(F.sequence(first, last), lambda i: hashed(F.concat_ws(" ", F.slice(split, i, WORDS))))
     none = F.array().cast("array<string>")
