@@ -33,7 +33,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.scores(read(spark, sf_dir, "documents"))
+    return backoff.scores(read(spark, sf_dir, "documents"), order=backoff.ORDER)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

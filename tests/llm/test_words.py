@@ -102,6 +102,53 @@ def test_backoff_against_brute_force(documents, awkward, nothing, monkeypatch):
     assert backoff.scores(nothing).count() == 0
 
 
+def brute_orders(rows: list[tuple], order: int) -> list[tuple]:
+    """As ``brute_scores``, by the definition for n-grams of up to ``order`` words."""
+    grams = lambda w: Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    words = [(k, WORD.findall(t or "")) for k, t in rows]
+    corpus = Counter()
+    for _, w in words:
+        corpus.update(grams(w))
+    total = sum(len(w) for _, w in words)
+    out = []
+    for k, w in words:
+        own, known, score = grams(w), [0] * (order + 1), 0.0
+        others = lambda g: corpus[g] - own[g]
+        for i in range(len(w)):
+            factor, found = 1.0, False
+            for n in range(min(order, i + 1), 0, -1):
+                count = others(tuple(w[i - n + 1 : i + 1]))
+                known[n] += count > 0
+                if not found and (count or n == 1):
+                    base = others(tuple(w[i - n + 1 : i])) if n > 1 else max(total - len(w), 1)
+                    score += math.log(factor * (count or backoff.ALPHA) / base)
+                    found = True
+                factor *= backoff.ALPHA
+        out.append((k, len(w), score, *known[2:], len(w) - known[1]))
+    return sorted(out, key=lambda r: (str(r[0]), r[1:]))
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_backoff_of_longer_ngrams(documents, awkward, nothing, monkeypatch, order):
+    monkeypatch.setattr(backoff, "input_parts", lambda _: 7)
+    for table in (documents, awkward):
+        found = backoff.scores(table, order=order).drop("mean_log_score").collect()
+        want = brute_orders([tuple(r) for r in table.select("doc_id", "text").collect()], order)
+        for got, expected in zip(sorted(map(tuple, found), key=lambda r: (str(r[0]), r[1:])), want, strict=True):
+            assert got[:2] + got[3:] == expected[:2] + expected[3:]
+            assert math.isclose(got[2], expected[2], rel_tol=1e-6, abs_tol=1e-4)
+    assert backoff.scores(nothing, order=order).count() == 0
+
+
+def test_backoff_query_sees_two_words_before(spark):
+    assert "n_known_triples" in QUERIES["op6_backoff"](spark, SF_DIR).columns
+    rows = [(1, "a b c"), (2, "a b x"), (3, "y b c"), (4, "a b c")]
+    found = {r.doc_id: r for r in backoff.scores(spark.createDataFrame(rows, "doc_id long, text string"), order=backoff.ORDER).collect()}
+    assert [found[i].n_known_triples for i in (1, 2, 3, 4)] == [1, 0, 0, 1]
+    assert math.isclose(found[1].log_score, math.log(2 / 9) + math.log(2 / 2) + math.log(1 / 2))
+    assert math.isclose(found[3].log_score, math.log(0.4 / 9) + math.log(0.4 * 3 / 9) + math.log(0.4 * 2 / 3))
+
+
 def test_word_hashes_of_batches():
     import pyarrow as pa
 
