@@ -8,8 +8,10 @@ same document and an earlier start) is removed; all strings are judged on the in
    anchors, so they meet in one part when pieces are dealt by anchor. Only compact records
    (hashes and places) move. Equal pieces collapse to the earliest; the rest is repeated text.
 2. *Collections.* Different pieces with the same anchor may still share windows. Their bytes are
-   fetched and dealt by anchor into small collections. An anchor with very many different
-   pieces (a passage that a large share of documents contain) is dealt by single windows.
+   fetched and dealt by anchor into small collections. Of an anchor with very many different
+   pieces (a passage that a large share of documents contain, in different surroundings) single
+   windows are compared by a 128-bit hash of their bytes: an aggregate, salted because a window
+   may have any number of copies, finds the earliest place, and all others are repeated.
 3. *Column-wise construction.* A collection's transform grows from the right ends of its pieces:
    each round inserts one symbol per piece into the transform and its array of common prefixes.
    Windows whose common prefix reaches LENGTH are equal, and all but the earliest are repeated.
@@ -186,8 +188,8 @@ def compared_pieces(dealt: DataFrame) -> DataFrame:
 
 
 def fetch_bytes(documents: DataFrame, asked: DataFrame, collections: int, crowd: int = CROWD) -> DataFrame:
-    """(collection, bytes, _id, _crc, start): the strings to compare, dealt by anchor; of
-    crowded anchors single windows, dealt by their content."""
+    """(collection, bytes, h0, h1, _id, _crc, start): the strings to compare, dealt by anchor;
+    of crowded anchors single windows, with a hash in place of a collection and bytes."""
     wanted = asked.groupBy("_id", "_crc").agg(F.collect_list(F.struct("start", "n", "anchor", "crowd")).alias("asked"))
     rows = keyed(documents).select("_id", "_crc", "text").join(wanted, ["_id", "_crc"])
 
@@ -205,20 +207,33 @@ def fetch_bytes(documents: DataFrame, asked: DataFrame, collections: int, crowd:
             size = np.where(single, 1, n)[index] + LENGTH - 1
             begin = start[index] + shift
             place = offsets[of[index]] + begin
-            raw = data.tobytes()
-            texts = [raw[p : p + s] for p, s in zip(place.tolist(), size.tolist())]
-            key = anchor[index].astype(np.uint64)
-            for i in np.flatnonzero(single[index]).tolist():
-                digest = hashlib.blake2b(texts[i], digest_size=8).digest()
-                key[i] ^= np.frombuffer(digest, np.uint64)[0]
+            raw, alone = data.tobytes(), single[index]
+            h = np.zeros((len(index), 2), np.int64)
+            digests = [hashlib.blake2b(raw[p : p + LENGTH], digest_size=16).digest() for p in place[alone].tolist()]
+            h[alone] = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            texts = [None if w else raw[p : p + s] for p, s, w in zip(place.tolist(), size.tolist(), alone.tolist())]
+            row = pa.array(of[index])
             yield pa.RecordBatch.from_pydict(
                 {
-                    "collection": (mix64(key) % np.uint64(collections)).astype(np.int64), "bytes": pa.array(texts, pa.binary()),
-                    "_id": batch.column("_id").take(pa.array(of[index])), "_crc": batch.column("_crc").take(pa.array(of[index])), "start": begin,
+                    "collection": pa.array((mix64(anchor) % np.uint64(collections)).astype(np.int64)[index], mask=alone),
+                    "bytes": pa.array(texts, pa.binary()), "h0": pa.array(h[:, 0], mask=~alone), "h1": pa.array(h[:, 1], mask=~alone),
+                    "_id": batch.column("_id").take(row), "_crc": batch.column("_crc").take(row), "start": begin,
                 }
             )
 
-    return rows.mapInArrow(run, "collection long, bytes binary, _id long, _crc long, start long")
+    return rows.mapInArrow(run, "collection long, bytes binary, h0 long, h1 long, _id long, _crc long, start long")
+
+
+def compare_windows(windows: DataFrame, salts: int) -> DataFrame:
+    """Places of the windows that also start earlier. Copies of one window are spread over
+    ``salts`` groups, each of which gets the earliest place of all."""
+    place = F.struct("_id", "start")
+    salted = windows.withColumn("salt", F.pmod(F.xxhash64("_id", "start"), F.lit(salts)))
+    groups = salted.groupBy("h0", "h1", "salt").agg(F.min(place).alias("least"), F.count("*").alias("copies"))
+    first = groups.groupBy("h0", "h1").agg(F.min("least").alias("first"), F.sum("copies").alias("copies")).where("copies > 1")
+    first_of = groups.select("h0", "h1", "salt").join(first.drop("copies"), ["h0", "h1"])
+    later = salted.join(first_of, ["h0", "h1", "salt"]).where(place != F.col("first"))
+    return later.select("_id", "_crc", "start", F.lit(1).cast("long").alias("n"))
 
 
 def collection_bwt(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -359,10 +374,17 @@ def repeated_places(documents: DataFrame, scratch: Scratch, crowd: int = CROWD)
     found = scratch.save(compared_pieces(dealt_pieces(documents, input_parts(documents))))
     release(spark)
     asked = found.where("crowd is not null")
-    collections = 1 + (asked.agg(F.sum(F.when(F.col("crowd") > crowd, F.col("n")).otherwise(1))).first()[0] or 0) // COLLECTION
-    compared = scratch.save(compare_collections(fetch_bytes(documents, asked, int(collections), crowd)))
+    collections = 1 + asked.where(F.col("crowd") <= crowd).count() // COLLECTION
+    fetched = scratch.save(fetch_bytes(documents, asked, collections, crowd))
+    release(spark)
+    strings = fetched.where("collection is not null").select("collection", "bytes", "_id", "_crc", "start")
+    windows = fetched.where("collection is null").select("h0", "h1", "_id", "_crc", "start")
+    compared = scratch.save(compare_collections(strings))
+    release(spark)
+    later = scratch.save(compare_windows(windows, input_parts(documents)))
+    scratch.drop(fetched)
     release(spark)
-    places = found.where("crowd is null").select("_id", "_crc", "start", "n").unionByName(compared)
+    places = found.where("crowd is null").select("_id", "_crc", "start", "n").unionByName(compared).unionByName(later)
     return places.groupBy("_id", "_crc").agg(F.collect_list(F.col("start") * 256 + F.col("n")).alias("_spans"))
 
 

@@ -130,3 +130,44 @@ def test_repeats_in_periodic_texts(spark):
     rows = [(1, period * 30, "en", "a"), (2, "x" * 500, "en", "a"), (3, "y" + "x" * 350 + period * 3, "en", "a"), (4, "ab " * 90 + "x" * 99, "en", "a")]
     table = awkward_documents(spark, rows)
     assert removed(table, Scratch(spark)) == wanted(table)
+
+
+def test_hot_windows_stay_out_of_collections(spark, monkeypatch):
+    """A passage in many documents with different surroundings: no collection holds all its copies."""
+    from fixtures import awkward_documents, prose
+
+    passage, largest, compare = prose(900, 40), [], suffix_dedup.compare_collections
+
+    def spy(strings):
+        largest.append(max((r["count"] for r in strings.groupBy("collection").count().collect()), default=0))
+        return compare(strings)
+
+    places = suffix_dedup.repeated_places
+    monkeypatch.setattr(suffix_dedup, "compare_collections", spy)
+    monkeypatch.setattr(suffix_dedup, "repeated_places", lambda d, s: places(d, s, 20))
+    monkeypatch.setattr(suffix_dedup, "COLLECTION", 20)
+    rows = [(i, f"{prose(1000 + i, 20, 10**6)} {passage} {prose(2000 + i, 20, 10**6)}", "en", "a") for i in range(300)]
+    rows.append((5, f"{prose(1005, 20, 10**6)} {passage} end", "en", "a"))  # the same place in another text
+    table = awkward_documents(spark, rows)
+    assert sorted(map(tuple, (r[:4] for r in removed_rows(table)))) == sorted(map(tuple, wanted_rows(table)))
+    assert largest[0] < 150
+
+
+def removed_rows(table):
+    return [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(table).collect()]
+
+
+def wanted_rows(table):
+    """By definition: windows whose bytes start earlier (a smaller id, or earlier in the same id)."""
+    rows = [(r.doc_id, r.text.encode()) for r in table.collect()]
+    n = suffix_dedup.LENGTH
+    first = {}
+    for doc, text in rows:
+        for i in range(len(text) - n + 1):
+            first[text[i : i + n]] = min(first.get(text[i : i + n], (doc, i)), (doc, i))
+    for doc, text in rows:
+        gone = np.zeros(len(text) + 1, bool)
+        for i in range(len(text) - n + 1):
+            if first[text[i : i + n]] < (doc, i):
+                gone[i : i + n] = True
+        yield doc, len(text), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0])
