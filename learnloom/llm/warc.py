@@ -105,6 +105,9 @@ class WarcWriter(DataSourceArrowWriter):
         self.path = options["path"]
         self.overwrite = overwrite
         self.most = int(options.get("maxfilebytes", options.get("maxFileBytes", 256 << 20)))
+        # Listed in the driver before any task writes, so what failed attempts leave is not in it.
+        fs, root = filesystem(self.path)
+        self.earlier = [] if overwrite else [f.rsplit("/", 1)[-1] for f, _ in listed_files(fs, root)]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = filesystem(self.path)
@@ -141,7 +144,8 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        files = [] if self.overwrite else [f.rsplit("/", 1)[-1] for f, _ in listed_files(fs, root)]
+        kept = fs.get_file_info(f"{root}/_files").type == pafs.FileType.File and not self.overwrite
+        files = [f.rsplit("/", 1)[-1] for f, _ in listed_files(fs, root)] if kept else list(self.earlier)
         files += [f for m in messages if m for f in m.files]
         with fs.open_output_stream(f"{root}/_files", compression=None) as out:
             out.write(json.dumps(files).encode())

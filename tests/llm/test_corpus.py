@@ -227,6 +227,32 @@ def test_warc_splits_and_pushes_filters_down(spark, pages):
     assert split.where("warc_type in ('resource', 'revisit')").count() == 1
 
 
+def test_files_of_failed_attempts_are_no_records(spark, tmp_path):
+    """A task that fails after it has written leaves a file; its second attempt counts once."""
+    import gzip
+
+    foreign = gzip.compress(warc.record_bytes({"WARC-Type": "response", "WARC-Record-ID": "<old>"}, b"old"))
+    (tmp_path / "old.warc.gz").write_bytes(foreign)
+    writer = warc.WarcWriter({"path": str(tmp_path)}, overwrite=False)
+    import pyarrow as pa
+
+    def rows(fail):
+        yield pa.RecordBatch.from_pylist([{"warc_type": "response", "record_id": "<r1>", "payload": b"x" * 5000}])
+        if fail:
+            raise RuntimeError("executor lost")
+
+    with pytest.raises(RuntimeError):
+        writer.write(rows(True))
+    writer.commit([writer.write(rows(False))])
+    assert len(list(tmp_path.glob("*.warc.gz"))) == 3
+    found = warc.read_archive(spark, str(tmp_path), "record_id string, warc_type string").where("warc_type = 'response'").collect()
+    assert sorted(r.record_id for r in found) == ["<old>", "<r1>"]
+    more = warc.WarcWriter({"path": str(tmp_path)}, overwrite=False)
+    more.commit([more.write(iter([pa.RecordBatch.from_pylist([{"warc_type": "resource", "record_id": "<r2>"}])]))])
+    found = warc.read_archive(spark, str(tmp_path), "record_id string, warc_type string").where("warc_type != 'warcinfo'").collect()
+    assert sorted(r.record_id for r in found) == ["<old>", "<r1>", "<r2>"]
+
+
 def test_foreign_archives(spark, tmp_path):
     """Members without a length field, and an uncompressed file."""
     import gzip
