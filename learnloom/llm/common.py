@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WHITE = r"\x20\x09-\x0D"
 WORD = rf"[^{WHITE}]+"
-ARROW_ROWS = 2000  # rows of an Arrow batch; texts may be long
+ARROW_ROWS = 2000  # rows of an Arrow batch
+ARROW_BYTES = 8 << 20  # and its bytes, since texts may be long
 PART_BYTES = 2 << 20  # stored bytes of input behind one part of a dealt table
 CHUNK_BYTES = 1 << 20  # bytes of text that a Python task looks at together
 
@@ -22,8 +23,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Long texts: fewer rows in an Arrow batch than Spark's default."""
+    """Long texts: Arrow batches bounded by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def boxed(df: DataFrame) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from learnloom.llm import backoff, fingerprints, html_text, jaccard_join, language, mixing, packing, quality_rules, suffix_dedup, warc
+from learnloom.llm import backoff, conversations, fingerprints, html_text, jaccard_join, language, line_dedup, mixing, packing, quality_rules, suffix_dedup, warc
 from learnloom.llm.common import read
 
 
@@ -54,6 +54,15 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damage(read(spark, sf_dir, "conversations")))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_rules": op2_quality_rules,
@@ -65,9 +74,12 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_warc": op9_warc,
     "op10_pack": op10_pack,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_line_dedup": op12_line_dedup,
 }
 ORACLE: dict[str, str] = {
     "op1_fingerprints": fingerprints.SQL,
     "op2_quality_rules": quality_rules.SQL,
     "op9_warc": warc.SQL,
+    "op12_line_dedup": line_dedup.SQL,
 }
