@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from learnloom.llm import backoff, conversations, fingerprints, html_text, jaccard_join, language, line_dedup, mixing, packing, quality_rules, suffix_dedup, warc
+from learnloom.llm import backoff, conversations, fingerprints, html_text, jaccard_join, language, line_dedup, mixing, packing, quality_rules, spelling, suffix_dedup, warc
 from learnloom.llm.common import read
 
 
@@ -63,6 +63,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(read(spark, sf_dir, "documents"), spelling.DAMAGE))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_rules": op2_quality_rules,
@@ -76,6 +80,7 @@ QUERIES = {
     "op10_pack": op10_pack,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_line_dedup": op12_line_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE: dict[str, str] = {
     "op1_fingerprints": fingerprints.SQL,
