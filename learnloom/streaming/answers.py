@@ -6,17 +6,13 @@ the end of the available input and returns the written result as a batch table.
 
 from __future__ import annotations
 
-import json
 import uuid
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from learnloom import constants as K
 from learnloom.functions.tags import infer_error_tag
-from learnloom.operators import replay
-from learnloom.operators.cooldown import accept
 from learnloom.operators.diagnostics import join_bank
 from learnloom.session import checkpoint_root, note_folder
 
@@ -29,25 +25,44 @@ def read_answers(spark: SparkSession, path: str, schema, files_per_batch: int |
     return reader.parquet(path).withColumn("answered_at", F.timestamp_millis("answered_ms"))
 
 
-def run_available(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def run_available(
+    stream: DataFrame,
+    keys: list[str] | None = None,
+    then: Sequence[Callable[[], None]] = (),
+    sink: Callable[[DataFrame, int], None] | None = None,
+    progress: Callable[[object], None] | None = None,
+) -> DataFrame:
     """Process all available input. With ``keys`` the stream is an aggregate in update mode:
-    each batch appends the changed rows and the newest row per key is the result."""
+    each batch appends the changed rows and the newest row per key is the result.
+
+    ``then``: after each of these actions (a tick of a clock, more input) the query goes on from its
+    checkpoint. ``sink`` also gets every batch with its number; it may see a batch twice.
+    ``progress`` gets the progress of every batch.
+    """
     spark = stream.sparkSession
     root = note_folder(spark, f"{checkpoint_root(spark).rstrip('/')}/learnloom/stream_{uuid.uuid4().hex}")
     out = f"{root}/out"
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")  # a retried batch replaces itself
+        path = f"{out}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(path)  # a retried batch replaces itself
+        if sink:
+            sink(spark.read.schema(stream.schema).parquet(path), batch_id)
 
     spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch_id=-1")  # no input, no rows
-    query = (
-        stream.writeStream.foreachBatch(append)
-        .outputMode("update" if keys else "append")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    for action in (None, *then):
+        if action:
+            action()
+        query = (
+            stream.writeStream.foreachBatch(append)
+            .outputMode("update" if keys else "append")
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        for report in query.recentProgress if progress else []:
+            progress(report)
     schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType())])
     rows = spark.read.schema(schema).parquet(out)
     if not keys:
@@ -81,172 +96,3 @@ def dedup_answers(stream: DataFrame, lateness: str = "2 hours") -> DataFrame:
     return stream.withWatermark("answered_at", lateness).dropDuplicatesWithinWatermark(
         ["learner_id", "mission_no", "pos"]
     )
-
-
-LEARNER_OUT = (
-    "learner_id bigint, subject string, mission_no bigint, skill_id string, mastery double, streak bigint, "
-    "next_review_at bigint, before_difficulty int, after_difficulty int, avg_mastery double, unresolved_index double, "
-    "earned_xp bigint, earned_stars bigint"
-)
-
-
-class LearnerState:
-    """Adaptive state of one (learner, subject): target, skills, open missions and the number of
-    the last mission that was folded. Its size does not follow the learner's history."""
-
-    def __init__(self, saved: str | None):
-        self.now = json.loads(saved) if saved else {"target": 1, "skills": {}, "open": {}, "folded": -1}
-
-    def add(self, row) -> None:
-        """Note an answer; one of a mission that was folded already was delivered before."""
-        if row.mission_no <= self.now["folded"]:
-            return
-        tag = row.error_tag if isinstance(row.error_tag, str) else None
-        answers = self.now["open"].setdefault(str(row.mission_no), {})
-        answers[str(row.pos)] = [row.skill_id, bool(row.correct), int(row.difficulty), tag, row.mode, int(row.answered_ms)]
-
-    @staticmethod
-    def ended(answers: dict) -> int:
-        return max(a[5] for a in answers.values())
-
-    def fold(self, watermark: int, n_skills: int) -> list[tuple]:
-        """Fold, in order, the missions whose answers all lie before the watermark.
-
-        Nothing that belongs before them can still arrive, whatever the batches were. A mission
-        that is incomplete then was abandoned and leaves no trace.
-        """
-        out = []
-        for mission_no in sorted(map(int, self.now["open"])):
-            answers = self.now["open"][str(mission_no)]
-            if self.ended(answers) >= watermark:
-                break
-            del self.now["open"][str(mission_no)]
-            self.now["folded"] = mission_no
-            if len(answers) == K.MISSION_SIZE:
-                out += self.mission(mission_no, [answers[str(p)] for p in sorted(map(int, answers))], n_skills)
-        return out
-
-    def mission(self, mission_no: int, answers: list, n_skills: int) -> list[tuple]:
-        skills, before = self.now["skills"], self.now["target"]
-        ended = max(a[5] for a in answers)
-        last = {a[0]: a for a in answers}
-        fresh = {"mastery": K.DEFAULT_MASTERY, "tags": [], "streak": 0}
-        for skill, (_, correct, difficulty, tag, _, _) in last.items():
-            past = skills.get(skill, fresh)
-            streak = past["streak"] + 1 if correct else 0
-            wait = K.REVIEW_LADDER_MS[min(streak, len(K.REVIEW_LADDER_MS) - 1)] if correct else K.WRONG_REVIEW_MS
-            step = replay.answer_step(past, correct, difficulty, tag, before)
-            skills[skill] = step | {"streak": streak, "due": ended + wait}
-        average, index = replay.gates(skills, n_skills)
-        right, size = sum(a[1] for a in answers), len(answers)
-        served, mode = sum(a[2] for a in answers) / size, answers[0][4]
-        after = self.now["target"] = replay.target_step(before, right / size, average, index, served, mode)
-        xp = 10 * right + K.MODE_XP[mode] + replay.half_up(right / size * 10) + 15 * (after > before) + replay.half_up(served * 2)
-        stars = right + (3 if right == size else 1) + (after > before)
-        return [
-            (mission_no, s, skills[s]["mastery"], skills[s]["streak"], skills[s]["due"], before, after, average, index, xp, stars)
-            for s in last
-        ]
-
-    def timer(self, watermark: int) -> int | None:
-        """When the earliest open mission can be closed."""
-        ends = [self.ended(a) for a in self.now["open"].values()]
-        return max(min(ends) + 1, watermark + 1) if ends else None
-
-    def saved(self) -> str:
-        return json.dumps(self.now)
-
-
-def learner_state(stream: DataFrame, n_skills: dict[str, int], lateness: str = "1 hour") -> DataFrame:
-    """Adaptive state per (learner, subject): one row per mission and skill once the mission is
-    closed by the watermark, with difficulty, gates, rewards, mastery and review time.
-
-    The result depends neither on the borders of the batches nor on the order of rows inside
-    ``lateness``, and answers that are delivered again change nothing. ``n_skills`` is the
-    number of catalogue skills per subject.
-    """
-
-    def update(key, frames, state: GroupState):
-        learner = LearnerState(state.get[0] if state.exists else None)
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                learner.add(row)
-        watermark = state.getCurrentWatermarkMs()
-        out = learner.fold(watermark, n_skills[key[1]])
-        state.update((learner.saved(),))
-        timer = learner.timer(watermark)
-        if timer is not None:
-            state.setTimeoutTimestamp(timer)
-        if out:
-            yield pd.DataFrame([(*key, *row) for row in out], columns=[c.split()[0] for c in LEARNER_OUT.split(", ")])
-
-    rows = stream.withWatermark("answered_at", lateness).select(
-        "learner_id", "subject", "mission_no", "pos", "skill_id", "correct", "difficulty", "error_tag", "mode", "answered_ms",
-        "answered_at",
-    )
-    return rows.groupBy("learner_id", "subject").applyInPandasWithState(
-        update, LEARNER_OUT, "state string", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-DUE_OUT = "learner_id bigint, skill_id string, next_review_at bigint, streak bigint"
-
-
-def due_reviews(outcomes: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """(learner, skill) each time a review becomes due; a new outcome re-arms the timer.
-
-    ``outcomes`` has learner_id, subject, skill_id, mission_no, correct, now_ms and event
-    time ``at``. One state per (learner, subject) holds streak and due time of its skills;
-    its timer is the earliest due time.
-    """
-
-    def update(key, frames, state: GroupState):
-        skills = json.loads(state.get[0]) if state.exists else {}
-        out, watermark = [], state.getCurrentWatermarkMs()
-
-        def fire(skill):
-            streak, due = skills[skill]
-            out.append((key[0], skill, due, streak))
-            skills[skill] = [streak, None]
-
-        rows = [r for frame in frames for r in zip(*(frame[c].tolist() for c in ("mission_no", "skill_id", "correct", "now_ms")))]
-        for _, skill, correct, now in sorted(rows):
-            streak, due = skills.get(skill, [0, None])
-            if due is not None and due <= now:
-                fire(skill)
-            streak = streak + 1 if correct else 0
-            wait = K.REVIEW_LADDER_MS[min(streak, len(K.REVIEW_LADDER_MS) - 1)] if correct else K.WRONG_REVIEW_MS
-            skills[skill] = [streak, now + wait]
-        for skill, (_, due) in sorted(skills.items()):
-            if due is not None and due < watermark:
-                fire(skill)
-        armed = [due for _, due in skills.values() if due is not None]
-        state.update((json.dumps(skills),))
-        if armed:
-            state.setTimeoutTimestamp(min(armed))
-        if out:
-            yield pd.DataFrame(out, columns=["learner_id", "skill_id", "next_review_at", "streak"])
-
-    columns = ["learner_id", "subject", "skill_id", "mission_no", "correct", "now_ms", "at"]
-    rows = outcomes.withWatermark("at", lateness).select(columns)
-    return rows.groupBy("learner_id", "subject").applyInPandasWithState(
-        update, DUE_OUT, "state string", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def cooldown_filter(stream: DataFrame, cooldown_ms: dict[str, int]) -> DataFrame:
-    """Accepted events of each (learner, effect): state is the last accepted time."""
-    schema = "learner_id bigint, effect string, event_id bigint, answered_ms bigint"
-
-    def update(key, frames, state: GroupState):
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["answered_ms", "event_id"])
-        flags, last = accept(rows["answered_ms"], [cooldown_ms.get(key[1], 0)] * len(rows), last)
-        state.update((int(last),))
-        if any(flags):
-            yield rows[flags][["learner_id", "effect", "event_id", "answered_ms"]]
-
-    rows = stream.select("learner_id", "effect", "event_id", "answered_ms")
-    return rows.groupBy("learner_id", "effect").applyInPandasWithState(
-        update, schema, "last bigint", "append", GroupStateTimeout.NoTimeout
-    )
