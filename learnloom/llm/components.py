@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is an aggregate (minimum neighbour per node) and a join with it; a hub's edges are
-never gathered into one task. The edges of every round are a written table.
+Each step is an aggregate (minimum neighbour per node, combined before the shuffle) and a join
+with it. Only that join deals a hub's edges by the hub; the runtime's skew split divides them.
+The edges of every round are a written table.
 """
 
 from __future__ import annotations

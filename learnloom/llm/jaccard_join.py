@@ -3,20 +3,23 @@
 Two sets link when their Jaccard similarity is at least 4/5, so their symmetric difference is
 at most a ninth of their sizes together. Sets are put into size bands whose bounds grow by 5/4:
 partners are in the same or the next band. For band i all sets of bands i and i-1 see the
-feature domain cut by hash into the same ``n1`` parts, a few more than the k+1 for which k
-differences cannot touch all. Equal contents of a part give equal signatures, and:
+feature domain cut by hash into the same ``n1`` first-level parts, and each of these into
+``SECOND`` second-level parts. With at most k differences between two linked sets:
 
-- at least n1-k parts agree, and a set publishes only non-empty parts as long as fewer than
-  n1-k of its parts are empty; otherwise it publishes every part;
-- at most k of its parts differ from a partner's, so in any order that both follow, the first
-  k+1 signatures of each include a common one. Parts with more features come first, since they
-  collide least. (This is the enumeration of single parts, the cheapest one that never misses.)
+- no more than k/2 first-level parts hold two or more differences, and ``n1`` is greater;
+- any other part holds at most one, so all but one of its second-level parts agree. Each subset
+  of ``SECOND`` - 1 of them is enumerated as one signature, and one of these is shared;
+- a set leaves out subsets without features as long as fewer than n1 - k/2 of its parts have
+  one (a part that agrees and has none is left over then); otherwise it publishes them all.
 
 Signatures are dealt by hash in compact binary records. A signature with few sets gives all
-their pairs; one with many gives pairs with its smallest set, and only what these leave in
-different components is paired further. Before any set is fetched, 256 parity bits per set
-bound the difference from below. What remains is verified on the full sets. Equal sets are one
-class from the start, so copies are never paired.
+their pairs; one with many gives pairs with its smallest set. Before any set is fetched, 256
+parity bits per set bound the difference from below; what remains is verified on the full sets.
+Sets that these links leave outside their smallest set's component are compared in blocks: sets
+connected by crowded signatures form a group, and blocks of those left outside meet blocks of
+the whole group, by products of their feature matrices. A pair meets once, not once for
+each signature, and a block gives the links of a spanning forest only. Equal sets are one class
+from the start, so copies are never paired.
 
 Edge cases: a null or blank text has an empty set and links with nothing. Texts of fewer than
 five words are one shingle. Repeated rows are copies. A null doc_id never names a component
@@ -29,15 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from learnloom.llm import components as cc
 from learnloom.llm.common import boxed, chunks, input_parts, mix64, release, small_batches, text_bytes, unboxed
 from learnloom.llm.shingles import shingle_sets
+from learnloom.operators.sequence import number_rows
 from learnloom.session import Scratch
 
-SPARE = 0.15  # parts beyond k+1, so that empty parts need not be published
+SECOND = 3  # second-level parts of a first-level part
+SPARE = 0.1  # first-level parts beyond k/2 + 1, so that empty subsets need not be published
 FEW = 16  # sets of a signature that are paired with each other at once
+BLOCK_SETS = 256  # sets of a block
+BLOCK_FEATURES = 1 << 20  # and their features, as long as one set does not have more
 RECORD = np.dtype([("sig", "u1", (5,)), ("key", "<u8")])
 
 
@@ -73,31 +81,33 @@ def signatures(sets: list[np.ndarray], key: np.ndarray, limits: np.ndarray | Non
     out_sig, out_key = [], []
     for step in (0, 1):  # the own band's cut, then the next band's
         instance = band + step
-        k = 2 * limits[instance] // 9
-        parts = np.where((k > 0) & (sizes > 0), k + 1 + np.ceil(SPARE * (k + 1)).astype(np.int64) + 1, 0)
-        base = np.cumsum(parts) - parts
+        bad = limits[instance] // 9  # parts that may hold two differences or more: k/2
+        parts = np.where((2 * limits[instance] >= 9) & (sizes > 0), bad + 1 + np.ceil(SPARE * (bad + 1)).astype(np.int64) + 1, 0)
         total = int(parts.sum())
         if not total:
             continue
         live = parts[owner] > 0
         features, of = every[live], owner[live]
+        base = np.cumsum(parts) - parts
         seed = mix64(instance.astype(np.uint64) + np.uint64(77))
         spread = mix64(features ^ seed[of])
-        part = ((spread >> np.uint64(32)) * parts[of].astype(np.uint64)) >> np.uint64(32)
-        at = base[of] + part.astype(np.int64)
-        count = np.bincount(at, minlength=total)
-        content = np.zeros(total, np.uint64)
+        cell = ((spread >> np.uint64(32)) * (parts[of] * SECOND).astype(np.uint64)) >> np.uint64(32)
+        at = base[of] * SECOND + cell.astype(np.int64)
+        count = np.bincount(at, minlength=total * SECOND).reshape(total, SECOND)
+        content = np.zeros(total * SECOND, np.uint64)
         np.add.at(content, at, mix64(spread))
+        content = content.reshape(total, SECOND)
         of_part = np.repeat(np.arange(len(sets)), parts)
-        number = np.arange(total) - base[of_part]
-        sig = mix64(content + mix64(seed[of_part] + number.astype(np.uint64)))
-        empty = np.bincount(of_part, weights=count == 0, minlength=len(sets)).astype(np.int64)
-        whole = empty >= parts - k  # publishes every part
-        order = np.lexsort((sig, -count, of_part))
-        rank = number  # parts of a set stay together in the order, so ranks are 0, 1, ...
-        chosen = order[whole[of_part[order]] | ((rank <= k[of_part]) & (count[order] > 0))]
-        out_sig.append(sig[chosen])
-        out_key.append(key[of_part[chosen]] | np.uint64(1 - step))
+        number = (np.arange(total) - base[of_part]).astype(np.uint64)
+        filled = count.sum(axis=1, keepdims=True) > count  # by the second-level part left out
+        weak = np.bincount(of_part, weights=~filled.all(axis=1), minlength=len(sets)).astype(np.int64)
+        whole = weak >= parts - bad  # publishes every subset
+        for left_out in range(SECOND):
+            chosen = np.flatnonzero(whole[of_part] | filled[:, left_out])
+            subset = content[chosen].sum(axis=1) - content[chosen, left_out]
+            name = mix64(seed[of_part[chosen]] + number[chosen] * np.uint64(SECOND) + np.uint64(left_out))
+            out_sig.append(mix64(subset + name))
+            out_key.append(key[of_part[chosen]] | np.uint64(1 - step))
     if not out_sig:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     return np.concatenate(out_sig), np.concatenate(out_key)
@@ -264,6 +274,118 @@ def verify(pairs: DataFrame, sets: DataFrame, most: int = 256) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def set_blocks(people: DataFrame) -> DataFrame:
+    """(cluster, band, a_block, b_block, side, key, own): the meetings of the blocks of each cluster.
+
+    ``people``: key, n_shingles, cluster, outside. Sides are 0 for sets left outside and 1 for
+    all; each block of one side meets each of the other. Linked sets are in the same or in
+    adjacent bands, so a set goes to its own and to the next band.
+    """
+    own = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(1.2501)))  # a little over 5/4: rounding cannot part partners
+    dealt = people.withColumn("_own", own).select(
+        "cluster", "key", "outside", "_own", F.explode(F.array(F.col("_own"), F.col("_own") + 1)).alias("band")
+    )
+    most = F.pow(F.lit(1.2501), F.col("band") + 1)
+    sets = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(BLOCK_FEATURES / most))).cast("long")
+    dealt = dealt.select("cluster", "band", "key", "outside", (F.col("_own") == F.col("band")).alias("own"), sets.alias("sets"))
+    where = ["cluster", "band"]
+    everyone = number_rows(dealt, where, ["key"], "at").withColumn("block", F.floor(F.col("at") / F.col("sets")))
+    outside = number_rows(dealt.where("outside"), where, ["key"], "at").withColumn("block", F.floor(F.col("at") / F.col("sets")))
+    blocks_of = lambda df, name: df.groupBy(*where).agg((F.max("block") + 1).alias(name))
+    left = outside.join(blocks_of(everyone, "_n"), where)
+    right = everyone.join(blocks_of(outside, "_n"), where)
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+    return left.select(*where, F.col("block").alias("a_block"), numbers.alias("b_block"), F.lit(0).alias("side"), "key", "own").unionByName(
+        right.select(*where, numbers.alias("a_block"), F.col("block").alias("b_block"), F.lit(1).alias("side"), "key", "own")
+    )
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Size of the intersection of each set of ``left`` with each of ``right``."""
+
+    def matrix(features: np.ndarray, owner: np.ndarray, rows: int, low: int) -> np.ndarray:
+        out = np.zeros((rows, width), np.float32)
+        a, b = np.searchsorted(features, [low, low + width])
+        out[owner[a:b], features[a:b] - low] = 1
+        return out
+
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for sets in (left, right):
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(shared, every)
+        at[at == len(shared)] = 0
+        known = np.flatnonzero(shared[at] == every) if len(shared) else np.zeros(0, int)
+        order = known[np.argsort(at[known], kind="stable")]
+        sides.append((at[order], owner[order], len(sets)))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for low in range(0, len(shared), width):
+        out += (matrix(*sides[0], low) @ matrix(*sides[1], low).T).astype(np.int64)
+    return out
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) of a spanning forest of the graph whose edges are the true cells."""
+    edges, open_row, open_column = [], np.ones(linked.shape[0], bool), np.ones(linked.shape[1], bool)
+    for start in range(linked.shape[0]):
+        if not open_row[start]:
+            continue
+        open_row[start] = False
+        rows = [start]
+        while rows:
+            row = rows.pop()
+            for column in np.flatnonzero(linked[row] & open_column).tolist():
+                open_column[column] = False
+                edges.append((row, column))
+                more = np.flatnonzero(linked[:, column] & open_row).tolist()
+                open_row[more] = False
+                edges += [(r, column) for r in more]
+                rows += more
+    return edges
+
+
+def links_of_blocks(meeting: pa.Table) -> pa.Table:
+    """(u, v) of one meeting of two blocks: a spanning forest of its links."""
+    sides = []
+    for side in (0, 1):
+        rows = meeting.filter(pc.equal(meeting.column("side"), side))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("features")]
+        sides.append((rows.column("key").to_numpy(), rows.column("own").to_numpy(zero_copy_only=False), sets))
+    (a, a_own, left), (b, b_own, right) = sides
+    edges = []
+    if left and right:
+        sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
+        linked = (9 * common_counts(left, right) >= 4 * sizes) & (a_own[:, None] | b_own[None, :]) & (a[:, None] != b[None, :])
+        edges = forest(linked)
+    return pa.table({"u": pa.array([a[i] for i, _ in edges], pa.int64()), "v": pa.array([b[j] for _, j in edges], pa.int64())})
+
+
+def outside_links(documents: DataFrame, classes: DataFrame, crowded: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Links of the sets that share a crowded signature, but not the component of its smallest set."""
+    found = scratch.save(cc.components(links, scratch))
+    root = found.select(F.col("node").alias("key"), "root")
+    of_pivot = found.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+    members = scratch.save(
+        crowded.join(root, "key", "left").join(of_pivot, "pivot", "left")
+        .select("sig", "key", "pivot", (F.coalesce("root", "key") != F.coalesce("pivot_root", "pivot")).alias("outside"))
+    )
+    inside = members.join(members.where("outside").select("sig").distinct(), "sig", "left_semi")
+    edges = scratch.save(inside.select(F.col("key").alias("u"), F.col("pivot").alias("v"), "outside").groupBy("u", "v").agg(F.max("outside").alias("outside")))
+    scratch.drop(found, members)
+    if edges.isEmpty():
+        return None
+    cluster = cc.components(edges.select("u", "v"), scratch).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
+    people = edges.groupBy(F.col("u").alias("key")).agg(F.max("outside").alias("outside")).join(cluster, "key")
+    people = scratch.save(people.join(classes.select("key", "n_shingles"), "key"))
+    sets = scratch.save(fetch_sets(documents, classes, people.select("key")))
+    met = set_blocks(people).join(sets.groupBy("key").agg(F.first("features").alias("features")), "key")
+    more = scratch.save(
+        met.groupBy("cluster", "band", "a_block", "b_block").applyInArrow(links_of_blocks, "u long, v long")
+    )
+    scratch.drop(sets, edges, people)
+    return more
+
+
 def linked_classes(documents: DataFrame, described: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets (key, n_shingles, p0..p3, rep) and their components (node, root)."""
     spark = documents.sparkSession
@@ -274,34 +396,24 @@ def linked_classes(documents: DataFrame, described: DataFrame, scratch: Scratch)
     a, b = named(classes, "a"), named(classes, "b")
     candidates = shared.where("a != b").select("a", "b").distinct()
     first = scratch.save(candidates.join(a, "a").join(b, "b").where(may_link("a", "b")).select("a", "b"))
-    links = scratch.save(check(documents, classes, first, scratch))
-    release(spark)
-    crowded = shared.where("many").select("sig", F.col("b").alias("key"), F.col("a").alias("pivot")).distinct()
-    if not crowded.isEmpty():
-        found = scratch.save(cc.components(links, scratch))
-        root = found.select(F.col("node").alias("key"), "root")
-        of_pivot = found.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-        members = scratch.save(
-            crowded.join(root, "key", "left").join(of_pivot, "pivot", "left")
-            .select("sig", "key", F.coalesce("root", "key").alias("root"), F.coalesce("pivot_root", "pivot").alias("pivot_root"))
-        )
-        outside = members.where("root != pivot_root")
-        open_sigs = outside.select("sig").distinct()
-        inside = members.join(open_sigs, "sig", "left_semi")
-        left = outside.join(a, F.col("key") == F.col("a")).select("sig", F.col("root").alias("a_root"), *a.columns)
-        right = inside.join(b, F.col("key") == F.col("b")).select("sig", F.col("root").alias("b_root"), *b.columns)
-        more = left.join(right, "sig").where((F.col("a_root") != F.col("b_root")) & (F.col("a") != F.col("b")) & may_link("a", "b"))
-        second = scratch.save(
-            more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        )
-        links = scratch.save(links.unionByName(check(documents, classes, second, scratch)))
+    crowded = scratch.save(shared.where("many").select("sig", F.col("b").alias("key"), F.col("a").alias("pivot")))
     scratch.drop(shared)
-    return classes, scratch.save(cc.components(links, scratch))
+    links = check(documents, classes, first, scratch)
+    scratch.drop(first)
+    release(spark)
+    more = None if crowded.isEmpty() else outside_links(documents, classes, crowded, links, scratch)
+    scratch.drop(crowded)
+    found = scratch.save(cc.components(links if more is None else links.unionByName(more), scratch))
+    scratch.drop(links, *([] if more is None else [more]))
+    return classes, found
 
 
 def check(documents: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    return verify(pairs, scratch.save(fetch_sets(documents, classes, keys)))
+    sets = scratch.save(fetch_sets(documents, classes, keys))
+    links = scratch.save(verify(pairs, sets))
+    scratch.drop(sets)
+    return links
 
 
 def near_duplicates(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
