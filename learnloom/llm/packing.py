@@ -15,7 +15,6 @@ occur. No rows give no pieces. Very long texts give many pieces. A null doc_id s
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,12 +34,9 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 # Characters whose classes are alike in all Unicode versions: such texts may be split here.
 PLAIN = re.compile(r"[\x20-\x7E\n\r\t¡-¬®-ɏ‐-‧€]*")
 # The vocabulary's own pre-tokenisation (fixed value), with its letters and digits spelt out for
-# the characters of PLAIN.
+# the characters of PLAIN; possessive where giving back could not change a match.
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-PIECES = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+"
-)
-CACHE = 200_000  # pieces kept per worker
+PIECES = rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]++| ?[{DIGITS}]++| ?[^\s{LETTERS}{DIGITS}]++|\s++$|\s+(?!\S)|\s"
 
 
 def byte_letters() -> dict[str, int]:
@@ -55,11 +51,11 @@ BYTE_OF = byte_letters()
 
 
 class Encoder:
-    """Texts -> ids, encoding each distinct piece once.
+    """Texts -> ids, as the tokenizer gives them without its surrounding special tokens.
 
-    Byte-level BPE never merges across pieces, so a text's ids are its pieces' ids in order.
-    Texts with other characters go to the tokenizer whole. Pieces of one space and a word, nearly
-    all, are merged by tiktoken, which is given the tokenizer's own vocabulary and is quicker.
+    Texts of plain characters are split and merged by tiktoken, which is given the tokenizer's
+    own vocabulary and is quicker: an id is the rank of its merge in this kind of vocabulary.
+    Texts with other characters, or with the string of an added token, go to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -67,43 +63,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"(?!)")
         tokens = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(tokens.values()) + 1, bool)  # ids that begin with a space
-        self.opens[[i for token, i in tokens.items() if token.startswith("Ġ")]] = True
-        # The same merges on bytes: an id is the rank of its merge in this kind of vocabulary.
-        special = set(self.tokenizer.get_added_tokens_decoder())
-        ranks = {bytes(map(BYTE_OF.__getitem__, token)): i for token, i in tokens.items() if i not in special}
-        self.merges = tiktoken.Encoding("pieces", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={})
-
-    def learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces. Those of one space and a word are encoded many at a time: laid end
-        to end they split as before, and each begins with the only id that holds a space."""
-        single = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-        rest = [p for p in pieces if not (p[0] == " " and len(p) > 1 and not p[1].isspace())]
-        for at in range(0, len(single), 2000):
-            some = single[at : at + 2000]
-            ids = np.array(self.merges.encode_ordinary("".join(some)), "<u4")
-            starts = np.flatnonzero(self.opens[ids]) * 4
-            raw, stops = ids.tobytes(), [*starts[1:].tolist(), 4 * len(ids)]
-            self.known.update(zip(some, (raw[a:b] for a, b in zip(starts.tolist(), stops, strict=True)), strict=True))
-        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit values."""
-        pieces = [PIECES.findall(t) if t and PLAIN.fullmatch(t) else None for t in texts]
-        if len(self.known) > CACHE:
-            self.known = dict(itertools.islice(self.known.items(), CACHE // 2, None))
-        self.learn(list(set().union(*[p for p in pieces if p]).difference(self.known)))
-        get = self.known.__getitem__
-        return [
-            b"".join(map(get, p)) if p is not None
-            else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if t
-            else b""
-            for t, p in zip(texts, pieces)
-        ]
+        ranks = {bytes(map(BYTE_OF.__getitem__, token)): i for token, i in tokens.items() if i not in added}
+        self.merges = tiktoken.Encoding("plain", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit values."""
+        if not text:
+            return b""
+        if PLAIN.fullmatch(text) and not self.added.search(text):
+            return self.merges.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -119,7 +91,8 @@ def tokenised(documents: DataFrame, tokenizer: str = TOKENIZER, end_id: int = EN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, before = TaskContext.get().partitionId(), 0
         for batch in chunks(batches):
-            ids = [x + end for x in encoder(tokenizer).encode(batch.column("text").to_pylist())]
+            encode = encoder(tokenizer).encode
+            ids = [encode(x) + end for x in batch.column("text").to_pylist()]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             starts = before + np.cumsum(n) - n
             before += int(n.sum())

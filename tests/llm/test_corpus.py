@@ -113,7 +113,6 @@ def test_mix_of_awkward_documents(awkward, nothing):
 
 def check_packing(texts: list[tuple], rows, window=packing.WINDOW):
     tokenizer = Tokenizer.from_file(packing.TOKENIZER)
-    tokenizer.encode_special_tokens = True
     wanted = sorted((str(k), tokenizer.encode(t or "", add_special_tokens=False).ids + [packing.END_ID]) for k, t in texts)
     runs, sequences = {}, {}
     for r in rows:
@@ -146,9 +145,10 @@ def test_encoder_splits_like_the_tokenizer():
     rng = np.random.default_rng(1)
     letters = list("ab Zé1²½ªº×÷_'stre\n\t  ..,«»–€çñµĀɏ$\r日\x85\xa0") + ["<|endoftext|>"]
     texts = ["".join(rng.choice(letters, rng.integers(0, 50))) for _ in range(3000)] + ["I'll don't 's", " \n ", ""]
-    encoder = packing.Encoder(packing.TOKENIZER)
-    for got, want in zip(encoder.encode(texts), encoder.tokenizer.encode_batch(texts, add_special_tokens=False)):
-        assert np.frombuffer(got, "<u4").tolist() == want.ids
+    encoder, untouched = packing.Encoder(packing.TOKENIZER), Tokenizer.from_file(packing.TOKENIZER)
+    for text, want in zip(texts, untouched.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want.ids
+    assert len(encoder.encode("a <|endoftext|> b")) == 4 * len(untouched.encode("a <|endoftext|> b", add_special_tokens=False).ids)
 
 
 PAGE = """<html><head><title>x</title><script>if (a < b) "</p>"</script></head><body class="article-page">

@@ -81,6 +81,45 @@ def test_signatures_never_miss():
         assert mine & theirs, (len(a), len(b), same)
 
 
+def test_blocks_against_plain_intersections():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 2**63, 6000, dtype=np.uint64)
+    left, right = ([np.unique(rng.choice(pool, rng.integers(1, 3000))) for _ in range(n)] for n in (7, 5))
+    counts = jaccard_join.common_counts(left, right)
+    assert counts.tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert jaccard_join.common_counts([pool[:3]], [pool[3:5]]).tolist() == [[0]]
+
+
+def test_forest_keeps_connectivity():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        cells = rng.random((12, 9)) < rng.random() / 3
+
+        def groups(edges):
+            name = list(range(21))
+            for r, c in edges:
+                a, b = name[r], name[12 + c]
+                name = [a if x == b else x for x in name]
+            return {frozenset(i for i in range(21) if name[i] == x) for x in name}
+
+        edges = jaccard_join.forest(cells)
+        assert all(cells[e] for e in edges) and len(edges) <= 20
+        assert groups(edges) == groups(np.argwhere(cells).tolist())
+
+
+@pytest.mark.parametrize("size", [256, 4])
+def test_half_shared_texts_and_hidden_links(spark, size, monkeypatch):
+    """Texts that share half of their words meet, and the links between a few of them are found."""
+    from fixtures import awkward_documents
+
+    monkeypatch.setattr(jaccard_join, "FEW", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", size)
+    common = " ".join(f"s{j}" for j in range(100))
+    rows = [(i, common + " " + " ".join(f"t{i // 2}_{j}" for j in range(100)) + f" end{i}", "en", "a") for i in range(40)]
+    table = awkward_documents(spark, rows)
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(table).collect()} == {i: i // 2 * 2 for i in range(40)}
+
+
 def test_collection_transform_against_sorted_suffixes():
     rng = np.random.default_rng(3)
     for _ in range(60):
