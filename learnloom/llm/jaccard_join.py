@@ -44,7 +44,7 @@ from learnloom.session import Scratch
 SECOND = 3  # second-level parts of a first-level part
 SPARE = 0.1  # first-level parts beyond k/2 + 1, so that empty subsets need not be published
 FEW = 16  # sets of a signature that are paired with each other at once
-BLOCK_SETS = 256  # sets of a block
+BLOCK_SETS = 2048  # sets of a block
 BLOCK_FEATURES = 1 << 20  # and their features, as long as one set does not have more
 RECORD = np.dtype([("sig", "u1", (5,)), ("key", "<u8")])
 
@@ -300,7 +300,7 @@ def set_blocks(people: DataFrame) -> DataFrame:
     )
 
 
-def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 2048) -> np.ndarray:
     """Size of the intersection of each set of ``left`` with each of ``right``."""
 
     def matrix(features: np.ndarray, owner: np.ndarray, rows: int, low: int) -> np.ndarray:
