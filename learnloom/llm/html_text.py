@@ -1,10 +1,16 @@
 """Main text of web pages: flat text blocks classified by a small decision tree.
 
 A page is read as a flat list of text blocks (what stands between the borders of block
-elements), each with its number of words and its link density, those of its neighbours, and
-where it stands: in a part marked as boilerplate (navigation, footer, form, advert, comments, ...),
-in a part marked as main text, or in neither. A decision tree, trained on the driver from the
-labelled blocks in ``LABELLED``, keeps a block or drops it. The blocks kept are joined in order.
+elements), each with its number of words and its link density, those of its neighbours, the
+words of the page's marked main part, and where it stands. A decision tree, trained on the driver
+from the labelled blocks in ``LABELLED``, keeps a block or drops it. The blocks kept are joined in
+order.
+
+Where a block stands: elements and roles that never hold an article (navigation, footer, aside,
+...) are boilerplate. Words in class and id are weaker: a page may sit in ``div.with-sidebar`` or
+in one form as a whole. So the named elements around a block are counted, and the page's text is
+sought at the smallest count that has a main part or running text; blocks further inside named
+elements are boilerplate. A ``main`` element starts the count anew.
 
 Every page is read whole, in one pass over its tags; a task holds one batch of pages.
 
@@ -42,22 +48,31 @@ SPACE = frozenset("br td th img wbr input".split())  # borders of words, not of
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())  # end at their own end tag only
 DROPPED = frozenset(
-    "aside button canvas dialog footer form head iframe label menu nav noscript object option search select svg template".split()
+    "aside button canvas dialog footer head iframe label menu nav noscript object option search select svg template".split()
 )
 MAIN = frozenset("article main".split())
-MAIN_ROLES = frozenset("article main".split())
-DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-DROPPED_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies copyright disqus feedback footer form login masthead menu modal nav navbar navigation newsletter notice "
-    "notices pager pagination popup promo promoted promotion recommended related replies reply respond search share "
-    "sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
+HOLDERS = frozenset("center div dl ol section table tbody td tr ul".split())  # class words mark these as main, not headings
+DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
+# Class and id words of parts that are never the article, and of parts whose name a wrapper of the page may bear.
+DEFINITE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies "
+    "copyright disqus modal newsletter notice notices pager pagination popup promo promoted promotion recommended related "
+    "replies reply respond sponsor sponsored subscribe subscription teaser".split()
+)
+LAYOUT_NAMES = frozenset(
+    "banner feedback footer form login masthead menu nav navbar navigation search share sharing sidebar signup social "
+    "toolbar widget widgets".split()
 )
 MAIN_NAMES = frozenset("article articlebody content entry maincontent post postbody story".split())
+STATE_FIRST = frozenset("has hide is no show with without".split())  # has-sidebar, comments-open: states of a wrapper
+STATE_LAST = frozenset("active allowed closed disabled enabled off on open".split())
+WRAPPERS = frozenset("area block box col container inner layout outer page row wrap wrapper".split())
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
-# Where a block stands.
-DROP, BESIDE, UNMARKED, INSIDE = 0, 1, 2, 3  # boilerplate part; outside a marked main part; page without marks; main part
+# Where a block stands: boilerplate element; in a named part; outside a marked main part; page without marks; main part.
+DROP, NAMED, BESIDE, UNMARKED, INSIDE = range(5)
+DEFINITE = 1000  # depth that a definite name adds
+RUNNING = 5  # words outside links that count as running text
 
 # Labelled blocks of invented pages, in page order: (place, words, words in links, main text?).
 LABELLED = [
@@ -81,18 +96,29 @@ LABELLED = [
     [(UNMARKED, 5, 0, 1), (UNMARKED, 19, 0, 1), (UNMARKED, 11, 0, 1), (UNMARKED, 26, 0, 1)],
     [(UNMARKED, 2, 2, 0), (UNMARKED, 12, 12, 0), (UNMARKED, 10, 9, 0), (UNMARKED, 20, 18, 0), (UNMARKED, 16, 15, 0)],
     [(UNMARKED, 100, 0, 1)], [(UNMARKED, 3, 0, 1)], [(INSIDE, 2, 0, 1)], [(INSIDE, 140, 12, 1)], [(INSIDE, 1, 1, 1)], [(DROP, 200, 0, 0)],
+    # named parts
+    [(NAMED, 3, 3, 0), (NAMED, 8, 2, 0), (UNMARKED, 5, 0, 1), (UNMARKED, 64, 2, 1), (NAMED, 40, 0, 0), (NAMED, 130, 3, 0), (NAMED, 1, 0, 0)],
+    [(NAMED, 20, 0, 0), (INSIDE, 6, 0, 1), (INSIDE, 50, 0, 1), (NAMED, 75, 0, 0), (BESIDE, 45, 0, 0), (NAMED, 6, 6, 0)],
+    # the mark is on the headline only, the text stands beside it
+    [(DROP, 6, 6, 0), (BESIDE, 4, 4, 0), (INSIDE, 7, 0, 1), (BESIDE, 48, 0, 1), (BESIDE, 85, 4, 1), (BESIDE, 140, 2, 1), (BESIDE, 5, 5, 0)],
+    [(INSIDE, 4, 0, 1), (BESIDE, 35, 1, 1), (BESIDE, 70, 0, 1), (BESIDE, 8, 8, 0), (NAMED, 60, 0, 0), (DROP, 30, 0, 0)],
+    [(INSIDE, 10, 0, 1), (BESIDE, 6, 6, 0), (BESIDE, 40, 0, 1), (BESIDE, 56, 8, 1), (BESIDE, 12, 12, 0), (BESIDE, 3, 0, 0)],
+    # short main parts with short lines beside them
+    [(INSIDE, 5, 0, 1), (INSIDE, 9, 0, 1), (BESIDE, 7, 0, 0), (BESIDE, 12, 1, 0), (BESIDE, 16, 0, 0)],
     # long boilerplate: cookie notices, comments, terms
     [(DROP, 90, 4, 0), (DROP, 150, 0, 0), (INSIDE, 10, 0, 1), (INSIDE, 95, 0, 1), (DROP, 70, 0, 0), (DROP, 35, 0, 0)],
 ]
 
 
 def features(blocks: list[tuple]) -> np.ndarray:
-    """Rows (place, words, link density, words and link density of the block before and after)."""
+    """Rows (place, words, link density, words and link density of the block before and after,
+    words outside links in the page's main part)."""
     if not blocks:
-        return np.zeros((0, 7))
+        return np.zeros((0, 8))
     table = np.array([(b[0], b[1], b[2] / b[1] if b[1] else 0.0) for b in blocks], np.float64)
     edge = np.zeros((1, 2))
-    return np.hstack([table, np.vstack([edge, table[:-1, 1:]]), np.vstack([table[1:, 1:], edge])])
+    marked = np.full((len(blocks), 1), sum(b[1] - b[2] for b in blocks if b[0] == INSIDE))
+    return np.hstack([table, np.vstack([edge, table[:-1, 1:]]), np.vstack([table[1:, 1:], edge]), marked])
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
@@ -126,65 +152,117 @@ def is_main(node, row: np.ndarray) -> bool:
     return node >= 0.5
 
 
-def marks(tag: str, attributes: str, inside: bool) -> int | None:
-    """DROP or INSIDE for an element that marks its content, else None."""
-    if tag in DROPPED or tag == "header" and not inside:
-        return DROP
-    if not attributes.strip():
-        return INSIDE if tag in MAIN else None
-    found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
+def named(found: dict) -> tuple[int, bool]:
+    """Depth that the class and id words of an element add, and whether they name main text."""
+    depth, main = 0, False
+    for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+        parts = [p.lower() for p in NAME_PART.findall(token)]
+        if len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
+            continue
+        head = next((p for p in reversed(parts) if p not in WRAPPERS), "")
+        if not DEFINITE_NAMES.isdisjoint(parts):
+            depth = DEFINITE
+        elif not LAYOUT_NAMES.isdisjoint(parts):
+            depth = depth or int(head not in MAIN_NAMES or head == "content")
+        else:
+            main = main or not MAIN_NAMES.isdisjoint(parts)
+    return depth, main
+
+
+def entered(tag: str, attributes: str, mark: int | None, depth: int) -> tuple[int | None, int]:
+    """Mark and depth inside an element that stands at ``mark`` and ``depth``."""
+    if mark == DROP or tag in DROPPED or tag == "header" and mark != INSIDE:
+        return DROP, depth
+    found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     role = found.get("role", "").lower()
-    names = {p.lower() for k in ("class", "id") for p in NAME_PART.findall(found.get(k, ""))}
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
     if hidden or role in DROPPED_ROLES:
-        return DROP
-    if tag in MAIN or role in MAIN_ROLES:
-        return INSIDE
+        return DROP, depth
+    if "main" in (tag, role):
+        return INSIDE, 0
     if tag in ("body", "html"):
-        return None
-    if names & DROPPED_NAMES:
-        return DROP
-    return INSIDE if names & MAIN_NAMES else None
+        return mark, depth
+    more, main = named(found)
+    more = more or int("form" in (tag, role))
+    if tag in MAIN or role in MAIN or main and not more and tag in HOLDERS:
+        mark = INSIDE
+    return mark, depth + more
+
+
+def places(blocks: list[tuple]) -> list[int]:
+    """Where the blocks (mark, depth, words, words in links, ...) of a page stand."""
+    running: dict[int, int] = {}  # words outside links of unmarked blocks by depth
+    inside: dict[int, int] = {}  # and of main parts
+    for mark, depth, n, linked, *_ in blocks:
+        if mark != DROP:
+            counted = inside if mark == INSIDE else running
+            counted[depth] = counted.get(depth, 0) + n - linked
+    base = min([*running, *inside], default=0)
+    part = min(inside, default=DEFINITE)
+    if part < DEFINITE and inside[part] >= sum(n for d, n in running.items() if d < part):
+        base = part
+    else:
+        total = {d: running.get(d, 0) + inside.get(d, 0) for d in {*running, *inside}}
+        for enough in (RUNNING, 1):
+            deep = [d for d, n in total.items() if n >= enough and (d < DEFINITE or enough == 1)]
+            if deep:
+                base = min(deep)
+                break
+    rest = BESIDE if any(d <= base for d in inside) else UNMARKED
+    return [DROP if m == DROP else NAMED if d > base else rest if m is None else INSIDE for m, d, *_ in blocks]
 
 
 def text_blocks(page: str) -> list[tuple[int, int, int, str]]:
-    """(place, words, words in links, text) of every block in page order."""
-    blocks: list[tuple[int | None, int, int, str]] = []
-    stack: list[tuple[str, int | None]] = []  # open elements and the mark in force inside
+    """(place, words, words in links, text) of every block in page order.
+
+    The positions of open elements are kept by name and for blocks, so an end tag without a
+    start costs nothing, whatever stands open.
+    """
+    blocks: list[tuple[int | None, int, int, int, str]] = []
+    stack: list[tuple[str, tuple[int | None, int]]] = []  # open elements, mark and depth inside
+    opened: dict[str, list[int]] = {}  # their positions by name
+    open_blocks: list[int] = []  # positions of the blocks among them
     pieces: list[str] = []
     linked = 0  # words in links of the open block
-    links = 0  # open links
-    place: int | None = None
+    here: tuple[int | None, int] = (None, 0)
 
     def flush() -> None:
         nonlocal linked
         words = entities.unescape("".join(pieces)).split()
         if words:
-            blocks.append((place, len(words), min(linked, len(words)), " ".join(words)))
+            blocks.append((*here, len(words), min(linked, len(words)), " ".join(words)))
         pieces.clear()
         linked = 0
 
-    def close(depth: int) -> None:
-        nonlocal place, links
-        if any(t in BLOCK or m != place for t, m in stack[depth:]) or (stack[depth - 1][1] if depth else None) != place:
+    def close(position: int) -> None:
+        nonlocal here
+        if (
+            any(t in BLOCK or inside != here for t, inside in stack[position:])
+            or (stack[position - 1][1] if position else (None, 0)) != here
+        ):
             flush()
-        links -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
-        place = stack[-1][1] if stack else None
+        while len(stack) > position:
+            tag, _ = stack.pop()
+            opened[tag].pop()
+            if tag in BLOCK:
+                open_blocks.pop()
+        here = stack[-1][1] if stack else (None, 0)
 
-    at = 0
+    at, last = 0, page.rfind(">")
     while at < len(page):
-        token = TOKEN.search(page, at)
-        text = page[at : token.start()] if token else page[at:]
+        token = TOKEN.search(page, at, last + 1) if at <= last else None
+        text = page[at : token.start()] if token else page[at:].partition("<!--")[0]
         if text:
             pieces.append(text)
-            if links:
+            if opened.get("a"):
                 linked += len(text.split())
         if not token:
             break
         at = token.end()
         end, tag, attributes = token.group(1, 2, 3) if token.group(2) else token.group(4, 5, 6)
         if not tag:
+            if token.group().startswith("<!--") and not token.group().endswith("-->"):
+                break  # a comment without an end hides the rest
             continue
         tag = tag.lower()
         if not end and tag in RAW:
@@ -193,37 +271,30 @@ def text_blocks(page: str) -> list[tuple[int, int, int, str]]:
             continue
         if tag in SPACE:
             pieces.append(" ")
+        block = open_blocks[-1] if open_blocks else -1
         if end:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if tag not in BLOCK and stack[depth][0] in BLOCK:
-                    break  # an inline end tag does not close a block
-            else:
-                if tag in BLOCK:
-                    flush()
+            position = opened[tag][-1] if opened.get(tag) else -1
+            if position >= 0 and (tag in BLOCK or position > block):  # an inline end tag does not close a block
+                close(position)
+            elif position < 0 and tag in BLOCK:
+                flush()
             continue
         if tag in BLOCK:
-            for depth in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                if stack[depth][0] == "p" or tag == stack[depth][0] == "li":
-                    close(depth)
-                    break
-                if stack[depth][0] in BLOCK:
-                    break
+            if block >= 0 and (stack[block][0] == "p" or tag == stack[block][0] == "li"):
+                close(block)  # a block ends an open paragraph
             flush()
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        mark = place if place == DROP else marks(tag, attributes, place == INSIDE)
-        mark = place if mark is None else mark
-        if mark != place:
+        inside = entered(tag, attributes, *here)
+        if inside != here:
             flush()
-        place = mark
-        stack.append((tag, mark))
-        links += tag == "a"
+        here = inside
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            open_blocks.append(len(stack))
+        stack.append((tag, inside))
     flush()
-    unmarked = BESIDE if any(b[0] == INSIDE for b in blocks) else UNMARKED
-    return [(unmarked if b[0] is None else b[0], *b[1:]) for b in blocks]
+    return [(place, *b[2:]) for place, b in zip(places(blocks), blocks)]
 
 
 def main_text(page: str | None, node=None) -> str:

@@ -1,6 +1,7 @@
 """Language, mixing, packing, pages and the pipeline."""
 
 import base64
+import time
 import zlib
 
 import compare
@@ -168,6 +169,44 @@ def test_main_text():
     assert html_text.main_text("<p" * 2000) is not None and html_text.main_text('<a href="' * 500) is not None
 
 
+ARTICLE = "<h1>A title</h1><p>" + "word " * 60 + "</p><p>" + "more text here " * 50 + "</p>"
+MENU = "<nav><a href=x>Home</a><a>About us</a></nav>"
+REMARKS = "<section class='comments'><p>" + "I say this too " * 30 + "</p></section>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"{MENU}<div class='layout has-sidebar'><article>{ARTICLE}</article></div>{REMARKS}<footer>foot</footer>",
+        f"{MENU}<div class='post comments-open'>{ARTICLE}</div>{REMARKS}",
+        f"<form id='aspnetForm'>{MENU}<div>{ARTICLE}</div><div class='sidebar'><p>{'aside ' * 30}</p></div>{REMARKS}</form>",
+        f"<a href=#>skip to content</a><div class='social-article-wrap'><main>{ARTICLE}</main></div>{REMARKS}",
+        f"{MENU}{ARTICLE.replace('<h1>', '<h1 class=entry-title>')}{REMARKS}",
+        f"{MENU}<div class='sidebar-left'><article>{ARTICLE}</article></div><p>A legal line with quite a few words in it</p>{REMARKS}",
+        f"{MENU}<article><h1>A title</h1></article>{ARTICLE[16:]}{REMARKS}",
+        f"{MENU}{ARTICLE}<div class='related'><article>{'teaser ' * 30}</article></div>",
+        f"<article>{ARTICLE}</article><ol class=comment-list><li><article><p>{'reply ' * 60}</p></article></ol>",
+        f"{ARTICLE}<form><label>Mail</label>{'subscribe now ' * 12}</form><!-- open",
+    ],
+)
+def test_main_text_in_wrappers(page):
+    want = "\n".join(["A title", ("word " * 60).strip(), ("more text here " * 50).strip()])
+    assert html_text.main_text(f"<html><body>{page}") == want
+
+
+def test_short_article_beside_a_form():
+    page = f"{MENU}<p>Short article of six words.</p><form>{'subscribe now ' * 12}</form>{REMARKS}"
+    assert html_text.main_text(page) == "Short article of six words."
+
+
+def test_end_tags_without_a_start_cost_nothing():
+    html_text.main_text("<b>x</i>")
+    start = time.process_time()
+    for unclosed in ("<b>x</i>", "<div><b>x</i>", "<a ", '<a "x>', "<x "):
+        html_text.main_text(unclosed * (200_000 // len(unclosed)))
+    assert time.process_time() - start < 10
+
+
 def test_tree_fits_its_table():
     for page in html_text.LABELLED:
         for row, block in zip(html_text.features(page), page):
