@@ -5,7 +5,8 @@ range, so its size follows the text. Sketches of different texts therefore keep
 the shingles: their union is the sketch of the joined texts, and the share of one sketch that is
 in the other estimates containment even when one text is far longer. A text whose hashes all
 lie above the threshold keeps its smallest one, so only texts without words have an empty
-sketch; merging keeps that rule.
+sketch; merging keeps that rule. Such a hash says nothing of containment, since the sketch of a
+longer text cannot hold it: containment is null there, unless the sketches are equal.
 
 A hash is the first 15 hexadecimal digits of the shingle's MD5, kept as an integer. All steps
 are SQL functions; a document meets its successor by two joins on the document id, and texts are
@@ -28,6 +29,7 @@ from learnloom.session import Scratch
 WORDS = 5
 BELOW = "4"  # hashes whose hexadecimal digits sort before this: a quarter of all
 DIGITS = 15
+BOUND = int(BELOW, 16) * 16 ** (DIGITS - 1)
 
 
 def hashed(shingle: Column) -> Column:
@@ -87,7 +89,7 @@ def merge(a: Column, b: Column) -> Column:
     """Sketch of the two texts together. A smallest hash kept above the threshold goes as soon
     as one below it is there."""
     both = F.array_sort(F.array_union(a, b))
-    low = F.filter(both, lambda h: h < int(BELOW, 16) * 16 ** (DIGITS - 1))
+    low = F.filter(both, lambda h: h < BOUND)
     return F.when((F.size(low) == 0) & (F.size(both) > 0), F.slice(both, 1, 1)).otherwise(low)
 
 
@@ -99,8 +101,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first text that is in the second."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
+    """Estimated share of the first text that is in the second; null where no hash of the first is below the threshold."""
+    share = F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1))
+    return F.when((F.size(a) == 0) | (a == b), F.lit(1.0)).when(F.get(a, F.lit(0)) < BOUND, share)
 
 
 def as_text(sketch: Column) -> Column:
@@ -181,5 +184,5 @@ h AS (SELECT doc_id, n, et, {_sketch_sql('w1')} AS h1, {_sketch_sql('w2')} AS h2
 s AS (SELECT doc_id, n, et, {_low_sql('h1')} AS s1, {_low_sql('h2')} AS s2, {_low_sql('h3')} AS s3 FROM h)
 SELECT doc_id, n AS n_chars, sha256(et) AS edited_sha256, array_to_string(s1, ' ') AS fingerprint,
   array_to_string(s2, ' ') AS edited_fingerprint, {_likeness_sql('s1', 's2')} AS near_edited, {_likeness_sql('s1', 's3')} AS near_next,
-  CASE WHEN len(s1) = 0 THEN 1.0 ELSE len(list_intersect(s1, s2))::DOUBLE / len(s1) END AS contained_edited
+  CASE WHEN len(s1) = 0 OR s1 = s2 THEN 1.0 WHEN s1[1] < '{BELOW}' THEN len(list_intersect(s1, s2))::DOUBLE / len(s1) END AS contained_edited
 FROM s"""

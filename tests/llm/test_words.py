@@ -34,6 +34,17 @@ def test_fingerprints_of_repeated_and_missing_ids(awkward, nothing):
     assert fingerprints.fingerprints(nothing).count() == 0
 
 
+def test_containment_of_short_passages(spark):
+    """Passages wholly inside a long text: null where no hash is below the threshold, else 1."""
+    long = [f"w{i}" for i in range(300)]
+    rows = [(" ".join(long[i : i + n]), " ".join(long)) for n in (5, 6, 8, 10) for i in range(0, 280, 7)] + [("w1 w2", "w1 w2")]
+    frame = spark.createDataFrame(rows, "short string, long string")
+    for c in ("short", "long"):
+        frame = fingerprints.with_sketch(frame, c, f"s_{c}")
+    found = [r[0] for r in frame.select(fingerprints.containment(F.col("s_short"), F.col("s_long"))).collect()]
+    assert set(found[:-1]) == {None, 1.0} and found[-1] == 1.0
+
+
 def test_sketches_merge_and_estimate_containment(spark):
     words = [f"w{i}" for i in range(3000)]
     frame = spark.createDataFrame([(" ".join(words), " ".join(words[:600]), "a b")], "long string, short string, tiny string")
