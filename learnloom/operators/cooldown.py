@@ -44,7 +44,8 @@ def cooldown_filter(events: DataFrame, keys: list[str], at: str, cooldown: str,
         if starts is None:
             rows = rows.withColumn("state", F.lit(None).cast("bigint"))
         else:
-            rows = rows.join(starts.select(*group, F.get("state.value", F.lit(0)).alias("state")), group, "left")
+            saved = starts.select(*group, F.get("state.value", F.lit(0)).alias("state"))
+            rows = rows.join(saved.hint("merge"), group, "left")  # small files of many rows: no broadcast
         return rows.withColumn("accepted", _flags(f"rows.{at}", f"rows.{cooldown}", "state"))
 
     def run(frame, starts):

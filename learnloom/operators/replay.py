@@ -166,7 +166,8 @@ class Replay:
             return blocks.withColumn("state", F.lit(None).cast("string"))
         saved = starts.select(*BLOCK, F.to_json(F.map_from_entries("state")).alias("state"))
         # Python work is heavy per byte; the runtime would merge small partitions by size.
-        return hash_spread(blocks.join(saved, BLOCK, "left"), BLOCK)
+        # The files of the saved states are small for their rows: no broadcast.
+        return hash_spread(blocks.join(saved.hint("merge"), BLOCK, "left"), BLOCK)
 
     def _run(self, frame: DataFrame, starts: DataFrame | None) -> DataFrame:
         return self._with_starts(frame, starts).select(*BLOCK, F.explode(_ends("state", "rows")).alias("part", "value"))

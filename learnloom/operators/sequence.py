@@ -168,6 +168,8 @@ def fold_blocks(
     changes. The result is exact: block k is final after at most k+1 rounds, and earlier where
     blocks forget the state they began with. Only states move between rounds.
     ``initial`` (keys, part, value) is a saved state to go on from.
+    Joins are by sorted shuffles: the files of these tables are small for their rows, and a
+    broadcast chosen by file size would build them in the driver's memory.
     Returns (keys, block, ``state``: array of part and value, sorted) of the learners that own
     several blocks (with ``initial``, of all), or None when there are none.
     """
@@ -186,18 +188,20 @@ def fold_blocks(
             before = initial.select(*keys, F.lit(-1).cast("bigint").alias("block"), "part", "value")
             known = ends.unionByName(before)
             blocks = chain.unionByName(chain.select(*keys).distinct().withColumn("block", F.lit(-1).cast("bigint")))
-        grid = blocks.join(known.select(*keys, "part").distinct(), keys).join(known, [*block, "part"], "left")
+        parts = known.select(*keys, "part").distinct().hint("merge")
+        grid = blocks.join(parts, keys).join(known.hint("merge"), [*block, "part"], "left")
         filled = grid.withColumn("value", F.last("value", ignorenulls=True).over(earlier)).where("value is not null")
         incoming = filled.groupBy(*block).agg(F.array_sort(F.collect_list(F.struct("part", "value"))).alias("_in"))
         linked = scratch.save(
-            starts.join(incoming, block, "left").withColumn("_in", F.coalesce("_in", F.array().cast(kind)))
+            starts.join(incoming.hint("merge"), block, "left").withColumn("_in", F.coalesce("_in", F.array().cast(kind)))
         )
         changed = linked.where(F.col("state") != F.col("_in"))
         following = linked.select(*block, F.col("_in").alias("state"))
         if changed.isEmpty():
             return following
         changed = changed.select(*block, F.col("_in").alias("state"))
-        fresh = run(split_rows.join(changed.drop("state"), block, "left_semi"), changed)
-        replaced = scratch.save(ends.join(changed.drop("state"), block, "left_anti").unionByName(fresh))
+        which = changed.drop("state").hint("merge")
+        fresh = run(split_rows.join(which, block, "left_semi"), changed)
+        replaced = scratch.save(ends.join(which, block, "left_anti").unionByName(fresh))
         scratch.drop(ends, starts)
         starts, ends = following, replaced

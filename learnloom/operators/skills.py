@@ -225,7 +225,7 @@ def _block_ends(outcomes: DataFrame, starts: DataFrame | None) -> DataFrame:
     if starts is None:
         blocks = blocks.withColumn("state", F.lit(None).cast(STATE.format(_TAG_VALUE)))
     else:
-        blocks = blocks.join(starts, SKILL_BLOCK, "left")
+        blocks = blocks.join(starts.hint("merge"), SKILL_BLOCK, "left")  # small files of many rows: no broadcast
     return blocks.select(*SKILL_BLOCK, _fold_block().alias("tags"))
 
 
