@@ -138,11 +138,7 @@ def candidates(targets, dense, due, recents, bank, catalogue, now_ms: int, seed:
         F.col("n"), seed, F.col("learner_id"), F.col("kind"), F.col("subject"), F.col("skill_id"), F.col("tag"),
         F.col("difficulty"),
     )
-    asks = materialise(
-        asks.withColumn("start", start).withColumn(
-            "class_tie", seeded(seed, F.col("learner_id"), F.col("skill_id"), F.col("difficulty"))
-        )
-    )
+    asks = materialise(asks.withColumn("start", start))
 
     recent = recents.select(*GROUP, "question_id")
     recent_at = recent.join(index.where(F.col("kind") != "fill").drop("n"), ["subject", "question_id"])
@@ -161,14 +157,12 @@ def candidates(targets, dense, due, recents, bank, catalogue, now_ms: int, seed:
         .withColumn("idx", (F.col("start") + F.col("probe")) % F.col("n"))
         .drop("n", "_recent", "_before", "start")
     )
-    fields = [*GROUP, "kind", "question_id", "skill_id", "tag", "difficulty", "score", "class_tie", "probe", "weak_rank", "due_rank", "tag_rank"]
+    fields = [*GROUP, "kind", "question_id", "skill_id", "tag", "difficulty", "score", "probe", "weak_rank", "due_rank", "tag_rank"]
     found = probes.join(index.drop("n"), [*BUCKET, "idx"])
-    seen = recent.withColumn("_is_recent", F.lit(True))
-    fresh = (
-        found.join(seen, [*GROUP, "question_id"], "left")
-        .where((F.col("kind") == "fill") | F.col("_is_recent").isNull())
-        .select(fields)
-    )
+    # One row of recent questions per group, so that found rows meet it where they are assembled.
+    seen = recent.groupBy(*GROUP).agg(F.collect_set("question_id").alias("_recent"))
+    is_recent = F.coalesce(F.array_contains("_recent", F.col("question_id")), F.lit(False))
+    fresh = found.join(seen, GROUP, "left").where((F.col("kind") == "fill") | ~is_recent).select(fields)
     repeated = (
         asks.join(recent_at, keys)
         .withColumn("probe", F.pmod(F.col("idx") - F.col("start"), F.col("n")).cast("int"))
@@ -189,15 +183,16 @@ def _per_rank(ordered: str, n: Column) -> Column:
     return F.when(n > 0, F.slice(best, F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.slice(best, 1, 0))
 
 
-def assemble(found: DataFrame, targets: DataFrame, due_counts: DataFrame) -> DataFrame:
+def assemble(found: DataFrame, targets: DataFrame, due_counts: DataFrame, seed: int) -> DataFrame:
     """Slot picks per (learner, subject) as arrays of question ids plus the plan.
 
     The candidates of one mission become one row; the picks are column expressions on it,
     so the dependent steps (each must skip what earlier ones used) need no further shuffle.
+    The hash that breaks ties between skills follows from the row, so it is made after the shuffle.
     """
 
     def rows(kind: str, rank: str) -> Column:
-        item = F.struct(F.col(rank).alias("rank"), "score", "class_tie", "probe", "question_id", "tag")
+        item = F.struct(F.col(rank).alias("rank"), "score", "skill_id", "difficulty", "probe", "question_id", "tag")
         wanted = F.col("kind") == kind
         if rank == "due_rank":
             wanted = wanted & F.col("due_rank").isNotNull()
@@ -215,6 +210,12 @@ def assemble(found: DataFrame, targets: DataFrame, due_counts: DataFrame) -> Dat
         rows("fill", "weak_rank").alias("f"),
         F.max(F.when(F.col("kind") == "challenge", F.col("difficulty"))).alias("_seen_difficulty"),
     )
+    tie = lambda r: seeded(seed, F.col("learner_id"), r.skill_id, r.difficulty)
+    ranked = lambda r: F.struct(
+        r["rank"].alias("rank"), r.score.alias("score"), tie(r).alias("class_tie"), r.probe.alias("probe"),
+        r.question_id.alias("question_id"), r.tag.alias("tag"),
+    )
+    group = group.withColumns({name: F.transform(name, ranked) for name in ("m", "r", "c", "h", "f")})
     out = targets.join(due_counts, GROUP, "left").join(group, GROUP)
     none = F.array().cast("array<string>")
 
@@ -283,7 +284,7 @@ def challenge_available(targets: DataFrame, bank: DataFrame) -> DataFrame:
 def plan_missions(targets, dense, due, recents, bank, catalogue, now_ms: int, seed: int = 0) -> DataFrame:
     found = candidates(targets, dense, due, recents, bank, catalogue, now_ms, seed)
     counts = due.groupBy(*GROUP).agg(F.count("*").alias("due_misconceptions"))
-    return assemble(found, challenge_available(targets, bank), counts)
+    return assemble(found, challenge_available(targets, bank), counts, seed)
 
 
 def build_missions(plans: DataFrame) -> DataFrame:

@@ -8,9 +8,13 @@ from learnloom.functions import scalars as S
 from learnloom.functions.tags import infer_error_tag
 from learnloom.operators import bank as B
 from learnloom.operators import diagnostics as D
+from learnloom.operators import missions as M
 from learnloom.operators import replay as R
+from learnloom.operators import sequence
 from learnloom.operators import selection as SEL
 from learnloom.operators import skills as SK
+from learnloom.plans import mission_queries as MQ
+from learnloom.sources.testdata import NOW_MS
 
 NOW = 1_700_000_000_000
 MATH_SKILLS = ["add_within10", "add_within20", "compare_numbers", "sub_within10", "sub_within20", "word_math"]
@@ -223,3 +227,49 @@ def test_long_histories_fold_in_few_rounds(spark, monkeypatch):
     tags = lambda rows: sorted(map(tuple, SK.misconception_fold(rows).collect()))
     assert tags(outcomes) == tags(whole)
     assert len(rounds) <= 4
+
+
+def test_chained_folds_do_not_broadcast_by_file_size(spark, monkeypatch):
+    """States of many rows make small files; building them in the driver does not scale."""
+    rows = [(1, "math", "s", n // 5, 4, n, NOW + n, 3, n % 3 == 0, "unknown_guess") for n in range(20)]
+    columns = (
+        "learner_id bigint, subject string, skill_id string, block bigint, n_blocks bigint, mission_no bigint, now_ms bigint, "
+        "difficulty int, correct boolean, error_tag string"
+    )
+    plans = []
+    save = sequence.Scratch.save
+
+    def noted(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df)
+
+    monkeypatch.setattr(sequence.Scratch, "save", noted)
+    folded = SK.misconception_fold(spark.createDataFrame(rows, columns))
+    plans.append(folded._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and not any("Broadcast" in plan for plan in plans)
+
+
+def test_halo_rows_carry_only_what_is_read(spark):
+    rows = spark.range(30).selectExpr(
+        "1L AS learner_id", "id AS seq", "id div 10 AS block", "3L AS n_blocks", "id AS value", "array('x', 'y') AS wide"
+    )
+    got = sequence.with_halo(rows, 15, 10, columns=["learner_id", "value"])
+    copies = got.where("is_halo")
+    assert sorted((r.block, r.seq, r.value) for r in copies.collect()) == sorted(
+        (b, s, s) for s in range(30) for b in range(s // 10 + 1, 3) if s >= b * 10 - 15
+    )
+    assert copies.where("wide is not null").isEmpty()
+    assert got.where("not is_halo").where("wide is not null").count() == 30
+    whole = sequence.with_halo(rows, 15, 10)
+    assert whole.where("wide is null").isEmpty()
+
+
+def test_mission_candidates_carry_no_hash(tables):
+    """The tie hash follows from the row; recent questions come with their penalty only."""
+    recent = M.recent_questions(tables.log)
+    found = SEL.candidates(
+        MQ.targets(tables), MQ.dense(tables), MQ.due(tables), recent, tables.bank, tables.catalogue, NOW_MS, MQ.SEED
+    )
+    assert "class_tie" not in found.columns
+    again = found.where("kind <> 'fill'").join(recent.select(*SEL.GROUP, "question_id"), [*SEL.GROUP, "question_id"])
+    assert not again.isEmpty() and again.where(F.col("score") < K.RECENT_PENALTY).isEmpty()
