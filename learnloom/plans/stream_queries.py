@@ -74,8 +74,10 @@ def stream_quarter_hours(t):
 @query("stream_dedup", with_log("SELECT learner_id, mission_no, pos FROM log"))
 def stream_dedup(t):
     """The answer file is read twice (as if sent twice); one answer per place stays."""
-    sent = finished(t).unionByName(finished(t))
-    return ST.run_available(ST.dedup_answers(sent).select("learner_id", "mission_no", "pos"))
+    place = ["learner_id", "mission_no", "pos"]
+    # The de-duplication shuffles whole rows, so only what is read goes in.
+    sent = finished(t).unionByName(finished(t)).select(*place, "answered_at")
+    return ST.run_available(ST.dedup_answers(sent).select(*place))
 
 
 LEARNER_SQL = loop_sql(
