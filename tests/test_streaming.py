@@ -1,13 +1,14 @@
 """Streams in several small batches give the batch results."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 import compare
 from learnloom import constants as K
 from learnloom.operators import bank as B
 from learnloom.operators import diagnostics as D
 from learnloom.operators.cooldown import cooldown_filter
+from learnloom.plans import stream_queries
 from learnloom.plans.replay_queries import folded
 from learnloom.sources.state_store import StateStore
 from learnloom.sources.testdata import NOW_MS
@@ -198,3 +199,95 @@ def test_due_reviews_fire_by_watermark(spark, tmp_path):
         (1, "s0", 64 + 120, 2),
         (2, "s0", 12 + 30, 1),
     ]
+
+
+class Kept:
+    """A list or value state in memory."""
+
+    def __init__(self):
+        self.rows = []
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.rows = [*self.rows, *rows]
+
+    def clear(self):
+        self.rows = []
+
+
+class One(Kept):
+    def get(self):
+        return self.rows or None
+
+    def update(self, row):
+        self.rows = row
+
+
+class Timers:
+    """The handle of one key: its states and the timers that were set."""
+
+    def __init__(self):
+        self.set = []
+
+    def getListState(self, *_):
+        return Kept()
+
+    def getValueState(self, *_):
+        return One()
+
+    def registerTimer(self, at):
+        self.set.append(at)
+
+
+class At:
+    def __init__(self, watermark):
+        self.getCurrentWatermarkInMs = lambda: watermark
+
+
+def given(seq):
+    return Row(seq=seq, mission_no=seq // 5, pos=seq % 5, subject="math", difficulty=1, correct=True, latency_ms=900, answered_ms=1000 * seq, body="{}")
+
+
+def fold_row(seq):
+    return Row(mission_no=seq // 5, pos=seq % 5, skill_id="s", correct=True, difficulty=1, error_tag=None, mode="learn", answered_ms=1000 * seq)
+
+
+@pytest.mark.parametrize(
+    "processor, key, row, done",
+    [
+        (LS.Thresholds(3, 200), (1,), given, 25),
+        (LS.LearnerEvents({"math": 2}), (1, "math"), fold_row, 5),
+        (LS.Cooldowns({"tap": 0}), (1,), lambda n: Row(effect="tap", answered_ms=1000 * n, event_id=n), 25),
+    ],
+)
+def test_a_key_sets_one_timer_a_trigger(processor, key, row, done):
+    """However many answers come; when it fires it does all that is due and sets the next."""
+    handle = Timers()
+    processor.init(handle)
+    list(processor.handleInputRows(key, iter([row(n) for n in range(50)]), At(0)))
+    assert len(handle.set) == 1
+    assert len(list(processor.handleExpiredTimer(key, At(25_000), None))) == done
+    assert len(handle.set) == 2 and handle.set[1] > 25_000
+
+
+def test_a_revision_sent_again_sets_no_timer():
+    handle, revisions = Timers(), LS.Revisions(10)
+    revisions.init(handle)
+    rows = [Row(pos=0, event_id=n, answered_ms=n, seq=n) for n in range(3)]
+    first = list(revisions.handleInputRows((1, 1), iter(rows), At(0)))
+    assert [tuple(r) for r in first] == [(1, 1, 0, 2, 2, 1)]
+    assert list(revisions.handleInputRows((1, 1), iter(rows), At(0))) == []
+    assert handle.set == [12]
+
+
+def test_dedup_query_shuffles_only_what_it_reads(tables, monkeypatch):
+    seen = []
+    whole = ST.dedup_answers
+    monkeypatch.setattr(ST, "dedup_answers", lambda sent, *a: seen.append(sent.columns) or whole(sent, *a))
+    stream_queries.stream_dedup(tables)
+    assert seen == [["learner_id", "mission_no", "pos", "answered_at"]]
