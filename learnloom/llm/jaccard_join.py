@@ -17,7 +17,9 @@ their pairs; one with many gives pairs with its smallest set. Before any set is
 parity bits per set bound the difference from below; what remains is verified on the full sets.
 Sets that these links leave outside their smallest set's component are compared in blocks: sets
 connected by crowded signatures form a group, and blocks of those left outside meet blocks of
-the whole group, by products of their feature matrices. A pair meets once, not once for
+the whole group, by products of their feature matrices. Linked sets hold at least 4/5 of their
+features in common, so a set with more than a fifth of its features to itself in its group links
+with none of it and meets no block. A pair meets once, not once for
 each signature, and a block gives the links of a spanning forest only. Equal sets are one class
 from the start, so copies are never paired.
 
@@ -274,6 +276,62 @@ def verify(pairs: DataFrame, sets: DataFrame, most: int = 256) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def in_company(people: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """(key): the sets of ``people`` that hold 4/5 of their features together with other sets of
+    their cluster. No other set can link inside its cluster.
+
+    Features are dealt by hash into ``parts``, in the records of the signatures. Two features of
+    one name only keep a set that could have gone.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("features")]
+            sizes = [len(s) for s in sets]
+            cluster = mix64(batch.column("cluster").to_numpy().view(np.uint64))
+            name = mix64(np.concatenate(sets) ^ np.repeat(cluster, sizes))
+            to = ((name >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            records = np.empty(len(name), RECORD)
+            records["sig"] = name[order].view(np.uint8).reshape(-1, 8)[:, :5]
+            records["key"] = np.repeat(batch.column("key").to_numpy().view(np.uint64), sizes)[order]
+            used, starts = np.unique(to[order], return_index=True)
+            blobs = [r.tobytes() for r in np.split(records, starts[1:])] if len(used) else []
+            yield pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int32()), "records": pa.array(blobs, pa.binary())})
+
+    def alone(blobs: list[bytes]) -> pa.RecordBatch:
+        records = np.frombuffer(b"".join(blobs), RECORD)
+        name = np.zeros((len(records), 8), np.uint8)
+        name[:, :5] = records["sig"]
+        order = np.argsort(name.view(np.uint64).ravel(), kind="stable")
+        name, key = name.view(np.uint64).ravel()[order], records["key"][order]
+        starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        single = np.minimum.reduceat(key, starts) == np.maximum.reduceat(key, starts)
+        size = np.diff(np.append(starts, len(name)))
+        owner, n = np.unique(key[np.repeat(single, size)], return_counts=True)
+        return pa.RecordBatch.from_pydict({"key": owner.view(np.int64), "alone": n})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, blobs = None, []
+        for batch in batches:
+            for p, blob in zip(batch.column("part").to_pylist(), batch.column("records").to_pylist()):
+                if p != part and blobs:
+                    yield alone(blobs)
+                    blobs = []
+                part = p
+                blobs.append(blob)
+        if blobs:
+            yield alone(blobs)
+
+    each = people.select("key", "cluster").join(sets.groupBy("key").agg(F.first("features").alias("features")), "key")
+    dealt = each.mapInArrow(deal, "part int, records binary").repartition("part").sortWithinPartitions("part")
+    counts = dealt.mapInArrow(run, "key long, alone long").groupBy("key").agg(F.sum("alone").alias("alone"))
+    lonely = people.join(counts, "key").where("5 * alone > n_shingles").select("key")
+    return people.select("key").join(lonely, "key", "left_anti")
+
+
 def set_blocks(people: DataFrame) -> DataFrame:
     """(cluster, band, a_block, b_block, side, key, own): the meetings of the blocks of each cluster.
 
@@ -301,29 +359,66 @@ def set_blocks(people: DataFrame) -> DataFrame:
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 2048) -> np.ndarray:
-    """Size of the intersection of each set of ``left`` with each of ``right``."""
+    """Size of the intersection of each set of ``left`` with each of ``right``.
+
+    Features that the same sets hold are one column, weighted by their number.
+    """
 
-    def matrix(features: np.ndarray, owner: np.ndarray, rows: int, low: int) -> np.ndarray:
-        out = np.zeros((rows, width), np.float32)
-        a, b = np.searchsorted(features, [low, low + width])
-        out[owner[a:b], features[a:b] - low] = 1
+    def matrix(column: np.ndarray, owner: np.ndarray, rows: int, low: int, weight: np.ndarray) -> np.ndarray:
+        out = np.zeros((rows, width), weight.dtype)
+        a, b = np.searchsorted(column, [low, low + width])
+        out[owner[a:b], column[a:b] - low] = weight[column[a:b]]
         return out
 
     shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
-    sides = []
-    for sets in (left, right):
+    sides, holders = [], np.zeros(len(shared), np.uint64)
+    for side, sets in enumerate((left, right)):
         every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         at = np.searchsorted(shared, every)
         at[at == len(shared)] = 0
         known = np.flatnonzero(shared[at] == every) if len(shared) else np.zeros(0, int)
-        order = known[np.argsort(at[known], kind="stable")]
-        sides.append((at[order], owner[order], len(sets)))
+        sides.append((at[known], owner[known], len(sets)))
+        np.add.at(holders, at[known], mix64(2 * owner[known].astype(np.uint64) + np.uint64(side + 1)))
+    _, first, column, weight = np.unique(holders, return_index=True, return_inverse=True, return_counts=True)
+    keep = np.zeros(len(shared), bool)
+    keep[first] = True
+    merged = []
+    for at, owner, rows in sides:
+        at, owner = at[keep[at]], owner[keep[at]]
+        order = np.argsort(column[at], kind="stable")
+        merged.append((column[at][order], owner[order], rows))
+    exact = np.float32 if len(shared) < 1 << 24 else np.float64
+    weight, one = weight.astype(exact), np.ones(len(weight), exact)
     out = np.zeros((len(left), len(right)), np.int64)
-    for low in range(0, len(shared), width):
-        out += (matrix(*sides[0], low) @ matrix(*sides[1], low).T).astype(np.int64)
+    for low in range(0, len(weight), width):
+        out += (matrix(*merged[0], low, weight) @ matrix(*merged[1], low, one).T).astype(np.int64)
     return out
 
 
+def met_features(keys: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray | None]:
+    """Of each set the features that a set of another key holds; None for a set of which they are
+    less than 4/5: it links with none of these. Repeated until no more set goes."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    live = np.ones(len(sets), bool)
+    while len(every):
+        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        holder = keys[owner]
+        met = np.minimum.reduceat(holder, starts) != np.maximum.reduceat(holder, starts)
+        here = np.repeat(met, np.diff(np.append(starts, len(every))))
+        stay = live & (5 * np.bincount(owner[here], minlength=len(sets)) >= 4 * sizes)
+        more = (live & ~stay).any()
+        here &= stay[owner]
+        every, owner, live = every[here], owner[here], stay
+        if not more:
+            break
+    order = np.argsort(owner, kind="stable")
+    split = np.split(every[order], np.searchsorted(owner[order], np.arange(1, len(sets))))
+    return [found if ok else None for found, ok in zip(split, live)]
+
+
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges (row, column) of a spanning forest of the graph whose edges are the true cells."""
     edges, open_row, open_column = [], np.ones(linked.shape[0], bool), np.ones(linked.shape[1], bool)
@@ -351,10 +446,16 @@ def links_of_blocks(meeting: pa.Table) -> pa.Table:
         rows = meeting.filter(pc.equal(meeting.column("side"), side))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("features")]
         sides.append((rows.column("key").to_numpy(), rows.column("own").to_numpy(zero_copy_only=False), sets))
+    edges, whole = [], [sets for _, _, sets in sides]
+    if all(whole):
+        met = met_features(np.concatenate([key for key, _, _ in sides]), whole[0] + whole[1])
+        for i, found in enumerate((met[: len(whole[0])], met[len(whole[0]) :])):
+            stay = np.array([f is not None for f in found])
+            sides[i] = (sides[i][0][stay], sides[i][1][stay], [f for f in found if f is not None])
+            whole[i] = np.array([len(s) for s in whole[i]])[stay]
     (a, a_own, left), (b, b_own, right) = sides
-    edges = []
     if left and right:
-        sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
+        sizes = whole[0][:, None] + whole[1][None, :]
         linked = (9 * common_counts(left, right) >= 4 * sizes) & (a_own[:, None] | b_own[None, :]) & (a[:, None] != b[None, :])
         edges = forest(linked)
     return pa.table({"u": pa.array([a[i] for i, _ in edges], pa.int64()), "v": pa.array([b[j] for _, j in edges], pa.int64())})
@@ -378,11 +479,12 @@ def outside_links(documents: DataFrame, classes: DataFrame, crowded: DataFrame,
     people = edges.groupBy(F.col("u").alias("key")).agg(F.max("outside").alias("outside")).join(cluster, "key")
     people = scratch.save(people.join(classes.select("key", "n_shingles"), "key"))
     sets = scratch.save(fetch_sets(documents, classes, people.select("key")))
-    met = set_blocks(people).join(sets.groupBy("key").agg(F.first("features").alias("features")), "key")
+    near = scratch.save(people.join(in_company(people, sets, input_parts(documents)), "key", "left_semi"))
+    met = set_blocks(near).join(sets.groupBy("key").agg(F.first("features").alias("features")), "key")
     more = scratch.save(
         met.groupBy("cluster", "band", "a_block", "b_block").applyInArrow(links_of_blocks, "u long, v long")
     )
-    scratch.drop(sets, edges, people)
+    scratch.drop(sets, edges, people, near)
     return more
 
 

@@ -40,6 +40,49 @@ def test_links_that_only_neighbours_have(spark, few, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(table).collect()} == component_ids({r[0]: r[1] for r in rows})
 
 
+def test_sets_with_features_of_their_own_meet_no_block(spark, monkeypatch):
+    from fixtures import awkward_documents
+
+    monkeypatch.setattr(jaccard_join, "FEW", 1)
+    met, real = [], jaccard_join.set_blocks
+    monkeypatch.setattr(jaccard_join, "set_blocks", lambda people: met.append(people.count()) or real(people))
+    common = [f"b{i}" for i in range(40)]
+    own = [[f"u{i}_{j}" for j in range(30)] for i in range(40)]
+    near = [[f"v{j}" if j else f"w{i}" for j in range(30)] for i in range(3)]
+    rows = [(i, " ".join(common + words), "en", "a") for i, words in enumerate(own + near)]
+    table = awkward_documents(spark, rows)
+    want = component_ids({r[0]: r[1] for r in rows})
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(table).collect()} == want
+    assert want[42] == 40 and met and met[0] <= 3
+
+
+def test_block_links_are_those_of_whole_sets():
+    """The features and sets left out of a meeting change none of its links."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, 60).astype(np.uint64))]
+    for i in range(60):
+        old = sets[rng.integers(len(sets))]
+        fresh = rng.integers(0, 2**63, rng.integers(1, 12)).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([old[len(fresh) :], fresh])))
+    rows = [(side, 2 * i, True, s.tobytes()) for side in (0, 1) for i, s in enumerate(sets) if side or i % 2]
+    meeting = pa.table({name: list(column) for name, column in zip(("side", "key", "own", "features"), zip(*rows))})
+    links = jaccard_join.links_of_blocks(meeting)
+    linked = lambda a, b: a != b and 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))
+
+    def groups(edges):
+        root = list(range(len(sets)))
+        for a, b in edges:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+        return root
+
+    found = [(u // 2, v // 2) for u, v in zip(links.column("u").to_pylist(), links.column("v").to_pylist())]
+    every = [(a, b) for a in range(1, len(sets), 2) for b in range(len(sets)) if linked(a, b)]
+    assert found and set(found) <= set(every) and groups(found) == groups(every)
+
+
 def test_awkward_components(awkward, nothing):
     found = jaccard_join.near_duplicates(awkward).collect()
     assert len(found) == awkward.count()
