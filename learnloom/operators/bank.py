@@ -21,26 +21,40 @@ def cell_number(cell: Column) -> Column:
     )
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of ``value``, which is computed once however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _integer_in(number: Column, lo: int, hi: int) -> Column:
     return F.coalesce((number == F.floor(number)) & number.between(lo, hi), F.lit(False))
 
 
 def check_cells(rows: DataFrame, cells: str = "cells") -> DataFrame:
     """Add the parsed columns and ``reasons``, the list of broken rules of each row."""
-    named = rows.withColumns({f"c_{name}": F.get(F.col(cells), F.lit(i)) for i, name in enumerate(CELLS)})
-    difficulty, answer = cell_number(F.col("c_difficulty")), cell_number(F.col("c_answer_index"))
-    ten = F.size(cells) == len(CELLS)
-    checks = {
-        "columns": ~ten,
-        "id": ten & (F.col("c_id") == ""),
-        "subject": ten & ~F.col("c_subject").isin(K.SUBJECTS),
-        "skill_id": ten & (F.col("c_skill_id") == ""),
-        "difficulty": ten & ~_integer_in(difficulty, K.MIN_DIFFICULTY, K.MAX_DIFFICULTY),
-        "answer_index": ten & ~_integer_in(answer, 0, 2),
-    }
-    return named.withColumn(
-        "reasons", F.array_compact(F.array(*[F.when(bad, F.lit(reason)) for reason, bad in checks.items()]))
-    ).withColumns({"n_difficulty": difficulty, "n_answer_index": answer})
+    number = lambda cell: once(cell, cell_number)
+
+    def parsed(row: Column) -> Column:
+        cell = {name: F.get(row, F.lit(i)) for i, name in enumerate(CELLS)}
+        numbers = [number(cell[name]).alias(f"n_{name}") for name in ("difficulty", "answer_index")]
+        return F.struct(*[c.alias(f"c_{name}") for name, c in cell.items()], *numbers, F.size(row).alias("n_cells"))
+
+    def broken(row: Column) -> Column:
+        ten = row.n_cells == len(CELLS)
+        checks = {
+            "columns": ~ten,
+            "id": ten & (row.c_id == ""),
+            "subject": ten & ~row.c_subject.isin(K.SUBJECTS),
+            "skill_id": ten & (row.c_skill_id == ""),
+            "difficulty": ten & ~_integer_in(row.n_difficulty, K.MIN_DIFFICULTY, K.MAX_DIFFICULTY),
+            "answer_index": ten & ~_integer_in(row.n_answer_index, 0, 2),
+        }
+        return F.array_compact(F.array(*[F.when(bad, F.lit(reason)) for reason, bad in checks.items()]))
+
+    names = [*[f"c_{name}" for name in CELLS], "reasons", "n_difficulty", "n_answer_index"]
+    read = once(F.col(cells), parsed)
+    row = once(read, lambda r: F.struct(*[r[n].alias(n) if n != "reasons" else broken(r).alias(n) for n in names]))
+    return rows.withColumn("_row", row).withColumns({n: F.col("_row")[n] for n in names}).drop("_row")
 
 
 def validate_bank(rows: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -111,3 +111,18 @@ def test_shortest_route_first_on_ties(spark):
         "subject string, skill_id string, prompt string, choices array<string>, answer_index int",
     )
     assert [r.b for r in facts.with_facts(df).select(F.col("route.best_route").alias("b")).collect()] == ["みち B", "ルートC"]
+
+
+def test_bank_cells_are_built_once_for_all_rules(spark):
+    good = ["q1", "math", "add", "3.0", "p", "a", "b", "c", "", "h"]
+    bad = ["", "science", "", "0x1G", "p", "a", "b", "c", "3", "h"]
+    lines = [(1, "|".join(good)), (2, "|".join(bad)), (3, "|".join(good[:9])), (4, None)]
+    lines = spark.createDataFrame(lines, "ordinal long, line string")
+    rows = lines.select("ordinal", F.split(F.concat("line", F.lit("")), r"\|").alias("cells"))
+    accepted, rejected = B.validate_bank(rows)
+    plan = accepted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 3
+    assert [(r.ordinal, r.difficulty, r.answer_index) for r in accepted.collect()] == [(1, 3, 0), (4, None, None)]
+    want = {2: ["id", "subject", "skill_id", "difficulty", "answer_index"], 3: ["columns"]}
+    assert {r.ordinal: r.reasons for r in rejected.collect() if r.ordinal < 4} == want
+    assert B.check_cells(rows).where("ordinal = 1").first().n_difficulty == 3.0
