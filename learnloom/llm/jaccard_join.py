@@ -48,6 +48,8 @@ SPARE = 0.1  # first-level parts beyond k/2 + 1, so that empty subsets need not
 FEW = 16  # sets of a signature that are paired with each other at once
 BLOCK_SETS = 2048  # sets of a block
 BLOCK_FEATURES = 1 << 20  # and their features, as long as one set does not have more
+SLICE_FEATURES = 1 << 23  # features of a cluster that are counted in one part, 13 bytes each
+STEP_FEATURES = 1 << 20  # and of these in one sort
 RECORD = np.dtype([("sig", "u1", (5,)), ("key", "<u8")])
 
 
@@ -276,12 +278,20 @@ def verify(pairs: DataFrame, sets: DataFrame, most: int = 256) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def in_company(people: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """(key): the sets of ``people`` that hold 4/5 of their features together with other sets of
-    their cluster. No other set can link inside its cluster.
+def with_slices(people: DataFrame) -> DataFrame:
+    """``people`` with ``slices``: the parts that the features of a set's cluster have for themselves,
+    0 for a cluster that shares a part with others. The broadcast has a row per SLICE_FEATURES / 4."""
+    size = people.groupBy("cluster").agg(F.sum("n_shingles").alias("_size")).where(F.col("_size") > SLICE_FEATURES // 4)
+    large = size.select("cluster", F.ceil(F.col("_size") / SLICE_FEATURES).alias("slices"))
+    return people.join(F.broadcast(large), "cluster", "left").withColumn("slices", F.coalesce("slices", F.lit(0)))
+
 
-    Features are dealt by hash into ``parts``, in the records of the signatures. Two features of
-    one name only keep a set that could have gone.
+def alone_counts(people: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """(key, alone): features that no other set of the cluster holds; their sum over a key's rows.
+
+    A cluster is dealt to one part, or by feature to as many as its size takes, in the records of
+    the signatures. So a set has one row, and more only in a cluster above SLICE_FEATURES. Two
+    features of one name only keep a set that could have gone.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,28 +300,41 @@ def in_company(people: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
                 continue
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("features")]
             sizes = [len(s) for s in sets]
-            cluster = mix64(batch.column("cluster").to_numpy().view(np.uint64))
-            name = mix64(np.concatenate(sets) ^ np.repeat(cluster, sizes))
-            to = ((name >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+            cluster = np.repeat(mix64(batch.column("cluster").to_numpy().view(np.uint64)), sizes)
+            slices = np.repeat(batch.column("slices").to_numpy().astype(np.uint64), sizes)
+            name = mix64(np.concatenate(sets) ^ cluster)
+            part = (name >> np.uint64(40)) % np.maximum(slices, np.uint64(1))
+            own = (mix64(cluster + part) >> np.uint64(2)) | np.uint64(1 << 62)
+            to = np.where(slices > 0, own, (cluster >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             records = np.empty(len(name), RECORD)
             records["sig"] = name[order].view(np.uint8).reshape(-1, 8)[:, :5]
             records["key"] = np.repeat(batch.column("key").to_numpy().view(np.uint64), sizes)[order]
             used, starts = np.unique(to[order], return_index=True)
             blobs = [r.tobytes() for r in np.split(records, starts[1:])] if len(used) else []
-            yield pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int32()), "records": pa.array(blobs, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int64()), "records": pa.array(blobs, pa.binary())})
 
     def alone(blobs: list[bytes]) -> pa.RecordBatch:
-        records = np.frombuffer(b"".join(blobs), RECORD)
-        name = np.zeros((len(records), 8), np.uint8)
-        name[:, :5] = records["sig"]
-        order = np.argsort(name.view(np.uint64).ravel(), kind="stable")
-        name, key = name.view(np.uint64).ravel()[order], records["key"][order]
-        starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-        single = np.minimum.reduceat(key, starts) == np.maximum.reduceat(key, starts)
-        size = np.diff(np.append(starts, len(name)))
-        owner, n = np.unique(key[np.repeat(single, size)], return_counts=True)
-        return pa.RecordBatch.from_pydict({"key": owner.view(np.int64), "alone": n})
+        dealt = [np.frombuffer(blob, RECORD) for blob in blobs]
+        steps = min(255, -(-sum(len(r) for r in dealt) // STEP_FEATURES))
+        owners, numbers = [], []
+        for step in range(steps):  # by the last byte of the names: bounds the memory of the sort
+            records = np.concatenate([r[r["sig"][:, 0] % steps == step] for r in dealt])
+            if not len(records):
+                continue
+            name = np.zeros((len(records), 8), np.uint8)
+            name[:, :5] = records["sig"]
+            order = np.argsort(name.view(np.uint64).ravel(), kind="stable")
+            name, key = name.view(np.uint64).ravel()[order], records["key"][order]
+            starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+            single = np.minimum.reduceat(key, starts) == np.maximum.reduceat(key, starts)
+            size = np.diff(np.append(starts, len(name)))
+            owner, n = np.unique(key[np.repeat(single, size)], return_counts=True)
+            owners.append(owner)
+            numbers.append(n)
+        owner, at = np.unique(np.concatenate(owners), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate(numbers), minlength=len(owner)).astype(np.int64)
+        return pa.RecordBatch.from_pydict({"key": owner.view(np.int64), "alone": total})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blobs = None, []
@@ -325,9 +348,15 @@ def in_company(people: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
         if blobs:
             yield alone(blobs)
 
-    each = people.select("key", "cluster").join(sets.groupBy("key").agg(F.first("features").alias("features")), "key")
-    dealt = each.mapInArrow(deal, "part int, records binary").repartition("part").sortWithinPartitions("part")
-    counts = dealt.mapInArrow(run, "key long, alone long").groupBy("key").agg(F.sum("alone").alias("alone"))
+    each = with_slices(people).select("key", "cluster", "slices").join(sets.groupBy("key").agg(F.first("features").alias("features")), "key")
+    dealt = each.mapInArrow(deal, "part long, records binary").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "key long, alone long")
+
+
+def in_company(people: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """(key): the sets of ``people`` that hold 4/5 of their features together with other sets of
+    their cluster. No other set can link inside its cluster."""
+    counts = alone_counts(people, sets, parts).groupBy("key").agg(F.sum("alone").alias("alone"))
     lonely = people.join(counts, "key").where("5 * alone > n_shingles").select("key")
     return people.select("key").join(lonely, "key", "left_anti")
 

@@ -56,6 +56,27 @@ def test_sets_with_features_of_their_own_meet_no_block(spark, monkeypatch):
     assert want[42] == 40 and met and met[0] <= 3
 
 
+@pytest.mark.parametrize("slice_features, step, rows", [(1 << 23, 1 << 20, 1), (1 << 23, 100, 1), (400, 50, 12)])
+def test_a_set_has_one_count_of_its_own_features(spark, slice_features, step, rows, monkeypatch):
+    """Whatever the number of parts: further rows only for clusters larger than a slice."""
+    monkeypatch.setattr(jaccard_join, "SLICE_FEATURES", slice_features)
+    monkeypatch.setattr(jaccard_join, "STEP_FEATURES", step)
+    rng = np.random.default_rng(11)
+    common = rng.integers(0, 2**63, 20, dtype=np.uint64)
+    sets, people = {}, []
+    for key in range(0, 160, 2):
+        sets[key] = np.unique(np.concatenate([common, rng.integers(0, 2**63, 40, dtype=np.uint64)]))
+        people.append((key, len(sets[key]), int(key < 20), True))  # clusters of 70 and of 10
+    holders = lambda f, cluster: sum(f in sets[k] for k, _, c, _ in people if c == cluster)
+    want = {k: sum(holders(f, c) == 1 for f in sets[k]) for k, _, c, _ in people}
+    table = spark.createDataFrame(people, "key long, n_shingles long, cluster long, outside boolean")
+    stored = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in sets.items()] * 2, "key long, features binary")
+    found = [(r.key, r.alone) for r in jaccard_join.alone_counts(table, stored, 64).collect()]
+    assert len(sets) <= len(found) <= rows * len(sets)
+    assert {k: sum(n for key, n in found if key == k) for k in sets} == want
+    assert (rows == 1) == (len(found) == len(sets))
+
+
 def test_block_links_are_those_of_whole_sets():
     """The features and sets left out of a meeting change none of its links."""
     import pyarrow as pa
