@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 _LOCAL_ROOTS: dict[str, str] = {}  # local mode without a named folder
 _TABLES: dict[str, list[str]] = {}  # tables and folders that a session has made
 _FOLDERS: dict[str, list[str]] = {}
-BUCKET_BYTES = 256 << 20  # source bytes behind one bucket
+BUCKET_BYTES = 8 << 20  # source bytes behind one bucket: answers take 10 to 20 bytes there and far more in a task
 
 
 def build_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:

@@ -50,3 +50,8 @@ def test_changed_input_changes_the_answer(spark, tmp_path):
     pq.write_table(events, sf / "events.parquet")
     assert compare.difference(QUERIES[name](spark, str(sf)), compare.connect(str(sf)), ORACLE[name]) is None
     assert testdata.tables(spark, str(sf)).table("events").count() == len(events)
+
+
+def test_a_bucket_holds_no_more_answers_than_a_task_sorts_in_memory(spark):
+    answers, stored = 36_000_000, 20  # bytes of an answer in the events of the test tables
+    assert answers / session.bucket_count(spark, answers * stored) <= 1_000_000
