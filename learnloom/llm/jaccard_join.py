@@ -48,7 +48,7 @@ SPARE = 0.1  # first-level parts beyond k/2 + 1, so that empty subsets need not
 FEW = 16  # sets of a signature that are paired with each other at once
 BLOCK_SETS = 2048  # sets of a block
 BLOCK_FEATURES = 1 << 20  # and their features, as long as one set does not have more
-SLICE_FEATURES = 1 << 23  # features of a cluster that are counted in one part, 13 bytes each
+SLICE_FEATURES = 1 << 24  # features of a cluster that are counted in one part, 13 bytes each
 STEP_FEATURES = 1 << 20  # and of these in one sort
 RECORD = np.dtype([("sig", "u1", (5,)), ("key", "<u8")])
 
