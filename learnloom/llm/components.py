@@ -2,7 +2,8 @@
 
 Each step is an aggregate (minimum neighbour per node, combined before the shuffle) and a join
 with it. Only that join deals a hub's edges by the hub; the runtime's skew split divides them.
-The edges of every round are a written table.
+The edges of every round are a written table. The joins are sorted shuffles whatever their size: a
+broadcast would be built on the driver, and each round would add one that grows with the input.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from learnloom.session import Scratch
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    moved = both.where("v > u").join(least, "u")
+    moved = both.where("v > u").join(least.hint("merge"), "u")
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 

@@ -53,6 +53,12 @@ STEP_FEATURES = 1 << 20  # and of these in one sort
 RECORD = np.dtype([("sig", "u1", (5,)), ("key", "<u8")])
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: never broadcast, since the driver builds a broadcast
+    whole, and the runtime would make one of every side that is small when compressed."""
+    return side.hint("merge")
+
+
 def bands(largest: int) -> np.ndarray:
     """Upper bounds of the size bands, up to one beyond ``largest``."""
     out = [1]
@@ -238,8 +244,8 @@ def fetch_sets(documents: DataFrame, classes: DataFrame, keys: DataFrame) -> Dat
             )
 
     none = F.lit(-(2**63))
-    wanted = classes.join(keys, "key", "left_semi").select(F.coalesce("rep", none).alias("_id")).distinct()
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("_id"), "text").join(wanted, "_id", "left_semi")
+    wanted = classes.join(shuffled(keys), "key", "left_semi").select(F.coalesce("rep", none).alias("_id")).distinct()
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("_id"), "text").join(shuffled(wanted), "_id", "left_semi")
     return rows.select("text").mapInArrow(run, "key long, features binary")
 
 
@@ -248,12 +254,12 @@ def verify(pairs: DataFrame, sets: DataFrame, most: int = 256) -> DataFrame:
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).alias("_salts"))
     partner = sets.groupBy("key").agg(F.first("features").alias("features"))  # ids may repeat
     left = (
-        salts.join(partner, salts.a == partner.key)
+        salts.join(shuffled(partner), salts.a == partner.key)
         .select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "features")
     )
     right = (
-        pairs.join(salts, "a")
-        .join(partner, F.col("b") == partner.key)
+        pairs.join(shuffled(salts), "a")
+        .join(shuffled(partner), F.col("b") == partner.key)
         .select("a", F.pmod(F.xxhash64("b"), F.col("_salts")).alias("salt"), "b", "features")
     )
     rows = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
@@ -348,7 +354,7 @@ def alone_counts(people: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
         if blobs:
             yield alone(blobs)
 
-    each = with_slices(people).select("key", "cluster", "slices").join(sets.groupBy("key").agg(F.first("features").alias("features")), "key")
+    each = with_slices(people).select("key", "cluster", "slices").join(shuffled(sets.groupBy("key").agg(F.first("features").alias("features"))), "key")
     dealt = each.mapInArrow(deal, "part long, records binary").repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(run, "key long, alone long")
 
@@ -357,8 +363,8 @@ def in_company(people: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """(key): the sets of ``people`` that hold 4/5 of their features together with other sets of
     their cluster. No other set can link inside its cluster."""
     counts = alone_counts(people, sets, parts).groupBy("key").agg(F.sum("alone").alias("alone"))
-    lonely = people.join(counts, "key").where("5 * alone > n_shingles").select("key")
-    return people.select("key").join(lonely, "key", "left_anti")
+    lonely = people.join(shuffled(counts), "key").where("5 * alone > n_shingles").select("key")
+    return people.select("key").join(shuffled(lonely), "key", "left_anti")
 
 
 def set_blocks(people: DataFrame) -> DataFrame:
@@ -379,8 +385,8 @@ def set_blocks(people: DataFrame) -> DataFrame:
     everyone = number_rows(dealt, where, ["key"], "at").withColumn("block", F.floor(F.col("at") / F.col("sets")))
     outside = number_rows(dealt.where("outside"), where, ["key"], "at").withColumn("block", F.floor(F.col("at") / F.col("sets")))
     blocks_of = lambda df, name: df.groupBy(*where).agg((F.max("block") + 1).alias(name))
-    left = outside.join(blocks_of(everyone, "_n"), where)
-    right = everyone.join(blocks_of(outside, "_n"), where)
+    left = outside.join(shuffled(blocks_of(everyone, "_n")), where)
+    right = everyone.join(shuffled(blocks_of(outside, "_n")), where)
     numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
     return left.select(*where, F.col("block").alias("a_block"), numbers.alias("b_block"), F.lit(0).alias("side"), "key", "own").unionByName(
         right.select(*where, numbers.alias("a_block"), F.col("block").alias("b_block"), F.lit(1).alias("side"), "key", "own")
@@ -496,20 +502,20 @@ def outside_links(documents: DataFrame, classes: DataFrame, crowded: DataFrame,
     root = found.select(F.col("node").alias("key"), "root")
     of_pivot = found.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
     members = scratch.save(
-        crowded.join(root, "key", "left").join(of_pivot, "pivot", "left")
+        crowded.join(shuffled(root), "key", "left").join(shuffled(of_pivot), "pivot", "left")
         .select("sig", "key", "pivot", (F.coalesce("root", "key") != F.coalesce("pivot_root", "pivot")).alias("outside"))
     )
-    inside = members.join(members.where("outside").select("sig").distinct(), "sig", "left_semi")
+    inside = members.join(shuffled(members.where("outside").select("sig").distinct()), "sig", "left_semi")
     edges = scratch.save(inside.select(F.col("key").alias("u"), F.col("pivot").alias("v"), "outside").groupBy("u", "v").agg(F.max("outside").alias("outside")))
     scratch.drop(found, members)
     if edges.isEmpty():
         return None
     cluster = cc.components(edges.select("u", "v"), scratch).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
-    people = edges.groupBy(F.col("u").alias("key")).agg(F.max("outside").alias("outside")).join(cluster, "key")
-    people = scratch.save(people.join(classes.select("key", "n_shingles"), "key"))
+    people = edges.groupBy(F.col("u").alias("key")).agg(F.max("outside").alias("outside")).join(shuffled(cluster), "key")
+    people = scratch.save(people.join(shuffled(classes.select("key", "n_shingles")), "key"))
     sets = scratch.save(fetch_sets(documents, classes, people.select("key")))
-    near = scratch.save(people.join(in_company(people, sets, input_parts(documents)), "key", "left_semi"))
-    met = set_blocks(near).join(sets.groupBy("key").agg(F.first("features").alias("features")), "key")
+    near = scratch.save(people.join(shuffled(in_company(people, sets, input_parts(documents))), "key", "left_semi"))
+    met = set_blocks(near).join(shuffled(sets.groupBy("key").agg(F.first("features").alias("features"))), "key")
     more = scratch.save(
         met.groupBy("cluster", "band", "a_block", "b_block").applyInArrow(links_of_blocks, "u long, v long")
     )
@@ -526,7 +532,7 @@ def linked_classes(documents: DataFrame, described: DataFrame, scratch: Scratch)
     release(spark)
     a, b = named(classes, "a"), named(classes, "b")
     candidates = shared.where("a != b").select("a", "b").distinct()
-    first = scratch.save(candidates.join(a, "a").join(b, "b").where(may_link("a", "b")).select("a", "b"))
+    first = scratch.save(candidates.join(shuffled(a), "a").join(shuffled(b), "b").where(may_link("a", "b")).select("a", "b"))
     crowded = scratch.save(shared.where("many").select("sig", F.col("b").alias("key"), F.col("a").alias("pivot")))
     scratch.drop(shared)
     links = check(documents, classes, first, scratch)
@@ -553,12 +559,12 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None) -> Dat
     scratch = scratch or Scratch(documents.sparkSession)
     described = scratch.save(describe(documents))
     classes, roots = linked_classes(documents, described, scratch)
-    group = classes.join(roots, classes.key == roots.node, "left").select(
+    group = classes.join(shuffled(roots), classes.key == roots.node, "left").select(
         "key", "n_shingles", "p0", "rep", F.coalesce("root", "key").alias("root")
     )
     least = group.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named_class = scratch.save(group.join(least, "root").select("key", "n_shingles", "p0", "component_id"))
-    return described.join(named_class, ["key", "n_shingles", "p0"], "left").select(
+    named_class = scratch.save(group.join(shuffled(least), "root").select("key", "n_shingles", "p0", "component_id"))
+    return described.join(shuffled(named_class), ["key", "n_shingles", "p0"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_crc"
     )
 
@@ -572,5 +578,5 @@ def keep_one(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     rows = documents.select(boxed(documents), row_id, text_crc().alias("_row_crc"), F.xxhash64("text").alias("_row_text"))
     match = F.col("_row_id").eqNullSafe(F.col("_stay_id")) & (F.col("_row_crc") == F.col("_stay_crc"))
     again = Window.partitionBy("_row_id", "_row_crc").orderBy("_row_text")  # identical rows
-    kept = rows.join(stay, match, "left_semi").withColumn("_again", F.row_number().over(again))
+    kept = rows.join(shuffled(stay), match, "left_semi").withColumn("_again", F.row_number().over(again))
     return kept.where("_again = 1").select(*unboxed(documents.columns))

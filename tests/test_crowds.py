@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from learnloom.llm import components as cc
 from learnloom.sources import testdata
 from learnloom.streaming import learner as LS
 from test_streaming import At, Kept, One, Timers, fold_row, given
@@ -96,3 +97,10 @@ def test_slices_come_in_order_and_whole(spark, tables):
     low = [spark.read.parquet(*[f"{path}/{name}" for _, name in files if name.startswith(f"{turn:04d}")]).agg(F.min("id"), F.count("*")).first() for turn in range(4)]
     assert [r[0] == 0 for r in low] == [False, True, True, False]
     assert sum(r[1] for r in low) == 2000
+
+
+def test_components_are_joined_without_broadcasts(spark):
+    """The driver builds a broadcast whole, and these grow with the input."""
+    edges = spark.createDataFrame([(3, 1), (2, 1), (5, 4)], "u long, v long")
+    for step in (cc._large_star, cc._small_star):
+        assert "Broadcast" not in step(edges)._jdf.queryExecution().executedPlan().toString()
